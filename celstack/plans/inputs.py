@@ -20,7 +20,7 @@ def sql(body: str) -> str:
 
     def visit(text: str) -> None:
         for name in CTES:
-            if name not in ordered and re.search(rf"\b{name}\b", text):
+            if name not in ordered and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
                 visit(CTES[name])
                 if name not in ordered:
                     ordered.append(name)

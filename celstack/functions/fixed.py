@@ -134,3 +134,16 @@ PATCHES = (
 BUNDLE_REPORTS = ("candidate-report.json", "comparator-report.json", "paired-outcomes.json", "paired-statistics.json",
                   "structural-preflight.psd", "psd-readback.json")
 FRAME_COUNT = 37
+
+# Parts that do not move with the head.
+STATIC_PARTS = ("tail", "wings", "neck", "neckwear", "topwear", "handwear", "bottomwear", "legwear", "footwear", "objects")
+FEATURE_PARTS = ("eye", "eyebrow", "nose", "mouth")
+
+# Motion bindings of a part draft: (binding, parameter, motion group, side or None for every side).
+PART_BINDINGS = (
+    ("binding.head-yaw", "head.yaw", None, None),
+    ("binding.head-pitch", "head.pitch", None, None),
+    ("binding.eye-left-open", "eye.left.open", "eye", "left"),
+    ("binding.eye-right-open", "eye.right.open", "eye", "right"),
+    ("binding.mouth-open", "mouth.open", "mouth", None),
+)

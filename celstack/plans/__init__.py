@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rasters", "projects", "ledger", "experiment")
+MODULES = ("rasters", "projects", "ledger", "experiment", "compose", "fidelity")
 
 
 def load():

@@ -120,7 +120,7 @@ def _(spark, d):
     return E.binomial_upper_tail(_scores(spark, d)).withColumn("p", F.round("p", 9))
 
 
-@query("clopper_pearson", "arm_id:l wins:l losses:l lower:d upper:d", sql("""
+@query("clopper_pearson", "arm_id:l wins:l losses:l lower:d upper:d", ("""
 WITH RECURSIVE u AS (SELECT DISTINCT w, l FROM scores WHERE w + l > 0),
 step AS (SELECT w, l, 0 AS i, 0.0::DOUBLE AS alo, w / (w + l) AS ahi, w / (w + l) AS blo, 1.0::DOUBLE AS bhi FROM u UNION ALL
   SELECT w, l, i + 1, CASE WHEN 1 - cdf_a > 0.025 THEN alo ELSE ma END, CASE WHEN 1 - cdf_a > 0.025 THEN ma ELSE ahi END,

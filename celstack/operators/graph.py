@@ -1,8 +1,8 @@
 """Connected components, reachability, nearest fill and cycle checks as loops of joins and combinable aggregates.
 
 Pixel graphs are contracted before the loop: horizontal runs become the nodes, and an edge joins two runs that touch
-vertically, found by an equi-join on the shared pixel coordinate. Loops write a reliable checkpoint every round and stop
-by the data; an explicit round limit fails loudly instead of returning a partial answer.
+vertically, found by an equi-join on the shared pixel coordinate. Loops write a table in the shared checkpoint folder
+every round and stop by the data; an explicit round limit fails loudly instead of returning a partial answer.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from .pixels import PX
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest node of the component of every node that has an edge; ``edges`` is (a, b) of one orderable type.
 
-    Each round hooks every node to its smallest neighbour, jumps pointers twice and contracts the edge list, so the
-    number of edges shrinks geometrically and hot nodes lose their copies in the distinct of the next round.
+    Each round hooks every node to its smallest neighbour, follows pointers to their roots by doubling, and contracts the
+    edge list onto the roots. Only nodes smaller than all their neighbours survive a round, at most half of them, so the
+    edges shrink geometrically, and copies of an edge at a hot node disappear in the next distinct.
     """
     live = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     steps: list[DataFrame] = []
@@ -27,10 +28,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("p")).select("node", F.least("node", "p").alias("p"))
-        for _ in range(2):
-            up = parent.select(F.col("node").alias("p"), F.col("p").alias("pp"))
-            parent = parent.join(up, "p", "left").select("node", F.coalesce("pp", "p").alias("p"))
-        parent = cut(parent)
+        parent = _to_roots(cut(parent))
         steps.append(parent)
         left = parent.select(F.col("node").alias("a"), F.col("p").alias("pa"))
         right = parent.select(F.col("node").alias("b"), F.col("p").alias("pb"))
@@ -48,6 +46,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return labels
 
 
+def _to_roots(parent: DataFrame, max_jumps: int = 64) -> DataFrame:
+    """Pointer doubling until every ``(node, p)`` points at a root; roots point at themselves."""
+    for _ in range(max_jumps):
+        up = parent.select(F.col("node").alias("p"), F.col("p").alias("pp"))
+        jumped = cut(parent.join(up, "p").select("node", "p", "pp"))
+        moved = not jumped.where("p <> pp").isEmpty()
+        parent = jumped.select("node", F.col("pp").alias("p"))
+        if not moved:
+            return parent
+    raise RuntimeError("pointer chains are longer than the jump limit allows")
+
+
 def pixel_runs(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Label horizontal runs of cells ``(keys, x, y)`` by their first x.
 

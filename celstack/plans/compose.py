@@ -162,17 +162,21 @@ def _(spark, d):
     return _panel(spark, d)
 
 
-@query("panel_check", "project_id:l position:l reason:s", sql(f"""
-WITH actual AS (SELECT project_id, CASE WHEN project_id % 10 = 0 AND position IN (2, 3) THEN 5 - position ELSE position END AS position, name, visible,
+I.CTES["actual"] = """
+SELECT project_id, CASE WHEN project_id % 10 = 0 AND position IN (2, 3) THEN 5 - position ELSE position END AS position, name, visible,
     CASE WHEN project_id % 17 = 0 AND position = 4 THEN 7 ELSE opacity END AS opacity, locked AND project_id % 23 <> 0 AS locked, CASE WHEN project_id % 29 = 0 THEN 'mul' ELSE 'norm' END AS blend
-  FROM panel WHERE NOT (project_id % 31 = 0 AND position = 5)),
-j AS (SELECT coalesce(e.project_id, a.project_id) AS project_id, coalesce(e.position, a.position) AS position, e.name AS en, e.visible AS ev, e.opacity AS eo, e.locked AS el, a.name, a.visible, a.opacity, a.locked, a.blend
-  FROM panel e FULL JOIN actual a ON e.project_id = a.project_id AND e.position = a.position)
+  FROM panel WHERE NOT (project_id % 31 = 0 AND position = 5)"""
+I.CTES["joined_panels"] = """
+SELECT coalesce(e.project_id, a.project_id) AS project_id, coalesce(e.position, a.position) AS position, e.name AS en, e.visible AS ev, e.opacity AS eo, e.locked AS el, a.name, a.visible, a.opacity, a.locked, a.blend
+  FROM panel e FULL JOIN actual a ON e.project_id = a.project_id AND e.position = a.position"""
+
+
+@query("panel_check", "project_id:l position:l reason:s", sql(f"""
 SELECT project_id, position, reason FROM (SELECT j.project_id, j.position, CASE WHEN en IS NULL OR j.name IS NULL THEN 'LAYER_COUNT' WHEN j.name <> en THEN 'ORDER' WHEN j.visible <> ev THEN 'VISIBILITY'
    WHEN j.opacity <> eo THEN 'OPACITY' WHEN j.locked <> el THEN 'LOCK' WHEN j.blend <> 'norm' THEN 'BLEND' WHEN j.position = 1 AND (j.name <> '{SOURCE}' OR j.visible OR NOT j.locked) THEN 'SOURCE_NOT_FIRST'
    WHEN j.position = top AND j.name <> '{README}' THEN 'READ_ME_NOT_LAST'
    WHEN starts_with(j.name, '{FILL}') AND u.name IS DISTINCT FROM substr(j.name, {len(FILL) + 1}) THEN 'FILL_NOT_UNDER_OWNER' END AS reason
- FROM j LEFT JOIN actual u ON u.project_id = j.project_id AND u.position = j.position + 1
+ FROM joined_panels j LEFT JOIN actual u ON u.project_id = j.project_id AND u.position = j.position + 1
    LEFT JOIN (SELECT project_id, max(position) AS top FROM actual GROUP BY 1) t ON t.project_id = j.project_id) WHERE reason IS NOT NULL"""))
 def _(spark, d):
     expected = _panel(spark, d)

@@ -128,7 +128,7 @@ def _visible(spark, d) -> DataFrame:
 sizes AS (SELECT image_id, sx, sy, count(*) AS n, count(*) FILTER (WHERE (5 * y + x) % 256 % 2 = 0) AS h1 FROM flood GROUP BY 1, 2, 3),
 top AS (SELECT * FROM sizes QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY n DESC, sy, sx) = 1)
 SELECT s.image_id, count(*) AS components, median(s.n) AS median_size, max(s.n) AS largest, any_value(t.sy) AS largest_y, any_value(t.sx) AS largest_x, any_value(t.h1) AS h1, any_value(t.n - t.h1) AS h2,
-  CASE WHEN h1 = h2 THEN 'tie' WHEN h1 > h2 THEN 'H1' ELSE 'H2' END AS dominant, CASE WHEN h1 > 0 AND h2 > 0 THEN 'mixed' ELSE 'single_group' END AS composition
+  any_value(CASE WHEN t.h1 = t.n - t.h1 THEN 'tie' WHEN t.h1 > t.n - t.h1 THEN 'H1' ELSE 'H2' END) AS dominant, any_value(CASE WHEN t.h1 > 0 AND t.n > t.h1 THEN 'mixed' ELSE 'single_group' END) AS composition
 FROM sizes s JOIN top t USING (image_id) GROUP BY 1""")
 def _(spark, d):
     from ..session import cut

@@ -1,8 +1,9 @@
-"""Session helpers: runtime tuning and reliable checkpoints."""
+"""Session helpers: runtime tuning and tables that cut lineage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,25 +34,29 @@ def local_session(cores: str = "8", memory: str = "8g", partitions: int = 8) ->
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``; a local folder only for a local master."""
+def work_folder(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``; a local folder only where it is unset on a local master."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    configured = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None:
+    known = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if known is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative operators")
-        configured = tempfile.mkdtemp(prefix="spark-celstack-")
-    context.setCheckpointDir(configured)
+        known = tempfile.mkdtemp(prefix="spark-celstack-")
+        context.setCheckpointDir(known)
+    return known
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably and drop its lineage; survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    The lineage ends there, so a lost executor never replays a loop, and unlike an in-memory checkpoint the table has
+    exact sizes for join planning and carries no constraints that would grow from round to round.
+    """
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -144,8 +144,8 @@ def nearest_fill(known: DataFrame, target: DataFrame, keys: list[str], max_level
     """Colour of the breadth-first nearest known cell for every reachable target cell.
 
     A cell is claimed by the first cell of the previous level's queue that touches it. Queue order is the lexicographic
-    order of (seed cell, directions taken), so carrying that path replaces any global ranking: a level is one join, one
-    anti-join and one combinable minimum. ``known``: (keys, x, y, r, g, b); ``target``: (keys, x, y, v).
+    order of (seed cell, directions taken), so carrying that path replaces any global ranking: a level is one join with the
+    target, anti-joins with the two levels before it, and one combinable minimum. ``known``: (keys, x, y, r, g, b); ``target``: (keys, x, y, v).
     """
     at = [*keys, "x", "y"]
     open_cells = cut(target.where("v > 0").select(*at, "v").join(known.select(*at), at, "left_anti"))
@@ -157,11 +157,14 @@ def nearest_fill(known: DataFrame, target: DataFrame, keys: list[str], max_level
         step = frontier.select(*at, "origin", F.explode(moves).alias("m")).select(
             *keys, (F.col("x") + F.col("m.dx")).alias("x"), (F.col("y") + F.col("m.dy")).alias("y"),
             F.struct("origin.seed", F.concat("origin.path", "m.d").alias("path"), "origin.r", "origin.g", "origin.b").alias("origin"))
-        claimed = cut(step.join(open_cells, at).groupBy(*at).agg(F.min("origin").alias("origin"), F.max("v").alias("v")))
+        reached = step.join(open_cells, at)
+        # levels of neighbouring cells differ by at most one, so only the last two can be touched again
+        for earlier in levels[-2:]:
+            reached = reached.join(earlier.select(*at), at, "left_anti")
+        claimed = cut(reached.groupBy(*at).agg(F.min("origin").alias("origin"), F.max("v").alias("v")))
         if claimed.isEmpty():
             break
         levels.append(claimed.withColumn("level", F.lit(level + 1)))
-        open_cells = cut(open_cells.join(claimed.select(*at), at, "left_anti"))
         frontier = claimed.select(*at, "origin")
     else:
         raise RuntimeError("nearest fill did not finish within the level limit")

@@ -117,9 +117,7 @@ def corner_fill(pixels: DataFrame, images: DataFrame) -> DataFrame:
     dims = images.select("image_id", F.col("width").cast("bigint").alias("width"), F.col("height").cast("bigint").alias("height"))
     sized = pixels.join(dims, "image_id")
     corner = F.expr("(x = 0 or x = width - 1) and (y = 0 or y = height - 1)")
-    weight = F.expr("if(width = 1, 2, 1) * if(height = 1, 2, 1)")
     means = sized.where(corner).groupBy("image_id").agg(*[F.expr(f"sum({c} * (if(width = 1, 2, 1) * if(height = 1, 2, 1))) div 4").alias(f"m{c}") for c in "rgba"])
-    del weight
 
     def inside(box: tuple[int, int, int, int]) -> str:
         x0, y0, x1, y1 = box

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rasters", "projects", "ledger", "experiment", "compose", "fidelity", "layers", "motion")
+MODULES = ("rasters", "projects", "ledger", "experiment", "compose", "fidelity", "layers", "motion", "signals", "documents")
 
 
 def load():

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 MAX_UPLOAD_BYTES = 25 * 1024 * 1024
 MIN_SIDE, MAX_SIDE, MAX_PIXELS = 1024, 8192, 40_000_000
@@ -62,7 +61,7 @@ def raster_facts(rasters: DataFrame, min_side: int = MIN_SIDE, max_side: int = M
     return rasters.select("image_id", "width", "height", (~opaque).alias("had_alpha"), reason.alias("reason_code"))
 
 
-PROJECT_SCHEMA = T.StructType.fromDDL("""
+PROJECT_SCHEMA = """
     format string, format_version string, project_id string, revision_id string,
     canvas struct<width: int, height: int>,
     artifacts array<struct<id: string, uri: string, sha256: string, byte_length: bigint, media_type: string, role: string, sensitivity: string>>,
@@ -75,11 +74,11 @@ PROJECT_SCHEMA = T.StructType.fromDDL("""
     provenance array<struct<id: string, producer_kind: string, stage_id: string>>,
     ontology_completion array<struct<slot_id: string, status: string, reason_codes: array<string>>>,
     overrides array<struct<id: string, operation: string, target_id: string>>,
-    _corrupt string""")
+    _corrupt string"""
 CHILDREN = ("artifacts", "layers", "meshes", "parameters", "bindings", "confidence_facts", "generated_regions", "provenance", "ontology_completion", "overrides")
 
 
-def parse_documents(texts: DataFrame, column: str, schema: T.StructType) -> DataFrame:
+def parse_documents(texts: DataFrame, column: str, schema: str) -> DataFrame:
     """Parse JSON text with a fixed schema; unreadable documents keep their text in ``_corrupt``."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     return texts.withColumn("doc", F.from_json(F.col(column), schema, options)).select(*[c for c in texts.columns if c != column], "doc.*")
@@ -100,11 +99,11 @@ def project_children(projects: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-MANIFEST_SCHEMA = T.StructType.fromDDL("""
+MANIFEST_SCHEMA = """
     format_version string, run_id string, terminal_status string,
     stages array<struct<stage_id: string, attempt: int, status: string, reason_code: string, wall_ms: bigint,
         outputs: array<struct<role: string, sha256: string, byte_length: bigint>>>>,
-    _corrupt string""")
+    _corrupt string"""
 
 
 def scan_run_manifests(spark: SparkSession, path: str) -> DataFrame:

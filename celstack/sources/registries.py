@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import fixed
 
@@ -31,7 +30,7 @@ def parameters(spark: SparkSession) -> DataFrame:
 
 def read_ontology(spark: SparkSession, path: str) -> DataFrame:
     """Slots of ontology registry files: one row per (registry file, slot)."""
-    schema = T.StructType.fromDDL(
+    schema = (
         "registry string, version string, slots array<struct<id: string, parent: string, side: string, cardinality: string, applicability: string>>"
     )
     raw = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
@@ -40,7 +39,7 @@ def read_ontology(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_parameters(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType.fromDDL(
+    schema = (
         "registry string, version string, parameters array<struct<id: string, capability: string, unit: string,"
         " template_range: array<double>, neutral: double, sign: string, roles: array<string>>>"
     )

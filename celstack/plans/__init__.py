@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rasters", "projects", "ledger", "experiment", "compose", "fidelity", "layers", "motion", "signals", "documents")
+MODULES = (
+    "rasters", "projects", "ledger", "experiment", "compose", "fidelity", "layers", "motion", "signals", "documents", "metrics",
+)
 
 
 def load():

@@ -47,12 +47,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def _to_roots(parent: DataFrame, max_jumps: int = 64) -> DataFrame:
-    """Pointer doubling until every ``(node, p)`` points at a root; roots point at themselves."""
+    """Pointer doubling, two doublings per written table, until every ``(node, p)`` points at a root (roots at themselves)."""
     for _ in range(max_jumps):
         up = parent.select(F.col("node").alias("p"), F.col("p").alias("pp"))
-        jumped = cut(parent.join(up, "p").select("node", "p", "pp"))
-        moved = not jumped.where("p <> pp").isEmpty()
-        parent = jumped.select("node", F.col("pp").alias("p"))
+        twice = parent.join(up, "p").select("node", "p", "pp")
+        further = twice.select(F.col("node").alias("pp"), F.col("pp").alias("p4"))
+        jumped = cut(twice.join(further, "pp").select("node", "p", "p4"))
+        moved = not jumped.where("p <> p4").isEmpty()
+        parent = jumped.select("node", F.col("p4").alias("p"))
         if not moved:
             return parent
     raise RuntimeError("pointer chains are longer than the jump limit allows")

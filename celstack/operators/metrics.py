@@ -46,8 +46,9 @@ def slice_report(items: DataFrame, dimensions: list[str]) -> DataFrame:
     levels = F.array(F.struct(F.lit("overall").alias("dimension"), F.lit("all").alias("level")),
                      *[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("level")) for d in dimensions])
     facts = items.select("success", F.inline(levels)).groupBy("dimension", "level").agg(F.count("*").alias("n"), F.count_if("success").alias("wins"))
-    overall = facts.where("dimension = 'overall'").select(F.expr("wins / n").alias("overall_rate"), F.lit(1).alias("one"))
-    joined = facts.withColumn("one", F.lit(1)).join(F.broadcast(overall), "one").withColumn("rate", F.expr("wins / n"))
+    # every item has exactly one level per dimension, so each dimension's levels sum to the overall counts
+    overall = facts.groupBy("dimension").agg((F.sum("wins") / F.sum("n")).alias("overall_rate"))
+    joined = facts.join(overall, "dimension").withColumn("rate", F.expr("wins / n"))
     verdict = F.expr("case when n >= 3 and wins = 0 then 'zero_success' when n < 20 then 'exploratory' when rate < 0.65D then 'below_minimum'"
                      " when rate < overall_rate - 0.15D then 'far_below_overall' else 'ok' end")
     return joined.select("dimension", "level", "n", "wins", "rate", verdict.alias("verdict"))

@@ -35,9 +35,10 @@ def upload_verdicts(uploads: DataFrame) -> DataFrame:
 
 
 def scan_uploads(spark: SparkSession, path: str, declared_types: DataFrame) -> DataFrame:
-    """Uploaded files joined to their declared types ``(path, declared_type)``; the content leaves the scan pruned."""
+    """Uploaded files against their declared types ``(path, declared_type)``, in both directions: the file source skips
+    empty files, so a declared upload without bytes is rejected here rather than lost."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
-    return upload_verdicts(files.join(declared_types, "path", "left")).drop("content")
+    return upload_verdicts(files.join(declared_types, "path", "full")).drop("content")
 
 
 def scan_rasters(spark: SparkSession, path: str) -> DataFrame:

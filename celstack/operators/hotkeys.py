@@ -47,7 +47,12 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list[str], na
     totals = base.groupBy(*keys, _BUCKET).agg(total.alias("__total"))
     carry = _carry(totals, keys, carried.over(across))
     scanned = base.withColumn("__local", fold.over(local))
-    return scanned.join(carry, [*keys, _BUCKET], "left").withColumn(name, merged).drop("__local", "__carry", "__value", _BUCKET)
+    # null-safe equality, so rows with a null key form a key of their own here as they do in a window
+    names = {k: f"__key{i}" for i, k in enumerate([*keys, _BUCKET])}
+    renamed = carry.withColumnsRenamed(names)
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    joined = scanned.join(renamed, same, "left").withColumn(name, merged)
+    return joined.drop("__local", "__carry", "__value", _BUCKET, *names.values())
 
 
 def row_number(df: DataFrame, keys: list[str], bucket: Column, order: list[str], name: str) -> DataFrame:

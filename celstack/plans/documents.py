@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import pixels as P
 from ..sources import files as S
 from ..sources import registries as R
 from ..sources import sinks as W
@@ -14,6 +13,18 @@ from .inputs import sql
 from .registry import query
 
 
+@query("raster_pixels", "image_id:l x:l y:l r:l g:l b:l a:l", sql("SELECT image_id, x, y, r, g, b, CASE WHEN image_id % 2 = 0 THEN 255 ELSE a END AS a FROM px"))
+def _(spark, d):
+    # blobs in the image source's layout: even images without alpha
+    hexed = lambda c: f"lpad(hex({c}), 2, '0')"
+    cell = I.pixels(spark, d).select("image_id", "x", "y", F.expr(f"concat({hexed('b')}, {hexed('g')}, {hexed('r')}, if(image_id % 2 = 0, '', {hexed('a')}))").alias("h"))
+    line = cell.groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", "h"))).alias("c")).select("image_id", "y", F.expr("array_join(transform(c, q -> q.h), '')").alias("h"))
+    blob = line.groupBy("image_id").agg(F.count("*").alias("height"), F.array_sort(F.collect_list(F.struct("y", "h"))).alias("c"))
+    rasters = blob.select("image_id", F.lit(64).alias("width"), F.col("height").cast("int").alias("height"), F.expr("if(image_id % 2 = 0, 3, 4)").alias("channels"),
+                          F.expr("unhex(array_join(transform(c, q -> q.h), ''))").alias("data"))
+    return S.raster_pixels(rasters)
+
+
 @query("upload_verdicts", "upload_id:l sniffed_type:s reason_code:s sha256:s", sql(r"""
 SELECT upload_id, sniffed AS sniffed_type, reason AS reason_code, CASE WHEN reason IS NULL THEN sha256(content) END AS sha256 FROM (
   SELECT *, CASE WHEN octet_length(content) = 0 THEN 'INPUT_UNSUPPORTED' WHEN declared NOT IN ('image/png', 'image/jpeg') THEN 'INPUT_UNSUPPORTED' WHEN sniffed IS NULL OR sniffed <> declared THEN 'INPUT_UNSUPPORTED' END AS reason FROM (
@@ -32,8 +43,8 @@ def _(spark, d):
 SELECT image_id, any_value(width) AS width, any_value(height) AS height, bool_or(CASE WHEN image_id % 2 = 0 THEN 255 ELSE a END < 255) AS had_alpha,
   CASE WHEN any_value(width * height) > 4000 THEN 'STAGE_RESOURCE_LIMIT_EXCEEDED' WHEN any_value(height) < 55 THEN 'INPUT_UNSUPPORTED' END AS reason_code FROM px JOIN img USING (image_id) GROUP BY 1"""))
 def _(spark, d):
-    packed = P.pack_pixels(I.pixels(spark, d).withColumn("a", F.expr("if(image_id % 2 = 0, 255, a)")))
-    return S.raster_facts(packed, min_side=55, max_side=64, max_pixels=4000)
+    pixels = I.pixels(spark, d).withColumn("a", F.expr("if(image_id % 2 = 0, 255, a)"))
+    return S.raster_facts(I.images(spark, d), pixels, min_side=55, max_side=64, max_pixels=4000)
 
 
 def _documents(spark, d) -> DataFrame:

@@ -42,24 +42,36 @@ def scan_uploads(spark: SparkSession, path: str, declared_types: DataFrame) -> D
 
 
 def scan_rasters(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded images as ``(image_id, width, height, rgba)``: channel order and a missing alpha channel are normalised.
+    """Decoded images as ``(image_id, width, height, channels, data)``; unreadable files and other channel counts are dropped.
 
-    The JVM image source decodes; it stores blue, green, red and, with four channels, straight alpha.
+    The JVM image source decodes. It stores rows from the top, each pixel as blue, green, red and, with four channels,
+    straight alpha.
     """
     raw = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*").where("nChannels in (3, 4)")
-    rgba = F.expr(
-        "array_join(transform(sequence(0, width * height - 1), i -> concat(hex(substring(data, i * nChannels + 3, 1)), hex(substring(data, i * nChannels + 2, 1)),"
-        " hex(substring(data, i * nChannels + 1, 1)), if(nChannels = 4, hex(substring(data, i * nChannels + 4, 1)), 'FF'))), '')")
-    return raw.select(F.col("origin").alias("image_id"), "width", "height", F.unhex(rgba).alias("rgba"))
+    return raw.select(F.col("origin").alias("image_id"), "width", "height", F.col("nChannels").alias("channels"), "data")
 
 
-def raster_facts(rasters: DataFrame, min_side: int = MIN_SIDE, max_side: int = MAX_SIDE, max_pixels: int = MAX_PIXELS) -> DataFrame:
-    """Whether alpha was used, and the dimension envelope verdict. Alpha is read as every fourth byte of the hex text."""
-    opaque = F.expr("hex(rgba) rlike '^(.{6}FF)*$'")
+def raster_pixels(rasters: DataFrame) -> DataFrame:
+    """Scanned images to one RGBA row per pixel; a missing alpha channel is opaque.
+
+    The blob is cut into raster rows before pixels are made, so no intermediate grows with the image.
+    """
+    rows = rasters.select("image_id", "width", "channels", F.posexplode(F.expr(
+        "transform(sequence(0, height - 1), i -> substring(data, i * width * channels + 1, width * channels))")).alias("y", "line"))
+    cells = rows.select("image_id", "y", "channels", F.hex("line").alias("h"), F.explode(F.expr("sequence(0, width - 1)")).alias("x"))
+    sample = lambda k: F.expr(f"cast(conv(substring(h, (x * channels + {k}) * 2 + 1, 2), 16, 10) as int)")
+    return cells.select("image_id", "x", "y", sample(2).alias("r"), sample(1).alias("g"), sample(0).alias("b"),
+                        F.when(F.col("channels") == 4, sample(3)).otherwise(255).alias("a"))
+
+
+def raster_facts(images: DataFrame, pixels: DataFrame, min_side: int = MIN_SIDE, max_side: int = MAX_SIDE, max_pixels: int = MAX_PIXELS) -> DataFrame:
+    """Whether any alpha sample is below 255, and the dimension envelope verdict."""
+    lowest = pixels.groupBy("image_id").agg(F.min("a").alias("lowest"))
     reason = F.expr(
         f"case when cast(width as bigint) * height > {max_pixels} then 'STAGE_RESOURCE_LIMIT_EXCEEDED'"
         f" when width not between {min_side} and {max_side} or height not between {min_side} and {max_side} then 'INPUT_UNSUPPORTED' end")
-    return rasters.select("image_id", "width", "height", (~opaque).alias("had_alpha"), reason.alias("reason_code"))
+    return images.join(lowest, "image_id", "left").select(
+        "image_id", "width", "height", F.coalesce(F.col("lowest") < 255, F.lit(False)).alias("had_alpha"), reason.alias("reason_code"))
 
 
 PROJECT_SCHEMA = """

@@ -12,7 +12,7 @@ from celstack.operators import hotkeys
 
 def test_scans_equal_windows(spark):
     rng = random.Random(2)
-    rows = [(0 if rng.random() < 0.7 else rng.randrange(1, 9), i, rng.choice([None, *range(50)])) for i in range(3000)]
+    rows = [(0 if rng.random() < 0.7 else rng.choice([None, *range(1, 9)]), i, rng.choice([None, *range(50)])) for i in range(3000)]
     df = spark.createDataFrame(rows, "k int, pos bigint, v int")
     bucket = F.expr("pos div 37")
     whole = Window.partitionBy("k").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

@@ -9,7 +9,7 @@ import zlib
 from pathlib import Path
 
 from celstack.functions import fixed
-from celstack.operators import graph, pixels
+from celstack.operators import graph
 from celstack.sources import files, registries, sinks
 
 
@@ -32,10 +32,11 @@ def test_scan_rasters_and_uploads(spark):
     (folder / "c.png").write_bytes(b"not an image")
     (folder / "d.png").write_bytes(b"")
     rasters = files.scan_rasters(spark, str(folder))
-    facts = {Path(r["image_id"]).name: r for r in files.raster_facts(rasters, 1, 100, 1000).collect()}
+    scanned = files.raster_pixels(rasters)
+    facts = {Path(r["image_id"]).name: r for r in files.raster_facts(rasters, scanned, 1, 100, 1000).collect()}
     assert set(facts) == {"a.png", "b.png"} and facts["a.png"]["had_alpha"] and not facts["b.png"]["had_alpha"]
-    assert files.raster_facts(rasters).where("reason_code = 'INPUT_UNSUPPORTED'").count() == 2
-    for r in pixels.explode_pixels(rasters).collect():
+    assert files.raster_facts(rasters, scanned).where("reason_code = 'INPUT_UNSUPPORTED'").count() == 2
+    for r in scanned.collect():
         name, want = Path(r["image_id"]).name, colour(r["x"], r["y"])
         got = (r["r"], r["g"], r["b"], r["a"])
         assert got == (want if name == "a.png" else (*want[:3], 255))

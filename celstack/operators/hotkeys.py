@@ -10,15 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BUCKET = "__bucket"
-
-
-def _bucketed(df: DataFrame, bucket: Column) -> DataFrame:
-    return df.withColumn(_BUCKET, bucket)
-
-
-def _carry(summary: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    return summary.select(*keys, _BUCKET, value.alias("__carry"))
+_KEY = "__key"
 
 
 def running(df: DataFrame, keys: list[str], bucket: Column, order: list[str], name: str, value: Column, how: str,
@@ -27,10 +19,13 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list[str], na
 
     ``order`` must be a total order inside a key and ``bucket`` must not decrease along it.
     """
-    base = _bucketed(df, bucket).withColumn("__value", value)
+    # One struct carries the key and its bucket: structs with null fields compare equal, so a null key is a key like any
+    # other, and window, summary and join all hash the same expression, so the rows are shuffled once.
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], bucket.alias("bucket"))
+    base = df.withColumn(_KEY, key).withColumn("__value", value)
     end = -1 if exclusive else 0
-    local = Window.partitionBy(*keys, _BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    across = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    local = Window.partitionBy(_KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    across = Window.partitionBy(*[f"{_KEY}.k{i}" for i in range(len(keys))]).orderBy(f"{_KEY}.bucket").rowsBetween(Window.unboundedPreceding, -1)
     v, t, c, l = F.col("__value"), F.col("__total"), F.col("__carry"), F.col("__local")
     if how in ("sum", "count"):
         fold, total, carried = (F.sum if how == "sum" else F.count)(v), (F.sum(v) if how == "sum" else F.count(v)), F.sum(t)
@@ -44,15 +39,10 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list[str], na
         carried, merged = F.last(t, ignorenulls=True), F.coalesce(l, c)
     else:
         raise ValueError(how)
-    totals = base.groupBy(*keys, _BUCKET).agg(total.alias("__total"))
-    carry = _carry(totals, keys, carried.over(across))
+    totals = base.groupBy(_KEY).agg(total.alias("__total"))
+    carry = totals.select(_KEY, carried.over(across).alias("__carry"))
     scanned = base.withColumn("__local", fold.over(local))
-    # null-safe equality, so rows with a null key form a key of their own here as they do in a window
-    names = {k: f"__key{i}" for i, k in enumerate([*keys, _BUCKET])}
-    renamed = carry.withColumnsRenamed(names)
-    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
-    joined = scanned.join(renamed, same, "left").withColumn(name, merged)
-    return joined.drop("__local", "__carry", "__value", _BUCKET, *names.values())
+    return scanned.join(carry, _KEY, "left").withColumn(name, merged).drop("__local", "__carry", "__value", _KEY)
 
 
 def row_number(df: DataFrame, keys: list[str], bucket: Column, order: list[str], name: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import signals as S
-from ..session import cut, work_folder
+from ..session import work_folder
 from ..streaming import tracks as T
 from . import inputs as I
 from .inputs import sql

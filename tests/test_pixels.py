@@ -82,8 +82,6 @@ def test_pack_explode_round_trip_and_orientations(spark):
     packed = pixels.pack_pixels(df)
     assert {(r["x"], r["y"]): (r["r"], r["g"], r["b"], r["a"]) for r in pixels.explode_pixels(packed).collect()} == px
     # each orientation is a bijection; 6 is a clockwise quarter turn: the left column becomes the top row
-    from pyspark.sql import functions as F
-
     for o in range(1, 9):
         dims = spark.createDataFrame([(0, W, H, o)], "image_id bigint, width int, height int, orientation int")
         got = {(r["x"], r["y"]) for r in pixels.orient(df, dims).collect()}
@@ -92,7 +90,6 @@ def test_pack_explode_round_trip_and_orientations(spark):
     dims = spark.createDataFrame([(0, W, H, 6)], "image_id bigint, width int, height int, orientation int")
     turned = {(r["x"], r["y"]): r["a"] for r in pixels.orient(df, dims).collect()}
     assert all(turned[H - 1 - y, 0] == px[0, y][3] for y in range(H))
-    del F
 
 
 def filtered(values, n, side, kind):

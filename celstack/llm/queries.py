@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, ngram_join, quality
+from . import line_dedup, ngram_join, packing, quality
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +71,8 @@ FROM keyed LEFT JOIN repeated r ON keyed.k = r.k GROUP BY doc_id
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedupe_lines(table(spark, sf_dir, "documents"), min_docs=10, min_points=1)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query()
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), capacity=1024)

@@ -13,6 +13,7 @@ labels of one id the smallest non-null counts; without labels of both classes ev
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,7 @@ from .common import utf8
 
 WINDOW = 512
 BUCKETS = 256
+SHRINK = 48
 HIDDEN = 32
 GATE = 16
 
@@ -39,7 +41,7 @@ def _byte_classes() -> np.ndarray:
 
 
 KINDS = _byte_classes()
-WIDTH = BUCKETS + 10
+WIDTH = BUCKETS + 11
 
 
 def encode_passages(text: str | None) -> np.ndarray:
@@ -58,11 +60,14 @@ def encode_passages(text: str | None) -> np.ndarray:
         grams = np.bincount(at[:-2] * BUCKETS + bucket, minlength=count * BUCKETS).reshape(count, BUCKETS).astype(np.float32)
     else:
         grams = np.zeros((count, BUCKETS), np.float32)
-    total = np.maximum(grams.sum(1, keepdims=True), 1)
-    repeated = np.square(grams / total).sum(1, keepdims=True)
-    root = np.sqrt(grams)
-    root /= np.maximum(np.linalg.norm(root, axis=1, keepdims=True), 1e-6)
-    return np.hstack([root, 2 * shares / size, 8 * repeated, np.ones((count, 1))]).astype(np.float32)
+    total = grams.sum(1, keepdims=True)
+    # chance that two trigrams of the passage are equal, without the bias that short passages would have
+    repeated = (grams * (grams - 1)).sum(1, keepdims=True) / np.maximum(total * (total - 1), 1)
+    # short passages say little, so their features shrink towards zero
+    root = np.sqrt(grams / (total + SHRINK))
+    words = text.split()
+    stutter = np.full((count, 1), sum(map(operator.eq, words, words[1:])) / (len(words) + 8))
+    return np.hstack([root, stutter, 2 * shares / (size + SHRINK / 2), 8 * repeated * total / (total + SHRINK), np.ones((count, 1))]).astype(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

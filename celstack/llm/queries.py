@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, ngram_join, packing, quality
+from . import bpe, line_dedup, ngram_join, packing, quality, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +76,29 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=1024)
+
+
+@query()
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query("""
+WITH paged AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), bits AS (
+  SELECT *, array_to_string(list_transform(range(1, 41), lambda i: (['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001',
+    '1010', '1011', '1100', '1101', '1110', '1111'])[1 + instr('0123456789abcdef', hex[i]) - 1]), '') AS b FROM paged
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda g: ('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')[1 + CAST(list_sum(list_transform(range(0, 5),
+         lambda k: CAST(b[5 * g + k + 1] AS INT) * CAST(pow(2, 4 - k) AS INT))) AS INT)]), '') AS payload_digest,
+       CASE WHEN page_id = max(page_id) OVER (PARTITION BY hex) THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = max(page_id) OVER (PARTITION BY hex) THEN NULL ELSE max(page_id) OVER (PARTITION BY hex) END AS refers_to
+FROM bits
+""")
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    archives = warc.write_archives(pages, min_bytes=0)
+    read = warc.read_archives(archives)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

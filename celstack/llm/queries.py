@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, ngram_join, packing, quality, warc
+from . import bpe, line_dedup, ngram_join, packing, quality, templates, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,3 +102,9 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(pages, min_bytes=0)
     read = warc.read_archives(archives)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op2_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = templates.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

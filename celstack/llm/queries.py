@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, ngram_join, packing, quality, templates, warc
+from . import ann, bpe, line_dedup, ngram_join, packing, quality, templates, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = templates.extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query()
+def op4_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, line_dedup, ngram_join, packing, quality, templates, warc
+from . import ann, bpe, line_dedup, ngram_join, packing, quality, templates, url_filter, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +113,38 @@ def op2_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query(r"""
+WITH split AS (
+  SELECT page_id, url, lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?([^?#]*)', 1)) AS host,
+         list_filter(string_split(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?([^?#]*)', 2), '/'), lambda s: s <> '') AS segs,
+         1704067200 + CAST('0x' || substr(md5(concat_ws('|', page_id, url)), 1, 8) AS BIGINT) % 31622400 AS fetched_at
+  FROM pages
+), asked AS (
+  SELECT page_id, url, fetched_at, unnest([{'kind': 'host', 'pattern': host, 'specific': 65536}]
+    || list_transform(range(1, len(string_split(host, '.')) + 1), lambda k: {'kind': 'domain', 'pattern': array_to_string(string_split(host, '.')[k:], '.'),
+         'specific': CAST(len(string_split(host, '.')) - k AS INT)})
+    || list_transform(range(1, least(len(segs), 4) + 1), lambda k: {'kind': 'prefix', 'pattern': host || '/' || array_to_string(segs[1:k], '/'), 'specific': CAST(131072 + k AS INT)})) AS p
+  FROM split WHERE host <> ''
+), listed AS (
+  SELECT kind, pattern, listed_at, max(action) AS action FROM (
+    SELECT kind, pattern, (['block', 'allow', 'remove'])[1 + code % 3] AS action, 1704067200 + code % 31622400 AS listed_at FROM (
+      SELECT kind, pattern, CAST('0x' || substr(md5(kind || '|' || pattern || '|' || turn), 1, 8) AS BIGINT) AS code
+      FROM (SELECT DISTINCT p.kind AS kind, p.pattern AS pattern FROM asked), range(4) AS t(turn)))
+  GROUP BY ALL
+), hits AS (
+  SELECT a.page_id, a.url, a.fetched_at, a.p.specific AS specific, l.kind, l.pattern, l.action, l.listed_at
+  FROM asked a ASOF JOIN listed l ON a.p.kind = l.kind AND a.p.pattern = l.pattern AND a.fetched_at >= l.listed_at
+), best AS (
+  SELECT page_id, url, fetched_at, max_by({'kind': kind, 'pattern': pattern, 'action': action, 'listed_at': listed_at}, specific) AS hit
+  FROM hits WHERE action <> 'remove' GROUP BY ALL
+)
+SELECT s.page_id, s.url, s.fetched_at, CASE WHEN hit.action = 'block' THEN 'blocked' ELSE 'allowed' END AS verdict, hit.kind AS kind, hit.pattern AS pattern,
+       hit.listed_at AS listed_at
+FROM split s LEFT JOIN best b ON s.page_id = b.page_id AND s.url = b.url AND s.fetched_at = b.fetched_at
+""")
+def op7_temporal_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    found = url_filter.filter_captures(url_filter.dated_captures(pages), url_filter.listed_from_pages(pages))
+    return found.withColumns({"fetched_at": F.unix_seconds("fetched_at"), "listed_at": F.unix_seconds("listed_at")})

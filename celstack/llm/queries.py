@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, line_dedup, ngram_join, packing, quality, templates, url_filter, warc
+from . import ann, bpe, line_dedup, media, ngram_join, packing, quality, templates, url_filter, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,3 +148,8 @@ def op7_temporal_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     found = url_filter.filter_captures(url_filter.dated_captures(pages), url_filter.listed_from_pages(pages))
     return found.withColumns({"fetched_at": F.unix_seconds("fetched_at"), "listed_at": F.unix_seconds("listed_at")})
+
+
+@query()
+def op10_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.copy_groups(media.rendered(table(spark, sf_dir, "embeddings")))

@@ -32,8 +32,9 @@ from .common import utf8
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Matches the same pieces as the tokenizers' pattern; possessive repeats keep very long runs from backtracking.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-MANY_STATES = 1 << 17
-MANY_PIECES = 1 << 18
+MANY_STATES = 1 << 19
+MANY_PIECES = 1 << 19
+REMEMBERED_POINTS = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -141,7 +142,7 @@ class Transducer:
             state, emitted = step if step is not None else self._move(state, byte)
             if emitted:
                 out += emitted
-            if len(self.states) > 4 * self.many:  # one very long piece: restart from the same starts
+            if len(self.states) > 2 * self.many:  # one very long piece: restart from the same starts
                 starts = self.states[state]
                 self.reset()
                 state = self._state(starts)
@@ -162,11 +163,15 @@ class Encoder:
         pieces, known = self.pieces.findall(text), self.known
         if len(known) > MANY_PIECES:
             known.clear()
-        for piece in set(pieces).difference(known):
+        fresh = set(pieces).difference(known)
+        for piece in fresh:
             known[piece] = self.transducer(utf8(piece))
         ids: list[int] = []
         for piece in pieces:
             ids += known[piece]
+        for piece in fresh:
+            if len(piece) > REMEMBERED_POINTS:
+                del known[piece]
         return np.array(ids, "<u4")
 
 
@@ -205,7 +210,7 @@ class StreamDecoder:
                 cut = len(data) - back if 0 < state < 7 else len(data)
                 break
         self.held = data[cut:]
-        return data[:cut].decode("utf-8", "surrogatepass" if _surrogates(data[:cut]) else "replace")
+        return _text(data[:cut])
 
     def close(self) -> str:
         """What is left at the end of the stream; an incomplete character becomes replacement characters."""
@@ -213,13 +218,15 @@ class StreamDecoder:
         return left.decode("utf-8", "replace")
 
 
-def _surrogates(data: bytes) -> bool:
-    """Whether the bytes are UTF-8 apart from encoded surrogates."""
+def _text(data: bytes) -> str:
+    """Whole characters as text; encoded surrogates pass, anything else that is not UTF-8 is replaced."""
     try:
-        data.decode("utf-8", "surrogatepass")
+        return data.decode()
     except UnicodeDecodeError:
-        return False
-    return True
+        try:
+            return data.decode("utf-8", "surrogatepass")
+        except UnicodeDecodeError:
+            return data.decode("utf-8", "replace")
 
 
 def decode(ids: np.ndarray, bytes_of: dict[int, bytes], step: int = 4096) -> str:

@@ -3,10 +3,11 @@
 1. Signatures. A document is the sorted set of its shingle hashes. Two sets with Jaccard similarity t differ in a bounded number
    of elements, so when the hash range is cut into one part more than that, some part is equal in both. The hash of each part is
    a signature; documents that share none cannot be linked. Sizes fall into intervals so that linked sets lie in the same or the
-   next one, and every set emits the parts of both. Signatures travel packed (16 bytes each) and are sorted in the reducers,
+   next one, and every set emits the parts of both. Signatures travel packed (7 bytes each) and are sorted in the reducers,
    which emit a star of edges for each shared one, never all pairs.
-2. Blocks. Components of these edges hold every link. Sets of a block meet in one task; a block of more than ``block`` sets is
-   cut into chunks.
+2. Blocks. The documents of a star are compared by counts of their hashes in 32 ranges: sets whose counts differ by more than
+   linked sets can differ are no candidates, which removes documents that merely share a passage. Components of the
+   remaining edges hold every link. Sets of a block meet in one task; a block of more than ``block`` sets is cut into chunks.
 3. T-occurrence. In a chunk an inverted index maps a shingle to its documents. A query merges its short lists with a heap and
    probes its long lists by binary search (DivideSkip); documents reaching the overlap that the threshold asks for are linked.
    Only connectivity is asked for, so candidates that are already connected are not searched for again.
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +40,7 @@ from .common import utf8
 
 FLUSH = 1 << 20
 BLOCK = 512
-PAIR = np.dtype([("sig", "<u8"), ("node", "<u8")])
-ROW = np.dtype([("doc", "<i8"), ("n", "<i8"), ("node", "<i8")])
+ROW = np.dtype([("doc", "<i8"), ("n", "<i8"), ("node", "<i8"), ("ref", "<i8"), ("spread", "<u2", 32)])
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -74,6 +75,11 @@ class Shingler:
         return np.unique(_mix(mixed))
 
 
+def spread_of(shingles: np.ndarray) -> np.ndarray:
+    """How the set spreads over 32 ranges of hashes; two sets differ at least by the sum of the differences of these counts."""
+    return np.minimum(np.bincount((shingles >> np.uint64(59)).astype(np.int64), minlength=32), 65535).astype("<u2")
+
+
 def set_digest(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes())
 
@@ -119,88 +125,108 @@ class Signatures:
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _packed(bucket, docs, pairs) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(docs, pa.binary()), pa.array(pairs, pa.binary())], ["bucket", "docs", "pairs"])
+def _reference(partition: int, flush: int) -> int:
+    """First reference of one flush of one task; a document adds its place in the flush, below 2^16."""
+    return (partition << 24 | flush) << 16
+
+
+def _pack_pairs(signs: np.ndarray, places: np.ndarray) -> bytes:
+    """Seven bytes a signature: 40 bits of it (its bucket tells more) and the document's place in the flush."""
+    return signs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() + places.astype("<u2").tobytes()
+
+
+def _unpack_pairs(packed: bytes, first: int) -> tuple[np.ndarray, np.ndarray]:
+    count = len(packed) // 7
+    wide = np.zeros((count, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(packed, np.uint8, 5 * count).reshape(-1, 5)
+    return wide.view("<u8").ravel(), np.frombuffer(packed, "<u2", count, 5 * count).astype(np.int64) + first
 
 
 def documents_and_edges(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """One pass over the texts: rows (doc_id, n, node) of documents and (a, b) of edges between nodes that share a signature."""
+    """One pass over the texts: rows (doc_id, n, node, ref) of documents and (a, b) of edges between refs that share a signature.
+
+    A ``ref`` stands for the document in one task that was first to have its set; copies after it there have none. Sets of one
+    node share all their signatures, so all refs of a node are in one component.
+    """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = 16 * partitions
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, signatures = Shingler(size), Signatures(num, den)
-        rows, signs, nodes, held, seen = [], [], [], 0, set()
+        shingler, signatures, partition = Shingler(size), Signatures(num, den), TaskContext.get().partitionId()
+        rows, signs, counts, held, flushes, seen = [], [], [], 0, 0, set()
 
         def flush() -> pa.RecordBatch:
-            pairs = np.empty(held, PAIR)
-            if held:
-                pairs["sig"] = np.concatenate(signs)
-                pairs["node"] = np.repeat(np.array([x[0] for x in nodes], np.uint64), [x[1] for x in nodes])
-            bucket = (pairs["sig"] % np.uint64(buckets)).astype(np.int64)
-            pairs, edges = pairs[np.argsort(bucket, kind="stable")], np.cumsum(np.bincount(bucket, minlength=buckets))
+            signed = np.concatenate([*signs, np.zeros(0, np.uint64)])
+            bucket = (signed % np.uint64(buckets)).astype(np.int64)
+            order, ends = np.argsort(bucket, kind="stable"), np.cumsum(np.bincount(bucket, minlength=buckets))
+            rest, places = (signed // np.uint64(buckets))[order], np.repeat([c[0] for c in counts], [c[1] for c in counts]).astype(np.int64)[order]
+            pairs = [_pack_pairs(*x) for x in zip(np.split(rest, ends[:-1]), np.split(places, ends[:-1]), strict=True)]
             ids = np.array(rows, ROW)
-            share = np.argsort(np.arange(len(ids)) % buckets, kind="stable")
-            splits = np.cumsum(np.bincount(np.arange(len(ids)) % buckets, minlength=buckets))
-            ids = ids[share]
-            packed_docs = [x.tobytes() for x in np.split(ids, splits[:-1])]
-            packed_pairs = [x.tobytes() for x in np.split(pairs, edges[:-1])]
-            full = [k for k in range(buckets) if packed_docs[k] or packed_pairs[k]]
-            return _packed(full, [packed_docs[k] for k in full], [packed_pairs[k] for k in full])
+            share = np.arange(len(ids)) % buckets
+            own = [x.tobytes() for x in np.split(ids[np.argsort(share, kind="stable")], np.cumsum(np.bincount(share, minlength=buckets))[:-1])]
+            full = [k for k in range(buckets) if own[k] or pairs[k]]
+            first = pa.array([_reference(partition, flushes)] * len(full), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), first, pa.array([own[k] for k in full], pa.binary()),
+                                               pa.array([pairs[k] for k in full], pa.binary())], ["bucket", "flush", "docs", "pairs"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 shingles = shingler(text)
-                digest = set_digest(shingles)
-                rows.append((doc_id, len(shingles), digest - (1 << 63)))
+                digest, ref = set_digest(shingles), -1
                 if len(shingles) and digest not in seen:
                     if len(seen) < FLUSH:  # only saves repeated signatures of copies; they are harmless
                         seen.add(digest)
+                    ref = _reference(partition, flushes) + len(rows)
                     signs.append(signatures(shingles))
-                    nodes.append((digest, len(signs[-1])))
+                    counts.append((len(rows), len(signs[-1])))
                     held += len(signs[-1])
-            if held >= FLUSH or len(rows) >= FLUSH:
-                yield flush()
-                rows, signs, nodes, held = [], [], [], 0
+                rows.append((doc_id, len(shingles), digest - (1 << 63), ref, spread_of(shingles)))
+                if held >= FLUSH or len(rows) >= 1 << 16:
+                    yield flush()
+                    rows, signs, counts, held, flushes = [], [], [], 0, flushes + 1
         if rows:
             yield flush()
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
         for batch in batches:
-            for k, own, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for k, first, own, packed in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if own:
                     ids = np.frombuffer(own, ROW)
-                    yield _rows(ids["doc"], ids["n"], ids["node"], None, None)
+                    yield _rows(ids["doc"], ids["n"], ids["node"], ids["ref"], [x.tobytes() for x in ids["spread"]], None, None)
                 if k != bucket:
                     yield _star(held)
                     bucket, held = k, []
-                held.append(packed)
+                held.append((packed, first))
         yield _star(held)
 
-    packed = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(emit, "bucket int, docs binary, pairs binary")
+    packed = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(emit, "bucket int, flush long, docs binary, pairs binary")
     dealt = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(pair, "doc_id long, n long, node long, a long, b long")
+    return dealt.mapInArrow(pair, "doc_id long, n long, node long, ref long, spread binary, a long, b long")
 
 
-def _rows(doc, n, node, a, b) -> pa.RecordBatch:
+def _rows(doc, n, node, ref, spread, a, b) -> pa.RecordBatch:
     count = len(doc) if doc is not None else len(a)
-    columns = [pa.array(x, pa.int64()) if x is not None else pa.nulls(count, pa.int64()) for x in (doc, n, node, a, b)]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "a", "b"])
-
-
-def _star(packed: list[bytes]) -> pa.RecordBatch:
-    """Edges from the smallest node of each signature to the others that have it."""
-    pairs = np.frombuffer(b"".join(packed), PAIR)
-    pairs = pairs[np.argsort(pairs["sig"], kind="stable")]
-    sig, node = pairs["sig"], (pairs["node"] - np.uint64(1 << 63)).view(np.int64)
-    new = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, bool)
-    if not len(sig) or new.all():
-        return _rows(None, None, None, [], [])
-    starts = np.flatnonzero(new)
-    hub = np.minimum.reduceat(node, starts)[np.cumsum(new) - 1]
-    edges = np.unique(np.stack([hub, node])[:, hub != node], axis=1)
-    return _rows(None, None, None, edges[0], edges[1])
+    kinds = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 2
+    columns = [pa.array(x, kind) if x is not None else pa.nulls(count, kind) for x, kind in zip((doc, n, node, ref, spread, a, b), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "ref", "spread", "a", "b"])
+
+
+def _star(held: list[tuple[bytes, int]]) -> pa.RecordBatch:
+    """Edges from the smallest reference of each signature to the others that have it."""
+    parts = [_unpack_pairs(*x) for x in held if x[0]]
+    none = _rows(None, None, None, None, None, [], [])
+    if not parts:
+        return none
+    sig, ref = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(sig, kind="stable")
+    sig, ref = sig[order], ref[order]
+    new = np.concatenate([[True], sig[1:] != sig[:-1]])
+    if new.all():
+        return none
+    hub = np.minimum.reduceat(ref, np.flatnonzero(new))[np.cumsum(new) - 1]
+    edges = np.unique(np.stack([hub, ref])[:, hub != ref], axis=1)
+    return _rows(None, None, None, None, None, edges[0], edges[1])
 
 
 class Classes:
@@ -330,6 +356,46 @@ def _by_block(rows: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, schema)
 
 
+def candidate_edges(edges: DataFrame, rows: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """(a, b) edges that keep together what can be linked in each star; stars of more than ``block`` documents stay whole."""
+    stars = edges.distinct()
+    both = stars.select(F.col("a").alias("hub"), F.col("b").alias("ref")).unionByName(stars.select(F.col("a").alias("hub"), F.col("a").alias("ref")).distinct())
+    members = both.join(rows.select("ref", "n", "spread"), "ref").select("hub", "ref", "n", "spread")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        hub, held, whole = None, [], False
+
+        def compare() -> None:
+            counts = np.frombuffer(b"".join(h[2] for h in held), "<u2").reshape(-1, 32).astype(np.int32)
+            sizes, classes = np.array([h[1] for h in held]), Classes(len(held))
+            for k in range(len(held) - 1):
+                differ = np.abs(counts[k + 1 :] - counts[k]).sum(1)
+                for other in np.flatnonzero(differ <= (sizes[k + 1 :] + sizes[k]) * (den - num) // (den + num)).tolist():
+                    classes.join(k, k + 1 + other)
+            out.extend((held[classes.find(k)][0], held[k][0]) for k in range(len(held)) if classes.find(k) != k)
+
+        for batch in batches:
+            for own, ref, n, spread in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if own != hub:
+                    compare()
+                    hub, held, whole = own, [], False
+                if whole:
+                    out.append((hub, ref))
+                    continue
+                held.append((ref, n, spread))
+                if len(held) > block:
+                    out.extend((hub, h[0]) for h in held)
+                    held, whole = [], True
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], ["a", "b"])
+            out = []
+        compare()
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], ["a", "b"])
+
+    dealt = members.repartition("hub").sortWithinPartitions("hub", "ref")
+    return cut(dealt.mapInArrow(run, "a long, b long"))
+
+
 def shingle_sets(reps: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """``reps`` (first, node, ...) with the shingle set of the node, from the text of the document ``first``."""
 
@@ -369,9 +435,11 @@ def _triples(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names)
 
 
-def node_links(docs: DataFrame, nodes: DataFrame, edges: DataFrame, size: int, num: int, den: int, block: int = BLOCK) -> DataFrame:
-    """(a, b) links between nodes that connect all that is linked; ``nodes`` is (node, first)."""
-    coarse = cut(connected_components(edges).select("node", F.col("component").alias("comp")))
+def node_links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, edges: DataFrame, size: int, num: int, den: int, block: int = BLOCK) -> DataFrame:
+    """(a, b) links between nodes that connect all that is linked; ``rows`` is (ref, node, n, spread), ``nodes`` is (node, first), ``edges`` joins refs."""
+    near = candidate_edges(edges, rows, num, den, block)
+    labels = connected_components(near).select(F.col("node").alias("ref"), F.col("component").alias("comp"))
+    coarse = cut(labels.join(rows.select("ref", "node"), "ref").groupBy("node").agg(F.min("comp").alias("comp")))
     counts = coarse.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
     reps = coarse.join(nodes, "node").join(counts, "comp").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     sets = cut(shingle_sets(reps.select("comp", "chunk", "chunks", "node", "first"), docs, size))
@@ -425,9 +493,9 @@ def _across_chunks(wide: DataFrame, links: DataFrame, num: int, den: int, block:
 def components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs``: sets link when ``den * intersection >= num * union``."""
     passed = cut(documents_and_edges(docs, size, num, den))
-    rows = passed.where("doc_id is not null").select("doc_id", "n", "node")
+    rows = passed.where("doc_id is not null").select("doc_id", "n", "node", "ref", "spread")
     nodes = cut(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")))
-    links = node_links(docs, nodes, passed.where("a is not null").select("a", "b"), size, num, den, block)
+    links = node_links(docs, rows.where("ref >= 0"), nodes, passed.where("a is not null").select("a", "b"), size, num, den, block)
     labels = cut(connected_components(links))
     smallest = nodes.join(labels, "node").groupBy("component").agg(F.min("first").alias("smallest"))
     linked = labels.join(smallest, "component").select("node", "smallest")

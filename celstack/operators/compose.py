@@ -1,8 +1,8 @@
 """Layer compositing and per-pixel winners.
 
-Source-over in 8-bit fixed point is not associative, so a pixel's layers are folded in draw order. A pixel group is
-never longer than the number of distinct draw orders of its image (at most one per ontology slot or model part),
-because ``unique_layers`` reduces copies of one (pixel, draw order) with map-side combine before anything is collected.
+Source-over in 8-bit fixed point is not associative, so a pixel's layers are folded in draw order, and layers of one draw
+order all paint, in the order of ``layer_rank``. A pixel group is never longer than the stack of layers that cover the pixel
+(about one per ontology slot or model part).
 Everything that only needs the front-most or the strongest layer is a plain combinable aggregate.
 """
 
@@ -18,15 +18,17 @@ from .pixels import PX
 RGBA = "((cast(r as bigint) * 256 + g) * 256 + b) * 256 + a"
 
 
-def unique_layers(layers: DataFrame) -> DataFrame:
-    """One packed colour per (pixel, draw order); equal keys keep the smallest packed colour."""
-    return layers.groupBy(*PX, "draw_order").agg(F.min(F.expr(RGBA)).alias("rgba"))
-
-
 def composite_over(layers: DataFrame) -> DataFrame:
-    """Straight-alpha source-over of all layers in ascending draw order; pixels without coverage have no row."""
-    packed = unique_layers(layers.where("a > 0")).select(*PX, F.expr("draw_order * 4294967296L + rgba").alias("entry"))
-    stacks = packed.groupBy(*PX).agg(F.sort_array(F.collect_list("entry")).alias("stack"))
+    """Straight-alpha source-over of all layers in ascending draw order; pixels without coverage have no row.
+
+    Layers of equal draw order paint in ascending ``layer_rank`` where the input has that column, else by packed colour.
+    """
+    if "layer_rank" in layers.columns:
+        ranked = layers.where("a > 0").groupBy(*PX).agg(F.sort_array(F.collect_list(F.struct("draw_order", "layer_rank", F.expr(RGBA).alias("rgba")))).alias("s"))
+        stacks = ranked.select(*PX, F.transform("s", lambda e: e["rgba"]).alias("stack"))
+    else:
+        packed = layers.where("a > 0").select(*PX, F.expr(f"draw_order * 4294967296L + {RGBA}").alias("entry"))
+        stacks = packed.groupBy(*PX).agg(F.sort_array(F.collect_list("entry")).alias("stack"))
     channel = lambda e, bits: f"(shiftright({e}, {bits}) & 255)"
     sa, under = "(t & 255)", "(s.a * (255 - (t & 255)))"
     out_a = f"({sa} + ({under} + 127) div 255)"

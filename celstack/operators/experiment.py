@@ -90,48 +90,79 @@ def _big_tail():
 
 
 def binomial_upper_tail(pairs: DataFrame) -> DataFrame:
-    """Exact one-sided tail of ``(wins, losses)`` as a reduced fraction and a double.
+    """Exact one-sided tail of ``(wins, losses)`` as a reduced fraction and a double; pairs without trials carry a ``problem``.
 
     Up to 60 trials stay in generated code; larger ones go through one Arrow batch of big-integer arithmetic.
     """
+    none = pairs.where("not coalesce(wins + losses > 0, false)").selectExpr(
+        *pairs.columns, "cast(null as string) as numerator", "cast(null as string) as denominator", "cast(null as double) as p", "'NO_TRIALS' as problem")
     small = pairs.where(f"wins + losses between 1 and {EXACT_BIGINT_TRIALS}")
     large = pairs.where(f"wins + losses > {EXACT_BIGINT_TRIALS}")
     counted = small.withColumn("count", F.expr(tail_count("wins", "losses"))).withColumn("total", F.expr("shiftleft(1L, cast(wins + losses as int))"))
     # gcd with a power of two: the lowest set bit of the count, at most the total
     exact = counted.withColumn("shared", F.expr("least(total, count & (-count))")).select(
         *pairs.columns, F.expr("cast(count div shared as string)").alias("numerator"),
-        F.expr("cast(total div shared as string)").alias("denominator"), F.expr("count / total").alias("p"))
-    big = large.withColumn("t", _big_tail()("wins", "losses")).select(*pairs.columns, "t.numerator", "t.denominator", "t.p")
-    return exact.unionByName(big)
+        F.expr("cast(total div shared as string)").alias("denominator"), F.expr("count / total").alias("p"), F.lit(None).cast("string").alias("problem"))
+    big = large.withColumn("t", _big_tail()("wins", "losses")).select(*pairs.columns, "t.numerator", "t.denominator", "t.p", F.lit(None).cast("string").alias("problem"))
+    return exact.unionByName(big).unionByName(none)
 
 
-def clopper_pearson(pairs: DataFrame, alpha: float = 0.05, steps: int = 100) -> DataFrame:
-    """Exact interval of the win rate by bisection; evaluated once per distinct ``(wins, losses)``."""
-    n = "(wins + losses)"
+def _interval(alpha: float):
+    """Vectorised exact interval: bisection on the regularised incomplete beta function, by its continued fraction in logs."""
 
-    def cdf(k: str, p: str) -> str:
-        # pmf(0) = (1-p)^n, then pmf(i+1) = pmf(i) * (n-i)/(i+1) * p/(1-p); p is strictly inside (0, 1) here
-        return (f"aggregate(sequence(0, cast({k} as int)), named_struct('t', pow(1.0D - {p}, {n}), 's', 0.0D),"
-                f" (pmf, i) -> named_struct('t', pmf.t * ({n} - i) / (i + 1) * ({p} / (1.0D - {p})), 's', pmf.s + pmf.t), pmf -> pmf.s)")
-
-    def bisect(low: str, high: str, go_low: str) -> str:
-        return (f"aggregate(sequence(1, {steps}), named_struct('lo', {low}, 'hi', {high}), (acc, step) ->"
-                f" if({go_low}, named_struct('lo', acc.lo, 'hi', (acc.lo + acc.hi) / 2), named_struct('lo', (acc.lo + acc.hi) / 2, 'hi', acc.hi)),"
-                f" acc -> (acc.lo + acc.hi) / 2)")
+    @F.pandas_udf("struct<lower: double, upper: double>")
+    def solve(wins: pd.Series, losses: pd.Series) -> pd.DataFrame:
+        import math
 
-    middle = "((acc.lo + acc.hi) / 2)"
-    lower = bisect("0.0D", f"wins / {n}", f"1.0D - {cdf('wins - 1', middle)} > {alpha / 2}D")
-    upper = bisect(f"wins / {n}", "1.0D", f"{cdf('wins', middle)} <= {alpha / 2}D")
+        import numpy as np
+
+        def fraction(a, b, x):
+            tiny = 1e-300
+            guard = lambda v: np.where(np.abs(v) < tiny, tiny, v)
+            c, d = np.ones_like(x), 1 / guard(1 - (a + b) * x / (a + 1))
+            value, m, moving = d.copy(), 0, True
+            while moving and m < 100_000:
+                m += 1
+                for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                    d, c = 1 / guard(1 + step * d), guard(1 + step / c)
+                    value = value * (d * c)
+                moving = bool((np.abs(d * c - 1) > 1e-15).any())
+            return value
+
+        def beta_part(a, b, x):
+            swap = x > (a + 1) / (a + b + 2)
+            p, q, y = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+            gamma = np.vectorize(math.lgamma)
+            front = np.exp(gamma(p + q) - gamma(p) - gamma(q) + p * np.log(y) + q * np.log1p(-y)) / p
+            part = front * fraction(p, q, y)
+            return np.where(swap, 1 - part, part)
+
+        def root(a, b, goal):
+            low, high = np.zeros_like(a), np.ones_like(a)
+            for _ in range(60):
+                middle = (low + high) / 2
+                under = beta_part(a, b, middle) < goal
+                low, high = np.where(under, middle, low), np.where(under, high, middle)
+            return (low + high) / 2
+
+        w, l = wins.to_numpy(float), losses.to_numpy(float)
+        lower = np.where(w == 0, 0.0, root(np.maximum(w, 1), l + 1, alpha / 2)) if len(w) else w
+        upper = np.where(l == 0, 1.0, root(w + 1, np.maximum(l, 1), 1 - alpha / 2)) if len(w) else w
+        return pd.DataFrame({"lower": lower, "upper": upper})
+
+    return solve
+
+
+def clopper_pearson(pairs: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Exact interval of the win rate, evaluated once per distinct ``(wins, losses)``; pairs without trials carry a ``problem``."""
     unique = pairs.select("wins", "losses").where("wins + losses > 0").distinct()
-    solved = unique.withColumn("lower", F.expr(f"case when wins = 0 then 0.0D else {lower} end")).withColumn(
-        "upper", F.expr(f"case when losses = 0 then 1.0D else {upper} end"))
-    return pairs.join(solved, ["wins", "losses"])
+    solved = unique.withColumn("i", _interval(alpha)("wins", "losses")).select("wins", "losses", "i.lower", "i.upper")
+    problem = F.when(~F.coalesce(F.expr("wins + losses > 0"), F.lit(False)), "NO_TRIALS")
+    return pairs.join(solved, ["wins", "losses"], "left").withColumn("problem", problem)
 
 
 def evaluate_experiments(outcomes: DataFrame, expected_assets: int = 20, margin: int = 4, usable_minimum: int = 12) -> DataFrame:
-    """Per experiment: denominators, wins, losses, ties, exact p, and the pair rule. Needs at most 60 assets."""
-    if expected_assets > EXACT_BIGINT_TRIALS:
-        raise ValueError("use binomial_upper_tail for larger experiments")
+    """Per experiment: denominators, wins, losses, ties, exact p, and the pair rule."""
     count = lambda o: F.count_if(F.col("outcome") == o)
     # one row per (experiment, asset) first, so that distinct assets are counted with map-side combine
     per_asset = outcomes.groupBy("experiment_id", "asset_id").agg(
@@ -144,8 +175,9 @@ def evaluate_experiments(outcomes: DataFrame, expected_assets: int = 20, margin:
         f" when wins + losses + ties <> {expected_assets} then 'UNCOVERED_DENOMINATOR' end"
     )
     valid = totals.withColumn("problem", problem)
-    tail = F.expr(f"case when problem is not null then null when wins + losses = 0 then 1.0D else {tail_count('wins', 'losses')} / pow(2, wins + losses) end")
-    out = valid.withColumn("p", tail)
+    tails = binomial_upper_tail(valid.where("problem is null and wins + losses > 0").select("wins", "losses").distinct()).select("wins", "losses", F.col("p").alias("tail"))
+    exact = F.expr("case when problem is not null then null when wins + losses = 0 then 1.0D else tail end")
+    out = valid.join(tails, ["wins", "losses"], "left").withColumn("p", exact).drop("tail")
     superiority = F.expr(f"problem is null and wins - losses >= {margin} and p < 0.05D")
     return out.withColumn("superiority", superiority).withColumn("usable_pass", F.expr(f"problem is null and usable >= {usable_minimum}")).withColumn(
         "passes", F.expr("superiority and usable_pass"))

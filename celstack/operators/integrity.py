@@ -56,9 +56,9 @@ def artifact_errors(artifacts: DataFrame, payloads: DataFrame) -> DataFrame:
     """Verify ``(id, sha256, byte_length)`` against stored bytes: presence, digest, length, content address."""
     checked = artifacts.join(payloads.select("payload_key", "content"), "payload_key", "left")
     reason = F.expr(
-        "case when content is null then 'BYTES_MISSING' when sha2(content, 256) <> sha256 then 'DIGEST_MISMATCH'"
-        " when octet_length(content) <> byte_length then 'LENGTH_MISMATCH'"
-        " when id <> concat('sha256:', sha256) then 'NOT_CONTENT_ADDRESS' end"
+        "case when content is null then 'BYTES_MISSING' when not (sha2(content, 256) <=> sha256) then 'DIGEST_MISMATCH'"
+        " when not (octet_length(content) <=> byte_length) then 'LENGTH_MISMATCH'"
+        " when not (id <=> concat('sha256:', sha256)) then 'NOT_CONTENT_ADDRESS' end"
     )
     return checked.withColumn("reason", reason).where("reason is not null").drop("content")
 

@@ -230,12 +230,15 @@ def soften_generated(reveal: DataFrame, images: DataFrame, radius: int = 3) -> D
 
 
 def soften_texture(filled: DataFrame, source: DataFrame, softened: DataFrame) -> DataFrame:
-    """Layer textures: filled colours scaled by coverage, exact source values restored where the layer is visible."""
+    """Layer textures: filled colours scaled by coverage, exact source values restored where the layer is visible.
+
+    A target cell that no fill reaches keeps the source colour and alpha under its coverage.
+    """
     src = source.select(*PX, *[F.col(c).alias(f"s{c}") for c in "rgba"])
     joined = softened.join(filled.select(*LX, "r", "g", "b", "a"), LX, "left").join(src, PX, "left")
     for c in "rgb":
         joined = joined.withColumn(c, F.expr(f"if(visible = 1, s{c}, coalesce({c}, s{c}, 0))"))
-    alpha = F.expr("if(visible = 1, sa, (coalesce(a, 0) * coverage + 127) div 255)")
+    alpha = F.expr("if(visible = 1, sa, (coalesce(a, sa, 0) * coverage + 127) div 255)")
     return joined.withColumn("a", alpha).select(*LX, "r", "g", "b", "a")
 
 

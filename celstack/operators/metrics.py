@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hotkeys
+from .graph import connected_components
 from .pixels import PX
 
 WILSON_Z = 1.959963984540054
@@ -191,3 +192,16 @@ def budget_ladder(spend: DataFrame, bucket: Column, budget: int) -> DataFrame:
     action = F.expr("case when at_100 is not null then 'reject_new_starts' when at_90 is not null then 'pause_costly_profiles' when at_75 is not null then 'limit_invitations'"
                     " when at_50 is not null then 'observe' else 'normal' end")
     return total.groupBy("account").agg(F.max("spent").alias("spent"), *reached).withColumn("action", action)
+
+
+def split_leakage(items: DataFrame, memberships: DataFrame) -> DataFrame:
+    """Families of items ``(item_id, split)`` that share a group ``(item_id, kind, value)``, directly or over others, and lie in
+    more than one split: family (its smallest item), number of items, and the splits."""
+    node = lambda kind, item, value: F.struct(kind.alias("kind"), item.alias("item"), value.alias("value"))
+    groups = memberships.where("item_id is not null and kind is not null and value is not null").select(
+        node(F.lit(""), F.col("item_id"), F.lit("")).alias("a"), node(F.col("kind"), F.lit(0).cast("bigint"), F.col("value")).alias("b"))
+    labels = connected_components(groups).where("node.kind = ''").select(F.col("node.item").alias("item_id"), F.col("component.item").alias("family"))
+    placed = items.join(labels, "item_id", "left").withColumn("family", F.coalesce("family", "item_id"))
+    counted = placed.groupBy("family", "split").agg(F.count("*").alias("n"))
+    families = counted.groupBy("family").agg(F.sum("n").alias("items"), F.array_sort(F.collect_set("split")).alias("splits"))
+    return families.where("size(splits) > 1")

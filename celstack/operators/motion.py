@@ -321,10 +321,10 @@ def warp_rasters(vertices: DataFrame, triangles: DataFrame, textures: DataFrame,
     total = lambda bits: " + ".join(f"coalesce(shiftright(q{i}, {bits}) & 255, 0) * {alpha[i]} * ({weights[i]})" for i in range(4))
     shade = lambda bits: F.expr(f"cast(least(255.0D, greatest(0.0D, bround(({total(bits)}) / ta))) as bigint)")
     lit = four.withColumn("ta", F.expr(total_a)).where("ta > 0")
-    coloured = lit.select(*keys, F.col("px").alias("x"), F.col("py").alias("y"), F.expr("draw_order * 65536 + ti").alias("draw_order"), shade(24).alias("r"), shade(16).alias("g"), shade(8).alias("b"),
+    coloured = lit.select(*keys, F.col("px").alias("x"), F.col("py").alias("y"), "draw_order", F.col("ti").alias("layer_rank"), shade(24).alias("r"), shade(16).alias("g"), shade(8).alias("b"),
                           F.expr("cast(least(255.0D, greatest(0.0D, bround(ta * 255.0D))) as bigint)").alias("a"), "opacity")
     faded = coloured.withColumn("a", F.expr("if(opacity < 1.0D, cast(bround(a * opacity) as bigint), a)")).where("a > 0")
-    packed = faded.select(F.struct("image_id", "pose").alias("image_id"), "x", "y", "draw_order", "r", "g", "b", "a")
+    packed = faded.select(F.struct("image_id", "pose").alias("image_id"), "x", "y", "draw_order", "layer_rank", "r", "g", "b", "a")
     return composite_over(packed).select("image_id.image_id", "image_id.pose", "x", "y", "r", "g", "b", "a")
 
 

@@ -49,12 +49,12 @@ def package_budgets(members: DataFrame, max_members: int, max_member_bytes: int,
 def index_differences(index: DataFrame, members: DataFrame, index_name: str) -> DataFrame:
     """The index must cover every member except itself, in both directions, with equal length and digest."""
     left = index.groupBy("package_id", "path").agg(
-        F.count("*").alias("entries"), F.min("byte_length").alias("index_length"), F.min("sha256").alias("index_sha"))
+        F.count("*").alias("entries"), F.lit(True).alias("listed"), F.min("byte_length").alias("index_length"), F.min("sha256").alias("index_sha"))
     right = members.where(F.col("path") != index_name).select(
-        "package_id", "path", F.col("byte_length").alias("member_length"), F.col("sha256").alias("member_sha"))
+        "package_id", "path", F.col("byte_length").alias("member_length"), F.col("sha256").alias("member_sha"), F.lit(True).alias("packed"))
     reason = F.expr(
-        "case when entries > 1 then 'LISTED_TWICE' when member_sha is null then 'NOT_IN_PACKAGE' when index_sha is null then 'NOT_IN_INDEX'"
-        " when index_length <> member_length then 'LENGTH_MISMATCH' when index_sha <> member_sha then 'DIGEST_MISMATCH' end"
+        "case when entries > 1 then 'LISTED_TWICE' when packed is null then 'NOT_IN_PACKAGE' when listed is null then 'NOT_IN_INDEX'"
+        " when not (index_length <=> member_length) then 'LENGTH_MISMATCH' when not (index_sha <=> member_sha) then 'DIGEST_MISMATCH' end"
     )
     return left.join(right, ["package_id", "path"], "full").withColumn("reason", reason).where("reason is not null").select(
         "package_id", "path", "reason")
@@ -87,8 +87,8 @@ def verify_bundles(bundles: DataFrame, entries: DataFrame, max_total_bytes: int)
     expected = F.array_contains(names, F.col("name"))
     unique = entries.groupBy("bundle_id", "name").agg(
         F.count("*").alias("copies"), F.max("actual_length").alias("actual_length"),
-        F.max(F.expr("cast(byte_length <> actual_length as int)")).alias("bad_length"),
-        F.max(F.expr("cast(sha256 <> actual_sha256 as int)")).alias("bad_digest"))
+        F.max(F.expr("cast(not (byte_length <=> actual_length) as int)")).alias("bad_length"),
+        F.max(F.expr("cast(not (sha256 <=> actual_sha256) as int)")).alias("bad_digest"))
     facts = unique.withColumn("expected", expected).groupBy("bundle_id").agg(
         F.count_if("expected").alias("present"), F.count_if(~F.col("expected")).alias("extra"),
         F.count_if(F.col("copies") > 1).alias("duplicated"), F.sum("bad_length").alias("bad_length"),

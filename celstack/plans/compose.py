@@ -41,9 +41,19 @@ def _(spark, d):
     return C.composite_over(I.layer_pixels(spark, d))
 
 
+I.CTES["compties"] = I.CTES["comp"].replace("list(e ORDER BY e)", "list(e ORDER BY e // 4294967296 // 2, e)")
+
+
+@query("composite_over_ties", "image_id:l x:l y:l r:l g:l b:l a:l", sql("SELECT image_id, x, y, r, g, b, a FROM compties"))
+def _(spark, d):
+    """Two layers share each draw order; both paint, in the order of their rank."""
+    return C.composite_over(I.layer_pixels(spark, d).withColumns({"layer_rank": F.col("draw_order"), "draw_order": F.expr("draw_order div 2")}))
+
+
 @query("occluder_union", "image_id:l x:l y:l draw_order:l v:l", sql("""
-SELECT image_id, x, y, draw_order, CASE WHEN EXISTS (SELECT 1 FROM lpx f WHERE f.image_id = t.image_id AND f.x = t.x AND f.y = t.y AND f.draw_order > t.draw_order AND f.a > 0) THEN 255 ELSE 0 END AS v
-FROM (SELECT image_id, x, y, unnest([1, 3, 5, 7]) AS draw_order FROM spx) t"""))
+SELECT t.image_id, t.x, t.y, t.draw_order, CASE WHEN f.front > t.draw_order THEN 255 ELSE 0 END AS v
+FROM (SELECT image_id, x, y, unnest([1, 3, 5, 7]) AS draw_order FROM spx) t
+LEFT JOIN (SELECT image_id, x, y, max(draw_order) AS front FROM lpx WHERE a > 0 GROUP BY 1, 2, 3) f USING (image_id, x, y)"""))
 def _(spark, d):
     targets = I.source_pixels(spark, d).select("image_id", "x", "y", F.explode(F.expr("array(1, 3, 5, 7)")).alias("draw_order"))
     return C.occluder_union(I.layer_pixels(spark, d), targets)

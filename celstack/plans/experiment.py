@@ -13,11 +13,12 @@ from .registry import query
 
 
 def _ballots(spark, d) -> DataFrame:
-    return I.table(spark, d, "conversations").where("turn < 3").selectExpr(
-        "cast(conv_id as string) as asset_id", "cast(turn as int) as seq", "element_at(array('left', 'right', 'tie'), cast((length(text) + turn) % 3 + 1 as int)) as vote")
+    """Every turn is a ballot; a conversation's turns are dealt out to assets of one to four ballots."""
+    return I.table(spark, d, "conversations").selectExpr(
+        "concat(conv_id, '-', turn div (1 + conv_id % 4)) as asset_id", "cast(turn % (1 + conv_id % 4) as int) as seq", "element_at(array('left', 'right', 'tie'), cast((length(text) + turn) % 3 + 1 as int)) as vote")
 
 
-I.CTES["ballots"] = "SELECT conv_id::VARCHAR AS asset_id, turn AS seq, ['left', 'right', 'tie'][(length(text) + turn) % 3 + 1] AS vote FROM conversations WHERE turn < 3"
+I.CTES["ballots"] = "SELECT conv_id || '-' || turn // (1 + conv_id % 4) AS asset_id, turn % (1 + conv_id % 4) AS seq, ['left', 'right', 'tie'][(length(text) + turn) % 3 + 1] AS vote FROM conversations"
 I.CTES["adjudicated"] = """
 SELECT asset_id, n AS ballots, CASE WHEN n NOT IN (2, 3) OR v0 IS NULL OR v1 IS NULL THEN 'invalid' WHEN v0 = v1 THEN v0 WHEN v2 IS NULL THEN 'third_required'
   WHEN v2 IN (v0, v1) THEN v2 ELSE 'tie' END AS outcome
@@ -30,14 +31,14 @@ def _(spark, d):
 
 
 def _mapping(spark, d) -> DataFrame:
-    assets = I.table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("asset_id")).distinct()
+    assets = _ballots(spark, d).select("asset_id").distinct()
     return E.blind_mapping(assets.withColumn("seed", D.u64_from_hash(F.sha2("asset_id", 256))), "celstack.blind-mapping.v1")
 
 
 I.CTES["mapping"] = r"""
 SELECT asset_id, CASE WHEN even THEN 'candidate' ELSE 'comparator' END AS left_arm, CASE WHEN even THEN 'comparator' ELSE 'candidate' END AS right_arm
 FROM (SELECT asset_id, ('0x' || substr(sha256('celstack.blind-mapping.v1'::BLOB || '\x00'::BLOB || unhex(substr(sha256(asset_id), 1, 16)) || '\x00'::BLOB || encode(asset_id)), 1, 2))::INT % 2 = 0 AS even
-      FROM (SELECT DISTINCT conv_id::VARCHAR AS asset_id FROM conversations))"""
+      FROM (SELECT DISTINCT asset_id FROM ballots))"""
 
 
 @query("blind_mapping", "asset_id:s left_arm:s right_arm:s", sql("SELECT asset_id, left_arm, right_arm FROM mapping"))
@@ -102,25 +103,26 @@ def _(spark, d):
 
 
 def _scores(spark, d) -> DataFrame:
-    """Wins and losses per customer from order statuses; every seventh customer's are multiplied past the exact range."""
-    scale = "if(o_custkey % 7 = 0, 8, 1)"
+    """Wins and losses per customer from order statuses; some customers' are multiplied past the exact range and into the thousands."""
+    scale = "case o_custkey % 7 when 0 then 8 when 1 then 200 else 1 end"
     return I.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("arm_id")).agg(
         F.sum(F.expr(f"if(o_orderstatus = 'F', {scale}, 0)")).alias("wins"), F.sum(F.expr(f"if(o_orderstatus = 'O', {scale}, 0)")).alias("losses"))
 
 
 I.CTES["scores"] = """
 SELECT o_custkey AS arm_id, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN s ELSE 0 END) AS BIGINT) AS w, CAST(sum(CASE WHEN o_orderstatus = 'O' THEN s ELSE 0 END) AS BIGINT) AS l
-FROM (SELECT *, CASE WHEN o_custkey % 7 = 0 THEN 8 ELSE 1 END AS s FROM orders) GROUP BY 1"""
+FROM (SELECT *, CASE o_custkey % 7 WHEN 0 THEN 8 WHEN 1 THEN 200 ELSE 1 END AS s FROM orders) GROUP BY 1"""
 
 
-@query("binomial_upper_tail", "arm_id:l wins:l losses:l p:d", sql(f"""
-SELECT arm_id, w AS wins, l AS losses, round({TAIL_SQL} / pow(2, w + l), 9) AS p FROM scores WHERE w + l > 0 AND w + l <= 60 UNION ALL
-SELECT arm_id, w, l, round(list_sum(list_transform(range(w, w + l + 1), lambda k: exp(lgamma(w + l + 1) - lgamma(k + 1) - lgamma(w + l - k + 1) - (w + l) * ln(2)))), 9) FROM scores WHERE w + l > 60"""))
+@query("binomial_upper_tail", "arm_id:l wins:l losses:l p:d problem:s", sql(f"""
+SELECT arm_id, w AS wins, l AS losses, round({TAIL_SQL} / pow(2, w + l), 9) AS p, NULL AS problem FROM scores WHERE w + l > 0 AND w + l <= 60 UNION ALL
+SELECT arm_id, w, l, round(list_sum(list_transform(range(w, w + l + 1), lambda k: exp(lgamma(w + l + 1) - lgamma(k + 1) - lgamma(w + l - k + 1) - (w + l) * ln(2)))), 9), NULL FROM scores WHERE w + l > 60 UNION ALL
+SELECT arm_id, w, l, NULL, 'NO_TRIALS' FROM scores WHERE w + l = 0"""))
 def _(spark, d):
     return E.binomial_upper_tail(_scores(spark, d)).withColumn("p", F.round("p", 9))
 
 
-@query("clopper_pearson", "arm_id:l wins:l losses:l lower:d upper:d", ("""
+@query("clopper_pearson", "arm_id:l wins:l losses:l lower:d upper:d problem:s", ("""
 WITH RECURSIVE u AS (SELECT DISTINCT w, l FROM scores WHERE w + l > 0),
 step AS (SELECT w, l, 0 AS i, 0.0::DOUBLE AS alo, w / (w + l) AS ahi, w / (w + l) AS blo, 1.0::DOUBLE AS bhi FROM u UNION ALL
   SELECT w, l, i + 1, CASE WHEN 1 - cdf_a > 0.025 THEN alo ELSE ma END, CASE WHEN 1 - cdf_a > 0.025 THEN ma ELSE ahi END,
@@ -128,8 +130,8 @@ step AS (SELECT w, l, 0 AS i, 0.0::DOUBLE AS alo, w / (w + l) AS ahi, w / (w + l
   FROM (SELECT *, CASE WHEN w = 0 THEN 0 ELSE list_sum(list_transform(range(0, w), lambda k: exp(lgamma(w + l + 1) - lgamma(k + 1) - lgamma(w + l - k + 1) + k * ln(ma) + (w + l - k) * ln(1 - ma)))) END AS cdf_a,
       CASE WHEN l = 0 THEN 1 ELSE list_sum(list_transform(range(0, w + 1), lambda k: exp(lgamma(w + l + 1) - lgamma(k + 1) - lgamma(w + l - k + 1) + k * ln(mb) + (w + l - k) * ln(1 - mb)))) END AS cdf_b
     FROM (SELECT *, CASE WHEN w = 0 THEN 0.5 ELSE (alo + ahi) / 2 END AS ma, CASE WHEN l = 0 THEN 0.5 ELSE (blo + bhi) / 2 END AS mb FROM step WHERE i < 60)))
-SELECT arm_id, w AS wins, l AS losses, CASE WHEN w = 0 THEN 0 ELSE round((alo + ahi) / 2, 6) END AS lower, CASE WHEN l = 0 THEN 1 ELSE round((blo + bhi) / 2, 6) END AS upper
-FROM scores JOIN step USING (w, l) WHERE i = 60""".replace("WITH RECURSIVE u AS", "WITH RECURSIVE scores AS (" + I.CTES["scores"] + "), u AS")))
+SELECT arm_id, w AS wins, l AS losses, CASE WHEN w = 0 THEN 0 ELSE round((alo + ahi) / 2, 6) END AS lower, CASE WHEN l = 0 THEN 1 ELSE round((blo + bhi) / 2, 6) END AS upper, NULL AS problem
+FROM scores JOIN step USING (w, l) WHERE i = 60 UNION ALL SELECT arm_id, w, l, NULL, NULL, 'NO_TRIALS' FROM scores WHERE w + l = 0""".replace("WITH RECURSIVE u AS", "WITH RECURSIVE scores AS (" + I.CTES["scores"] + "), u AS")))
 def _(spark, d):
     solved = E.clopper_pearson(_scores(spark, d))
     return solved.withColumn("lower", F.round("lower", 6)).withColumn("upper", F.round("upper", 6))

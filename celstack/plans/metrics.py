@@ -190,3 +190,16 @@ FROM (SELECT user_id AS account, event_id AS seq, sum(CAST(floor(value * 100) AS
 def _(spark, d):
     spend = I.table(spark, d, "events").selectExpr("user_id as account", "event_id as seq", "cast(floor(value * 100) as bigint) as cents", "ts")
     return M.budget_ladder(spend, F.expr(HOUR), 250000)
+
+
+@query("split_leakage", "family:l items:l splits:s", """
+WITH RECURSIVE held AS (SELECT doc_id, md5(text) AS g FROM documents UNION SELECT doc_id, md5(split_part(text, chr(10), 1) || '|' || lang) FROM documents),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, y.doc_id FROM reach r JOIN held x ON r.b = x.doc_id JOIN held y ON x.g = y.g),
+family AS (SELECT b AS doc_id, min(a) AS family FROM reach GROUP BY 1)
+SELECT family, count(*) AS items, string_agg(DISTINCT s, ',' ORDER BY s) AS splits FROM (SELECT family, CASE WHEN doc_id % 10 < 8 THEN 'train' ELSE 'test' END AS s FROM family) GROUP BY 1 HAVING count(DISTINCT s) > 1""")
+def _(spark, d):
+    """Documents with one text, or one opening line and language, are one family."""
+    docs = I.table(spark, d, "documents")
+    groups = docs.selectExpr("doc_id as item_id", "explode(array(struct('text' as kind, md5(text) as value), struct('opening' as kind, md5(concat(split(text, '\\n')[0], '|', lang)) as value))) as g")
+    found = M.split_leakage(docs.selectExpr("doc_id as item_id", "if(doc_id % 10 < 8, 'train', 'test') as split"), groups.select("item_id", "g.kind", "g.value"))
+    return found.withColumn("splits", F.array_join("splits", ","))

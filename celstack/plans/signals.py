@@ -137,10 +137,10 @@ def _(spark, d):
     return tracks.groupBy("session_id").agg(F.count("*").alias("ticks"), F.count_if("kept").alias("kept"))
 
 
-@query("stream_rate", "session_id:l window_start:l rate:d", None)
+@query("stream_rate", "session_id:l window_start:l rate:d", sql("SELECT session_id, t // 750 * 750 AS window_start, count(*) * 1000.0 / 750 AS rate FROM sig GROUP BY 1, 2"))
 def _(spark, d):
     ticks = _stream(spark, d).selectExpr(*SHAPE).withColumn("ts", F.timestamp_millis("t"))
-    return T.run_available(T.rate_stream(ticks), _folder(spark))
+    return T.run_available(T.rate_stream(ticks), _folder(spark), "update", ("session_id", "window_start"))
 
 
 @query("stream_progress", "run_id:l phase:l state:s seq:l", sql("""
@@ -156,7 +156,7 @@ FROM (SELECT *, attempt IS NOT DISTINCT FROM owner AS owned FROM (
   SELECT *, last_value(CASE WHEN is_open THEN attempt END IGNORE NULLS) OVER (PARTITION BY run_id, stage ORDER BY seq) AS owner FROM (
     SELECT user_id AS run_id, event_id % 3 AS stage, event_id AS seq, event_type IN ('click', 'view', 'signup') AS is_open, CAST(floor(value) AS BIGINT) % 2 AS attempt FROM events)) WHERE NOT is_open)"""))
 def _(spark, d):
-    log = T.deduplicated(_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), ["event_id"], "ts", "1 hour").selectExpr(
+    log = _stream(spark, d).selectExpr(
         "user_id as run_id", "cast(event_id % 3 as int) as stage", "event_id as seq",
         "if(event_type in ('click', 'view', 'signup'), 'open', 'result') as kind", "cast(floor(value) as bigint) % 2 as attempt")
     return T.run_available(T.late_result_guard(log), _folder(spark))

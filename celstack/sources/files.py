@@ -42,13 +42,16 @@ def scan_uploads(spark: SparkSession, path: str, declared_types: DataFrame) -> D
 
 
 def scan_rasters(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded images as ``(image_id, width, height, channels, data)``; unreadable files and other channel counts are dropped.
+    """Every file as ``(image_id, width, height, channels, data, reason_code)``; only decoded images have pixels.
 
     The JVM image source decodes. It stores rows from the top, each pixel as blue, green, red and, with four channels,
-    straight alpha.
+    straight alpha; one channel is grey. A file that cannot be read, or has another number of channels, keeps its row with
+    null dimensions and a reason code.
     """
-    raw = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*").where("nChannels in (3, 4)")
-    return raw.select(F.col("origin").alias("image_id"), "width", "height", F.col("nChannels").alias("channels"), "data")
+    raw = spark.read.format("image").load(path).select("image.*")
+    reason = F.expr("case when width <= 0 or height <= 0 then 'INPUT_CORRUPT' when nChannels not in (1, 3, 4) then 'INPUT_UNSUPPORTED' end")
+    known = raw.select(F.col("origin").alias("image_id"), "width", "height", F.col("nChannels").alias("channels"), "data", reason.alias("reason_code"))
+    return known.select("image_id", *[F.when(F.col("reason_code").isNull(), F.col(c)).alias(c) for c in ("width", "height", "channels", "data")], "reason_code")
 
 
 def raster_pixels(rasters: DataFrame) -> DataFrame:
@@ -56,11 +59,12 @@ def raster_pixels(rasters: DataFrame) -> DataFrame:
 
     The blob is cut into raster rows before pixels are made, so no intermediate grows with the image.
     """
-    rows = rasters.select("image_id", "width", "channels", F.posexplode(F.expr(
+    rows = rasters.where("data is not null").select("image_id", "width", "channels", F.posexplode(F.expr(
         "transform(sequence(0, height - 1), i -> substring(data, i * width * channels + 1, width * channels))")).alias("y", "line"))
     cells = rows.select("image_id", "y", "channels", F.hex("line").alias("h"), F.explode(F.expr("sequence(0, width - 1)")).alias("x"))
     sample = lambda k: F.expr(f"cast(conv(substring(h, (x * channels + {k}) * 2 + 1, 2), 16, 10) as int)")
-    return cells.select("image_id", "x", "y", sample(2).alias("r"), sample(1).alias("g"), sample(0).alias("b"),
+    coloured = lambda k: F.when(F.col("channels") == 1, sample(0)).otherwise(sample(k))
+    return cells.select("image_id", "x", "y", coloured(2).alias("r"), coloured(1).alias("g"), coloured(0).alias("b"),
                         F.when(F.col("channels") == 4, sample(3)).otherwise(255).alias("a"))
 
 
@@ -70,6 +74,8 @@ def raster_facts(images: DataFrame, pixels: DataFrame, min_side: int = MIN_SIDE,
     reason = F.expr(
         f"case when cast(width as bigint) * height > {max_pixels} then 'STAGE_RESOURCE_LIMIT_EXCEEDED'"
         f" when width not between {min_side} and {max_side} or height not between {min_side} and {max_side} then 'INPUT_UNSUPPORTED' end")
+    if "reason_code" in images.columns:  # a scan has already said why a file has no pixels
+        reason = F.coalesce("reason_code", reason)
     return images.join(lowest, "image_id", "left").select(
         "image_id", "width", "height", F.coalesce(F.col("lowest") < 255, F.lit(False)).alias("had_alpha"), reason.alias("reason_code"))
 

@@ -77,34 +77,43 @@ def track_sessions(stream: DataFrame, throttle_ms: float = 1000 / 30) -> DataFra
 
 
 def rate_stream(stream: DataFrame, delay: str = "10 seconds", window: str = "750 milliseconds") -> DataFrame:
-    """Ticks per second in tumbling event-time windows; ``stream`` has an event-time column ``ts``."""
+    """Ticks per second in tumbling event-time windows; ``stream`` has an event-time column ``ts``.
+
+    Run it in ``update`` mode keyed by session and window: ``append`` holds back the windows after the last watermark.
+    """
     counts = stream.withWatermark("ts", delay).groupBy("session_id", F.window("ts", window).alias("w")).agg(F.count("*").alias("n"))
     width = (F.unix_millis("w.end") - F.unix_millis("w.start")) / 1000.0
     return counts.select("session_id", F.unix_millis("w.start").alias("window_start"), (F.col("n") / width).alias("rate"))
 
 
 GUARD_SCHEMA = "run_id bigint, stage int, seq bigint, attempt bigint, owner bigint, verdict string"
-GUARD_STATE = "owner bigint, published boolean"
+GUARD_STATE = "owner bigint, published boolean, results array<bigint>"
 
 
 def late_result_guard(stream: DataFrame) -> DataFrame:
     """Verdict on every published result of a ledger stream ``(run_id, stage, seq, kind, attempt)``.
 
-    State per (run, stage): the attempt that owns the stage and whether a result was published.
+    State per (run, stage): the attempt that owns the stage, whether a result was published, and the sequence numbers of the
+    results judged so far (as many as the stage has attempts). A result delivered again gets the verdict ``duplicate``; nothing
+    is dropped, however late it comes.
     """
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        owner, published = state.get if state.exists else (None, False)
+        owner, published, results = state.get if state.exists else (None, False, [])
+        results = list(results)
         rows = []
         for row in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
             if row.kind == "open":
                 owner = int(row.attempt)
                 continue
-            if owner is None or int(row.attempt) != owner:
+            if int(row.seq) in results:
+                verdict = "duplicate"
+            elif owner is None or int(row.attempt) != owner:
                 verdict = "lost_ownership"
             else:
                 verdict, published = ("already_published" if published else "accepted"), True
+            results.append(int(row.seq))
             rows.append((key[0], key[1], int(row.seq), int(row.attempt), owner, verdict))
-        state.update((owner, published))
+        state.update((owner, published, sorted(set(results))))
         if rows:
             out = pd.DataFrame(rows, columns=["run_id", "stage", "seq", "attempt", "owner", "verdict"])
             yield out.astype({"owner": "Int64"})
@@ -131,14 +140,24 @@ def progress_stream(stream: DataFrame) -> DataFrame:
     return stream.groupBy("run_id", "phase").agg(F.max_by("state", "seq").alias("state"), F.max("seq").alias("seq"))
 
 
-def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Run a stream over everything available now into a parquet folder (or, for complete results, one table per batch)
-    and read the result back."""
+def run_available(stream: DataFrame, folder: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Run a stream over everything available now into a parquet folder and read the result back.
+
+    ``complete`` results replace each other. ``update`` results are kept per batch (a repeated batch replaces itself), and the
+    newest row of each of ``keys`` counts, so windows that are still open at the end of the run are part of the result.
+    """
     spark = stream.sparkSession
     target, checkpoint = f"{folder}/out", f"{folder}/checkpoint"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", target).start()
+    elif mode == "update":
+        query = writer.foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{target}/batch={i}")).start()
+        query.awaitTermination()
+        batches = spark.read.schema(stream.schema.add("batch", "long")).parquet(target)
+        others = [c for c in stream.columns if c not in keys]
+        newest = batches.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("row"))
+        return newest.select(*keys, *[F.col(f"row.{c}").alias(c) for c in others])
     else:
         query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(target)).start()
     query.awaitTermination()

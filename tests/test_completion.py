@@ -42,7 +42,7 @@ def test_layer_textures(spark):
     assert all(got[at]["generated"] == min(255, feathered[at]) for at in target)
     textures = {(r["x"], r["y"]): (r["r"], r["g"], r["b"], r["a"]) for r in layer_textures(sdf, soft).where("slot_id = 'face.base'").collect()}
     assert all(textures[at] == source[at] for at in visible)
-    filled = {at: c for at, c in textures.items() if at in target and c[3] > 0}
+    filled = {at: c for at, c in textures.items() if at in target}
     colours = {source[at][:3] for at in visible}
     assert filled and all(c[:3] in colours for c in filled.values())
     # a target pixel beside visible pixels takes the colour of one of them
@@ -51,6 +51,14 @@ def test_layer_textures(spark):
         assert not beside or c[:3] in beside
 
 
+def test_unreached_target_keeps_the_source_alpha(spark):
+    """A target cell that no fill reaches: source alpha 255 under coverage 200 is 200, not 0."""
+    source = spark.createDataFrame([(0, 5, 5, 10, 20, 30, 255)], "image_id bigint, x int, y int, r int, g int, b int, a int")
+    filled = spark.createDataFrame([], "image_id bigint, slot_id string, x int, y int, r int, g int, b int, a int")
+    soft = spark.createDataFrame([(0, "s", 5, 5, 0, 255, 200)], "image_id bigint, slot_id string, x int, y int, visible int, target int, coverage int")
+    assert [tuple(r)[4:] for r in layers.soften_texture(filled, source, soft).collect()] == [(10, 20, 30, 200)]
+
+
 def test_pose_coverage_verdicts(spark):
     poses = spark.createDataFrame([(1, p) for p in ("neutral", "same", "thin", "gone", "wild")], "image_id bigint, pose string")
     counts = {"neutral": 40, "same": 40, "thin": 9, "wild": 40}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 from math import comb
 
@@ -49,3 +50,31 @@ def test_clopper_pearson_edges(spark):
     low, high = got[10, 3]
     cdf = lambda k, p: sum(comb(13, i) * p**i * (1 - p) ** (13 - i) for i in range(k + 1))
     assert abs(1 - cdf(9, low) - 0.025) < 1e-9 and abs(cdf(10, high) - 0.025) < 1e-9
+
+
+def test_clopper_pearson_of_thousands_and_of_none(spark):
+    df = spark.createDataFrame([(1500, 1500), (2990, 10), (0, 4000), (0, 0), (30, 30)], "wins bigint, losses bigint")
+    got = {(r["wins"], r["losses"]): (r["lower"], r["upper"], r["problem"]) for r in experiment.clopper_pearson(df).collect()}
+    assert got[0, 0] == (None, None, "NO_TRIALS")
+    for (w, l), (low, high, problem) in got.items():
+        if w + l:
+            n = w + l
+            tail = lambda k0, k1, p: sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)) for k in range(k0, k1 + 1))
+            assert problem is None and (w == 0 and low == 0.0 or abs(tail(w, n, low) - 0.025) < 1e-8) and (l == 0 and high == 1.0 or abs(tail(0, w, high) - 0.025) < 1e-8)
+    assert abs(got[1500, 1500][0] - 0.482) < 1e-3 and abs(got[1500, 1500][1] - 0.518) < 1e-3
+
+
+def test_tails_around_the_exact_range_and_without_trials(spark):
+    df = spark.createDataFrame([(n - 3, 3) for n in (59, 60, 61, 62)] + [(0, 0)], "wins bigint, losses bigint")
+    got = {(r["wins"], r["losses"]): (r["numerator"], r["denominator"], r["problem"]) for r in experiment.binomial_upper_tail(df).collect()}
+    for n in (59, 60, 61, 62):
+        exact = Fraction(sum(comb(n, k) for k in range(n - 3, n + 1)), 2**n)
+        assert got[n - 3, 3] == (str(exact.numerator), str(exact.denominator), None)
+    assert got[0, 0] == (None, None, "NO_TRIALS")
+
+
+def test_experiments_of_many_assets(spark):
+    rows = [(1, f"a{k}", "candidate_win" if k < 50 else "comparator_win", True) for k in range(80)]
+    df = spark.createDataFrame(rows, "experiment_id bigint, asset_id string, outcome string, usable boolean")
+    r = experiment.evaluate_experiments(df, expected_assets=80).collect()[0]
+    assert r["problem"] is None and abs(r["p"] - sum(comb(80, k) for k in range(50, 81)) / 2**80) < 1e-12

@@ -36,6 +36,16 @@ def over(base, top):
     return tuple(min(255, (top[c] * sa * 255 + base[c] * ba * (255 - sa)) // (out * 255)) for c in range(3)) + (out,)
 
 
+def test_layers_of_one_draw_order_all_paint_by_rank(spark):
+    stack = {rank: raster(rank) for rank in (3, 1, 2)}
+    rows = [(0, x, y, 5, rank, *p) for rank, px in stack.items() for (x, y), p in px.items()]
+    df = spark.createDataFrame(rows, "image_id bigint, x int, y int, draw_order int, layer_rank int, r int, g int, b int, a int")
+    got = {(r["x"], r["y"]): (r["r"], r["g"], r["b"], r["a"]) for r in compose.composite_over(df).collect()}
+    assert all(got.get(at, (0, 0, 0, 0)) == over(over(over((0, 0, 0, 0), stack[1][at]), stack[2][at]), stack[3][at]) for at in stack[1])
+    twice = spark.createDataFrame([(0, 0, 0, 5, 10, 10, 10, 128), (0, 0, 0, 5, 10, 10, 10, 128)], "image_id bigint, x int, y int, draw_order int, r int, g int, b int, a int")
+    assert compose.composite_over(twice).collect()[0]["a"] == 128 + (128 * 127 + 127) // 255
+
+
 def test_composite_is_an_ordered_fold(spark):
     stack = {order: raster(order) for order in (1, 2, 5, 9)}
     rows = [(0, x, y, order, *p) for order, px in stack.items() for (x, y), p in px.items()]

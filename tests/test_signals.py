@@ -71,7 +71,7 @@ def test_stream_over_several_batches_equals_batch(spark):
 
 
 def test_late_results_and_reject_sink(spark):
-    log = [(1, 0, 1, "open", 1), (1, 0, 2, "open", 2), (1, 0, 3, "result", 1), (1, 0, 4, "result", 2), (1, 0, 5, "result", 2), (2, 0, 6, "result", 1)]
+    log = [(1, 0, 1, "open", 1), (1, 0, 2, "open", 2), (1, 0, 3, "result", 1), (1, 0, 4, "result", 2), (1, 0, 5, "result", 2), (2, 0, 6, "result", 1), (1, 0, 4, "result", 2)]
     schema = "run_id bigint, stage int, seq bigint, kind string, attempt bigint"
     folder = tempfile.mkdtemp(prefix="spark-test-")
     for row in log:
@@ -81,7 +81,7 @@ def test_late_results_and_reject_sink(spark):
         tracks.split_sink(f"{folder}/ok", f"{folder}/rejected")).start()
     query.awaitTermination()
     assert [r["seq"] for r in spark.read.parquet(f"{folder}/ok").collect()] == [4]
-    assert {(r["seq"], r["verdict"]) for r in spark.read.parquet(f"{folder}/rejected").collect()} == {(3, "lost_ownership"), (5, "already_published"), (6, "lost_ownership")}
+    assert {(r["seq"], r["verdict"]) for r in spark.read.parquet(f"{folder}/rejected").collect()} == {(3, "lost_ownership"), (5, "already_published"), (6, "lost_ownership"), (4, "duplicate")}
 
 
 def test_rate_stream_counts_windows(spark):
@@ -89,6 +89,7 @@ def test_rate_stream_counts_windows(spark):
     folder = tempfile.mkdtemp(prefix="spark-test-")
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(SCHEMA).parquet(f"{folder}/in").withColumn("ts", F.timestamp_millis("t"))
-    got = {(r["session_id"], r["window_start"]): r["rate"] for r in tracks.run_available(tracks.rate_stream(stream, "0 seconds"), folder).collect()}
+    done = tracks.run_available(tracks.rate_stream(stream, "5 seconds"), folder, "update", ("session_id", "window_start"))
+    got = {(r["session_id"], r["window_start"]): r["rate"] for r in done.collect()}
     want = {(r["session_id"], r["window_start"]): r["rate"] for r in signals.rate_metric(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got and all(abs(want[k] - v) < 1e-9 for k, v in got.items())
+    assert got == want

@@ -21,6 +21,15 @@ def png(w: int, h: int, at, alpha: bool) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6 if alpha else 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
+def grey_png(w, h):
+    """One 8-bit channel; every raster row counts up from 90."""
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    raw = b"".join(b"\0" + bytes(90 + x for x in range(w)) for _ in range(h))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
 def colour(x, y):
     return (x * 7 % 256, y * 5 % 256, (x + y) * 3 % 256, (x * y * 11) % 256)
 
@@ -31,20 +40,25 @@ def test_scan_rasters_and_uploads(spark):
     (folder / "b.png").write_bytes(png(3, 2, colour, False))
     (folder / "c.png").write_bytes(b"not an image")
     (folder / "d.png").write_bytes(b"")
+    (folder / "e.png").write_bytes(grey_png(3, 3))
     rasters = files.scan_rasters(spark, str(folder))
     scanned = files.raster_pixels(rasters)
-    facts = {Path(r["image_id"]).name: r for r in files.raster_facts(rasters, scanned, 1, 100, 1000).collect()}
-    assert set(facts) == {"a.png", "b.png"} and facts["a.png"]["had_alpha"] and not facts["b.png"]["had_alpha"]
-    assert files.raster_facts(rasters, scanned).where("reason_code = 'INPUT_UNSUPPORTED'").count() == 2
+    facts = {Path(r["image_id"]).name: r for r in files.raster_facts(rasters, scanned, 1, 100, 1000).collect() if r["width"]}
+    broken = {Path(r["image_id"]).name: (r["reason_code"], r["width"], r["data"]) for r in rasters.where("reason_code is not null").collect()}
+    assert broken.pop("c.png") == ("INPUT_CORRUPT", None, None) and set(broken) <= {"d.png"}
+    assert set(facts) == {"a.png", "b.png", "e.png"} and facts["a.png"]["had_alpha"] and not facts["b.png"]["had_alpha"]
+    assert files.raster_facts(rasters, scanned).where("reason_code = 'INPUT_UNSUPPORTED'").count() == 3
     for r in scanned.collect():
         name, want = Path(r["image_id"]).name, colour(r["x"], r["y"])
+        if name == "e.png":
+            want = (90 + r["x"],) * 3
         got = (r["r"], r["g"], r["b"], r["a"])
         assert got == (want if name == "a.png" else (*want[:3], 255))
     paths = [r["path"] for r in spark.read.format("binaryFile").load(str(folder)).select("path").collect()]
     paths.append(paths[0].rsplit("/", 1)[0] + "/d.png")
     declared = spark.createDataFrame([(p, "image/jpeg" if p.endswith("b.png") else "image/png") for p in paths], "path string, declared_type string")
     verdict = {Path(r["path"]).name: r["reason_code"] for r in files.scan_uploads(spark, str(folder), declared).collect()}
-    assert verdict == {"a.png": None, "b.png": "INPUT_UNSUPPORTED", "c.png": "INPUT_UNSUPPORTED", "d.png": "INPUT_UNSUPPORTED"}
+    assert verdict == {"a.png": None, "b.png": "INPUT_UNSUPPORTED", "c.png": "INPUT_UNSUPPORTED", "d.png": "INPUT_UNSUPPORTED", "e.png": None}
 
 
 def test_scan_projects_and_manifests(spark):

@@ -56,7 +56,7 @@ def test_scan_reads_only_needed_columns(spark):
 
 
 def test_filters_reach_the_scan(spark):
-    assert "LessThan(turn,3)" in plan_of(REGISTRY["adjudicate_ballots"].run(spark, SF))
+    assert "LessThan(l_quantity,46.0)" in plan_of(REGISTRY["inventory_reconcile"].run(spark, SF))
 
 
 def test_first_samples_are_limited_before_the_shuffle(spark):

@@ -40,9 +40,10 @@ DROPPED = frozenset("head script style noscript template iframe object embed svg
 CONTAINERS = frozenset("nav header footer aside form div section ul ol dl table figure center details menu".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 DROPPED_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb "
-                          "breadcrumbs footer header masthead cookie cookies consent notice notices gdpr newsletter subscribe subscription signup login comment "
-                          "comments commentlist disqus respond reply replies share sharing social related recommended popup modal overlay toolbar pagination pager "
-                          "skip".split())
+                          "breadcrumbs footer header masthead cookie cookies consent notice notices gdpr newsletter subscribe subscription signup login "
+                          "share sharing social popup modal overlay toolbar pagination pager skip".split())
+#: What has one of these names goes even where it holds articles of its own, as comments and teasers may.
+SIDE_NAMES = frozenset("comment comments commentlist disqus respond reply replies related recommended".split())
 #: An opening tag of the key closes open elements of the values, up to the nearest of the bounds.
 CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)),
           "td": (("td", "th"), ("table", "tr")), "th": (("td", "th"), ("table", "tr")), "option": (("option",), ("select",))}
@@ -51,19 +52,21 @@ NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(
 WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
-def names_dropped(attributes: str) -> bool:
-    """Whether class, id, role or visibility say that the element is no part of an article."""
+def names_dropped(attributes: str) -> int:
+    """Whether class, id, role or visibility say that the element is no part of an article: 1, or 2 if even its articles are not."""
+    level = 0
     for name, value in NAMED.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            if any(w.lower() in DROPPED_NAMES for w in WORDS.findall(value)):
-                return True
+            words = {w.lower() for w in WORDS.findall(value)}
+            if words & SIDE_NAMES:
+                return 2
+            level |= not words.isdisjoint(DROPPED_NAMES)
         elif name == "role":
-            if value.lower() in DROPPED_ROLES:
-                return True
+            level |= value.lower() in DROPPED_ROLES
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return True
-    return False
+            return 2
+    return int(level)
 
 
 class Element:
@@ -73,7 +76,7 @@ class Element:
 
     def __init__(self, tag: str, attributes: str, articles: int) -> None:
         self.tag, self.articles = tag, articles
-        self.dropped = tag in DROPPED or (bool(attributes) and tag not in ("html", "body") and names_dropped(attributes))
+        self.dropped = names_dropped(attributes) if attributes and tag not in ("html", "body") else 0
         self.parts: list = []
         self.holds_main = self.heading = self.has_text = False
         self.hashed = xxhash.xxh3_64(utf8(tag + attributes))
@@ -175,7 +178,7 @@ class Page:
         parent.hashed.update(own.hashed.digest())
         parent.has_text |= own.has_text
         holds = own.holds_main or own.tag in ("article", "main", "h1", "body")
-        gone = own.tag in DROPPED or (own.dropped and not own.holds_main and not own.heading) or (own.tag == "header" and not own.heading and not self.open["article"])
+        gone = own.tag in DROPPED or (own.dropped > own.holds_main and not own.heading) or (own.tag == "header" and not own.heading and not self.open["article"])
         if own.tag in CONTAINERS and own.has_text and not (own.holds_main or own.heading):
             own_hash = own.hashed.intdigest() - (1 << 63)
             self.subtrees.append(own_hash)

@@ -15,7 +15,7 @@ def model(spark):
 def test_held_out_accuracy(spark, model):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     scored = quality.classify(spark.read.parquet(f"{SF}/documents.parquet"), model).join(labels, "doc_id").where("held_out")
-    total, right, clean, kept = scored.agg(F.count("*"), F.count_if("predicted = quality"), F.count_if("quality = 1"), F.count_if("quality = 1 and predicted = 1")).first()
+    total, right, clean, kept = scored.agg(F.count("*"), *(F.count_if(F.expr(x)) for x in ("predicted = quality", "quality = 1", "quality = 1 and predicted = 1"))).first()
     assert total > 500 and right / total > 0.97 and kept / clean > 0.99
 
 
@@ -31,7 +31,7 @@ def test_attention_reads_the_whole_text(documents, model):
     first, tail = quality.classify(documents([(1, clean), (2, clean + junk)]), model).orderBy("doc_id").collect()
     assert first["score"] > tail["score"]
     weights = quality.passage_weights(documents([(2, clean + junk)]), model).collect()
-    assert len(weights) == -(-len((clean + junk).encode()) // quality.WINDOW) and abs(sum(r["weight"] for r in weights) - 1) < 1e-9
+    assert len(weights) == -(-len((clean + junk).encode()) // quality.WINDOW) and abs(sum(r["weight"] for r in weights) - 1) < 1e-6
 
 
 def test_without_both_classes_the_share_counts(spark, documents):

@@ -147,3 +147,41 @@ PART_BINDINGS = (
     ("binding.eye-right-open", "eye.right.open", "eye", "right"),
     ("binding.mouth-open", "mouth.open", "mouth", None),
 )
+
+# Layout ratios of a half-body figure, in this order: each measure may use the subject box (x, y, width, height) and those before it.
+LAYOUT_MEASURES = (
+    ("head_h", "height * 0.42D"), ("head_w", "width * 0.58D"), ("head_x", "x + (width - head_w) / 2.0D"), ("head_y", "cast(y as double)"),
+    ("face_y", "head_y + head_h * 0.22D"), ("face_h", "head_h * 0.62D"), ("face_x", "head_x + head_w * 0.16D"), ("face_w", "head_w * 0.68D"),
+    ("eye_y", "face_y + face_h * 0.30D"), ("eye_h", "face_h * 0.20D"), ("eye_w", "face_w * 0.30D"), ("brow_y", "eye_y - face_h * 0.16D"),
+    ("brow_h", "face_h * 0.12D"), ("mouth_y", "face_y + face_h * 0.70D"), ("mouth_h", "face_h * 0.18D"), ("mouth_w", "face_w * 0.34D"),
+    ("neck_y", "head_y + head_h * 0.92D"), ("torso_y", "y + height * 0.46D"), ("mid", "face_x + face_w / 2.0D"),
+)
+
+# Slot boxes of that layout: (slot, character side, x, y, width, height).
+LAYOUT_BOXES = (
+    ("character", "none", "x", "y", "width", "height"),
+    ("hair.back", "none", "head_x - head_w * 0.12D", "head_y", "head_w * 1.24D", "head_h * 1.15D"),
+    ("torso", "none", "x", "torso_y", "width", "y + height - torso_y"),
+    ("neck", "none", "mid - face_w * 0.30D", "neck_y", "face_w * 0.60D", "head_h * 0.18D"),
+    ("face.base", "center", "face_x", "face_y", "face_w", "face_h"),
+    ("brow.right", "right", "face_x + face_w * 0.10D", "brow_y", "eye_w", "brow_h"),
+    ("brow.left", "left", "mid + face_w * 0.10D", "brow_y", "eye_w", "brow_h"),
+    ("eye.right", "right", "face_x + face_w * 0.10D", "eye_y", "eye_w", "eye_h"),
+    ("eye.left", "left", "mid + face_w * 0.10D", "eye_y", "eye_w", "eye_h"),
+    ("mouth", "center", "mid - mouth_w / 2.0D", "mouth_y", "mouth_w", "mouth_h"),
+    ("hair.front", "none", "head_x", "head_y", "head_w", "head_h * 0.34D"),
+)
+
+# Displacement per parameter as (dx, dy) in terms of the vertex (x, y), its layer box (bx, by, w, h) and centre (cx, cy).
+DISPLACEMENTS = {
+    "head.yaw": ("n * w * 0.06D * (1.0D - least(1.0D, abs(y - cy) / (h / 2.0D)) * 0.35D)", "0.0D"),
+    "head.pitch": ("0.0D", "-n * h * 0.05D * (1.0D - least(1.0D, abs(x - cx) / (w / 2.0D)) * 0.25D)"),
+    "eye.left.open": ("0.0D", "(cy - y) * pull"),
+    "eye.right.open": ("0.0D", "(cy - y) * pull"),
+    "mouth.open": ("0.0D", "(cy - y) * pull"),
+    "eye.gaze.x": ("n * w * 0.10D", "0.0D"),
+    "eye.gaze.y": ("0.0D", "-n * h * 0.10D"),
+    "mouth.form": ("(x - cx) / (w / 2.0D) * n * w * 0.06D", "0.0D"),
+    "body.lean": ("n * w * 0.05D * greatest(0.0D, 1.0D - (y - by) / h)", "0.0D"),
+    "breath": ("0.0D", "-n * h * 0.012D * greatest(0.0D, 1.0D - (y - by) / h)"),
+}

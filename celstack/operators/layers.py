@@ -13,33 +13,13 @@ LX = ["image_id", "slot_id", "x", "y"]
 
 def layout_regions(bounds: DataFrame) -> DataFrame:
     """Eleven slot boxes from each subject box ``(x, y, width, height)``; a narrow projection with half-even rounding."""
-    lets = (
-        ("head_h", "height * 0.42D"), ("head_w", "width * 0.58D"), ("head_x", "x + (width - head_w) / 2.0D"), ("head_y", "cast(y as double)"),
-        ("face_y", "head_y + head_h * 0.22D"), ("face_h", "head_h * 0.62D"), ("face_x", "head_x + head_w * 0.16D"), ("face_w", "head_w * 0.68D"),
-        ("eye_y", "face_y + face_h * 0.30D"), ("eye_h", "face_h * 0.20D"), ("eye_w", "face_w * 0.30D"), ("brow_y", "eye_y - face_h * 0.16D"),
-        ("brow_h", "face_h * 0.12D"), ("mouth_y", "face_y + face_h * 0.70D"), ("mouth_h", "face_h * 0.18D"), ("mouth_w", "face_w * 0.34D"),
-        ("neck_y", "head_y + head_h * 0.92D"), ("torso_y", "y + height * 0.46D"), ("mid", "face_x + face_w / 2.0D"),
-    )
-    boxes = (
-        ("character", "none", "x", "y", "width", "height"),
-        ("hair.back", "none", "head_x - head_w * 0.12D", "head_y", "head_w * 1.24D", "head_h * 1.15D"),
-        ("torso", "none", "x", "torso_y", "width", "y + height - torso_y"),
-        ("neck", "none", "mid - face_w * 0.30D", "neck_y", "face_w * 0.60D", "head_h * 0.18D"),
-        ("face.base", "center", "face_x", "face_y", "face_w", "face_h"),
-        ("brow.right", "right", "face_x + face_w * 0.10D", "brow_y", "eye_w", "brow_h"),
-        ("brow.left", "left", "mid + face_w * 0.10D", "brow_y", "eye_w", "brow_h"),
-        ("eye.right", "right", "face_x + face_w * 0.10D", "eye_y", "eye_w", "eye_h"),
-        ("eye.left", "left", "mid + face_w * 0.10D", "eye_y", "eye_w", "eye_h"),
-        ("mouth", "center", "mid - mouth_w / 2.0D", "mouth_y", "mouth_w", "mouth_h"),
-        ("hair.front", "none", "head_x", "head_y", "head_w", "head_h * 0.34D"),
-    )
     df = bounds.where("width > 0 and height > 0")
-    for name, text in lets:
+    for name, text in fixed.LAYOUT_MEASURES:
         df = df.withColumn(name, F.expr(text))
     whole = lambda t: f"cast(bround({t}) as int)"
     rows = ", ".join(
         f"named_struct('slot_id', '{s}', 'side', '{side}', 'x', {whole(x)}, 'y', {whole(y)}, 'width', greatest(1, {whole(w)}), 'height', greatest(1, {whole(h)}))"
-        for s, side, x, y, w, h in boxes)
+        for s, side, x, y, w, h in fixed.LAYOUT_BOXES)
     return df.select("image_id", F.expr(f"inline(array({rows}))"))
 
 

@@ -98,21 +98,6 @@ def parameter_slots(parameter: Column) -> Column:
     return out
 
 
-# Displacement per parameter as (dx, dy) in terms of the vertex (x, y), its layer box (bx, by, w, h) and centre (cx, cy).
-DELTAS = {
-    "head.yaw": ("n * w * 0.06D * (1.0D - least(1.0D, abs(y - cy) / (h / 2.0D)) * 0.35D)", "0.0D"),
-    "head.pitch": ("0.0D", "-n * h * 0.05D * (1.0D - least(1.0D, abs(x - cx) / (w / 2.0D)) * 0.25D)"),
-    "eye.left.open": ("0.0D", "(cy - y) * pull"),
-    "eye.right.open": ("0.0D", "(cy - y) * pull"),
-    "mouth.open": ("0.0D", "(cy - y) * pull"),
-    "eye.gaze.x": ("n * w * 0.10D", "0.0D"),
-    "eye.gaze.y": ("0.0D", "-n * h * 0.10D"),
-    "mouth.form": ("(x - cx) / (w / 2.0D) * n * w * 0.06D", "0.0D"),
-    "body.lean": ("n * w * 0.05D * greatest(0.0D, 1.0D - (y - by) / h)", "0.0D"),
-    "breath": ("0.0D", "-n * h * 0.012D * greatest(0.0D, 1.0D - (y - by) / h)"),
-}
-
-
 def generate_bindings(vertices: DataFrame, boxes: DataFrame, parameters: DataFrame) -> DataFrame:
     """Binding samples ``(mesh, parameter, sample_value, vi, dx, dy)`` at minimum, default and maximum.
 
@@ -128,7 +113,7 @@ def generate_bindings(vertices: DataFrame, boxes: DataFrame, parameters: DataFra
               .withColumn("n", F.expr("sample_value / (case when greatest(abs(minimum), abs(maximum)) = 0 then 1.0D else greatest(abs(minimum), abs(maximum)) end)"))
               .withColumn("pull", F.expr("greatest(-0.92D, least(0.92D, (default_value - sample_value) / (case when maximum = minimum then 1.0D else maximum - minimum end)))")))
     joined = meshes.join(vertices.select(*MESH, "vi", "x", "y"), MESH)
-    pick = lambda i: F.expr("case parameter_id " + " ".join(f"when '{p}' then {d[i]}" for p, d in DELTAS.items()) + " else 0.0D end")
+    pick = lambda i: F.expr("case parameter_id " + " ".join(f"when '{p}' then {d[i]}" for p, d in fixed.DISPLACEMENTS.items()) + " else 0.0D end")
     return joined.select(*MESH, "parameter_id", "sample_index", "sample_value", "vi", pick(0).alias("dx"), pick(1).alias("dy"))
 
 

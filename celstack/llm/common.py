@@ -20,5 +20,10 @@ def utf8(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
+def hinted(ids: DataFrame, most: int = 1 << 21) -> DataFrame:
+    """A table of one id column to join large texts with: broadcast if it has at most ``most`` rows (16 MB), else shuffled."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))

@@ -5,7 +5,7 @@
    a signature; documents that share none cannot be linked. Sizes fall into intervals so that linked sets lie in the same or the
    next one, and every set emits the parts of both. Signatures travel packed (7 bytes each) and are sorted in the reducers,
    which emit a star of edges for each shared one, never all pairs.
-2. Blocks. The documents of a star are compared by counts of their hashes in 32 ranges: sets whose counts differ by more than
+2. Blocks. The documents of a star are compared by counts of their hashes in ranges (one for four to eight elements): sets whose counts differ by more than
    linked sets can differ are no candidates, which removes documents that merely share a passage. Components of the
    remaining edges hold every link. Sets of a block meet in one task; a block of more than ``block`` sets is cut into chunks.
 3. T-occurrence. In a chunk an inverted index maps a shingle to its documents. A query merges its short lists with a heap and
@@ -36,11 +36,12 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..session import cut
-from .common import utf8
+from .common import hinted, utf8
 
 FLUSH = 1 << 20
 BLOCK = 512
-ROW = np.dtype([("doc", "<i8"), ("n", "<i8"), ("node", "<i8"), ("ref", "<i8"), ("spread", "<u2", 32)])
+STARS = 16
+ROW = np.dtype([("doc", "<i8"), ("n", "<i8"), ("node", "<i8"), ("ref", "<i8")])
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -75,9 +76,16 @@ class Shingler:
         return np.unique(_mix(mixed))
 
 
-def spread_of(shingles: np.ndarray) -> np.ndarray:
-    """How the set spreads over 32 ranges of hashes; two sets differ at least by the sum of the differences of these counts."""
-    return np.minimum(np.bincount((shingles >> np.uint64(59)).astype(np.int64), minlength=32), 65535).astype("<u2")
+def spread_bits(count: int) -> int:
+    """Ranges of hashes by which sets of this size are compared, as a power of two: four to eight elements a range."""
+    return max(4, count.bit_length() - 3)
+
+
+def spread_of(shingles: np.ndarray) -> bytes:
+    """How the set spreads over its ranges; two sets differ at least by the sum of the differences of these counts."""
+    bits = spread_bits(len(shingles))
+    counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
 def set_digest(shingles: np.ndarray) -> int:
@@ -143,7 +151,7 @@ def _unpack_pairs(packed: bytes, first: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def documents_and_edges(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """One pass over the texts: rows (doc_id, n, node, ref) of documents and (a, b) of edges between refs that share a signature.
+    """One pass over the texts: rows (doc_id, n, node, ref) of documents and (a, star, b) of edges between refs that share a signature.
 
     A ``ref`` stands for the document in one task that was first to have its set; copies after it there have none. Sets of one
     node share all their signatures, so all refs of a node are in one component.
@@ -153,7 +161,7 @@ def documents_and_edges(docs: DataFrame, size: int, num: int, den: int) -> DataF
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, signatures, partition = Shingler(size), Signatures(num, den), TaskContext.get().partitionId()
-        rows, signs, counts, held, flushes, seen = [], [], [], 0, 0, set()
+        rows, spreads, signs, counts, held, flushes, seen = [], [], [], [], 0, 0, set()
 
         def flush() -> pa.RecordBatch:
             signed = np.concatenate([*signs, np.zeros(0, np.uint64)])
@@ -164,10 +172,12 @@ def documents_and_edges(docs: DataFrame, size: int, num: int, den: int) -> DataF
             ids = np.array(rows, ROW)
             share = np.arange(len(ids)) % buckets
             own = [x.tobytes() for x in np.split(ids[np.argsort(share, kind="stable")], np.cumsum(np.bincount(share, minlength=buckets))[:-1])]
+            spread = [spreads[k::buckets] for k in range(min(buckets, len(spreads)))] + [[]] * max(0, buckets - len(spreads))
             full = [k for k in range(buckets) if own[k] or pairs[k]]
             first = pa.array([_reference(partition, flushes)] * len(full), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), first, pa.array([own[k] for k in full], pa.binary()),
-                                               pa.array([pairs[k] for k in full], pa.binary())], ["bucket", "flush", "docs", "pairs"])
+                                               pa.array([spread[k] for k in full], pa.list_(pa.binary())), pa.array([pairs[k] for k in full], pa.binary())],
+                                              ["bucket", "flush", "docs", "spreads", "pairs"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -180,42 +190,43 @@ def documents_and_edges(docs: DataFrame, size: int, num: int, den: int) -> DataF
                     signs.append(signatures(shingles))
                     counts.append((len(rows), len(signs[-1])))
                     held += len(signs[-1])
-                rows.append((doc_id, len(shingles), digest - (1 << 63), ref, spread_of(shingles)))
+                rows.append((doc_id, len(shingles), digest - (1 << 63), ref))
+                spreads.append(b"" if ref < 0 else spread_of(shingles))
                 if held >= FLUSH or len(rows) >= 1 << 16:
                     yield flush()
-                    rows, signs, counts, held, flushes = [], [], [], 0, flushes + 1
+                    rows, spreads, signs, counts, held, flushes = [], [], [], [], 0, flushes + 1
         if rows:
             yield flush()
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
         for batch in batches:
-            for k, first, own, packed in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for k, first, own, spreads, packed in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if own:
                     ids = np.frombuffer(own, ROW)
-                    yield _rows(ids["doc"], ids["n"], ids["node"], ids["ref"], [x.tobytes() for x in ids["spread"]], None, None)
+                    yield _rows(ids["doc"], ids["n"], ids["node"], ids["ref"], spreads, None, None, None)
                 if k != bucket:
                     yield _star(held)
                     bucket, held = k, []
                 held.append((packed, first))
         yield _star(held)
 
-    packed = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(emit, "bucket int, flush long, docs binary, pairs binary")
+    packed = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(emit, "bucket int, flush long, docs binary, spreads array<binary>, pairs binary")
     dealt = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(pair, "doc_id long, n long, node long, ref long, spread binary, a long, b long")
+    return dealt.mapInArrow(pair, "doc_id long, n long, node long, ref long, spread binary, a long, star long, b long")
 
 
-def _rows(doc, n, node, ref, spread, a, b) -> pa.RecordBatch:
+def _rows(doc, n, node, ref, spread, a, star, b) -> pa.RecordBatch:
     count = len(doc) if doc is not None else len(a)
-    kinds = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 2
-    columns = [pa.array(x, kind) if x is not None else pa.nulls(count, kind) for x, kind in zip((doc, n, node, ref, spread, a, b), kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "ref", "spread", "a", "b"])
+    kinds = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 3
+    columns = [pa.array(x, kind) if x is not None else pa.nulls(count, kind) for x, kind in zip((doc, n, node, ref, spread, a, star, b), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "ref", "spread", "a", "star", "b"])
 
 
 def _star(held: list[tuple[bytes, int]]) -> pa.RecordBatch:
     """Edges from the smallest reference of each signature to the others that have it."""
     parts = [_unpack_pairs(*x) for x in held if x[0]]
-    none = _rows(None, None, None, None, None, [], [])
+    none = _rows(None, None, None, None, None, [], [], [])
     if not parts:
         return none
     sig, ref = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -225,8 +236,9 @@ def _star(held: list[tuple[bytes, int]]) -> pa.RecordBatch:
     if new.all():
         return none
     hub = np.minimum.reduceat(ref, np.flatnonzero(new))[np.cumsum(new) - 1]
-    edges = np.unique(np.stack([hub, ref])[:, hub != ref], axis=1)
-    return _rows(None, None, None, None, None, edges[0], edges[1])
+    # a document that comes first for many signatures has a star for every residue of them, not one for all
+    edges = np.unique(np.stack([hub, (sig % np.uint64(STARS)).astype(np.int64), ref])[:, hub != ref], axis=1)
+    return _rows(None, None, None, None, None, edges[0], edges[1], edges[2])
 
 
 class Classes:
@@ -359,15 +371,19 @@ def _by_block(rows: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
 def candidate_edges(edges: DataFrame, rows: DataFrame, num: int, den: int, block: int) -> DataFrame:
     """(a, b) edges that keep together what can be linked in each star; stars of more than ``block`` documents stay whole."""
     stars = edges.distinct()
-    both = stars.select(F.col("a").alias("hub"), F.col("b").alias("ref")).unionByName(stars.select(F.col("a").alias("hub"), F.col("a").alias("ref")).distinct())
-    members = both.join(rows.select("ref", "n", "spread"), "ref").select("hub", "ref", "n", "spread")
+    hubs = stars.select(F.col("a").alias("hub"), "star", F.col("a").alias("ref")).distinct()
+    both = stars.select(F.col("a").alias("hub"), "star", F.col("b").alias("ref")).unionByName(hubs)
+    members = both.join(rows.select("ref", "n", "spread"), "ref").select("hub", "star", "ref", "n", "spread")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         hub, held, whole = None, [], False
 
         def compare() -> None:
-            counts = np.frombuffer(b"".join(h[2] for h in held), "<u2").reshape(-1, 32).astype(np.int32)
+            if not held:
+                return
+            ranges = min(len(h[2]) for h in held)
+            counts = np.stack([np.frombuffer(h[2], np.uint8).reshape(ranges, -1).sum(1, dtype=np.int32) for h in held])
             sizes, classes = np.array([h[1] for h in held]), Classes(len(held))
             for k in range(len(held) - 1):
                 differ = np.abs(counts[k + 1 :] - counts[k]).sum(1)
@@ -376,23 +392,23 @@ def candidate_edges(edges: DataFrame, rows: DataFrame, num: int, den: int, block
             out.extend((held[classes.find(k)][0], held[k][0]) for k in range(len(held)) if classes.find(k) != k)
 
         for batch in batches:
-            for own, ref, n, spread in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if own != hub:
+            for own, star, ref, n, spread in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (own, star) != hub:
                     compare()
-                    hub, held, whole = own, [], False
+                    hub, held, whole = (own, star), [], False
                 if whole:
-                    out.append((hub, ref))
+                    out.append((own, ref))
                     continue
                 held.append((ref, n, spread))
                 if len(held) > block:
-                    out.extend((hub, h[0]) for h in held)
+                    out.extend((own, h[0]) for h in held)
                     held, whole = [], True
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], ["a", "b"])
             out = []
         compare()
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], ["a", "b"])
 
-    dealt = members.repartition("hub").sortWithinPartitions("hub", "ref")
+    dealt = members.repartition("hub", "star").sortWithinPartitions("hub", "star", "ref")
     return cut(dealt.mapInArrow(run, "a long, b long"))
 
 
@@ -408,7 +424,8 @@ def shingle_sets(reps: DataFrame, docs: DataFrame, size: int) -> DataFrame:
                                               pa.array([s.tobytes() for s in sets], pa.binary())], ["comp", "chunk", "chunks", "node", "members"])
             yield out.filter(pa.array(same))
 
-    joined = docs.select(F.col("doc_id").alias("first"), "text").join(reps, "first")
+    texts = docs.select(F.col("doc_id").alias("first"), "text").join(hinted(reps.select("first").distinct()), "first", "left_semi")
+    joined = texts.join(reps, "first")
     sets = joined.select("comp", "chunk", "chunks", "node", "text").mapInArrow(build, "comp long, chunk int, chunks int, node long, members binary")
     return sets
 
@@ -437,12 +454,12 @@ def _triples(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 def node_links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, edges: DataFrame, size: int, num: int, den: int, block: int = BLOCK) -> DataFrame:
     """(a, b) links between nodes that connect all that is linked; ``rows`` is (ref, node, n, spread), ``nodes`` is (node, first), ``edges`` joins refs."""
-    near = candidate_edges(edges, rows, num, den, block)
+    near = candidate_edges(edges, rows, num, den, 8 * block)
     labels = connected_components(near).select(F.col("node").alias("ref"), F.col("component").alias("comp"))
     coarse = cut(labels.join(rows.select("ref", "node"), "ref").groupBy("node").agg(F.min("comp").alias("comp")))
     counts = coarse.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
     reps = coarse.join(nodes, "node").join(counts, "comp").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    sets = cut(shingle_sets(reps.select("comp", "chunk", "chunks", "node", "first"), docs, size))
+    sets = cut(shingle_sets(cut(reps.select("comp", "chunk", "chunks", "node", "first")), docs, size))
     names, schema = ["comp", "node", "root"], "comp long, node long, root long"
     columns = ["comp", "chunk", "node", "members"]
     first = cut(_by_block(sets.select(*columns), ["comp", "chunk"], _local_roots(num, den, 2, names), schema))
@@ -495,7 +512,7 @@ def components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, bl
     passed = cut(documents_and_edges(docs, size, num, den))
     rows = passed.where("doc_id is not null").select("doc_id", "n", "node", "ref", "spread")
     nodes = cut(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")))
-    links = node_links(docs, rows.where("ref >= 0"), nodes, passed.where("a is not null").select("a", "b"), size, num, den, block)
+    links = node_links(docs, rows.where("ref >= 0"), nodes, passed.where("a is not null").select("a", "star", "b"), size, num, den, block)
     labels = cut(connected_components(links))
     smallest = nodes.join(labels, "node").groupBy("component").agg(F.min("first").alias("smallest"))
     linked = labels.join(smallest, "component").select("node", "smallest")
@@ -508,5 +525,5 @@ def components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, bl
 
 def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` without those that are linked, directly or over others, with a document of a smaller id."""
-    gone = components(docs, size, num, den).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = cut(components(docs, size, num, den).where("doc_id <> component_id").select("doc_id").distinct())
+    return docs.join(hinted(gone), "doc_id", "left_anti").select(*docs.columns)

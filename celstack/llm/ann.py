@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .common import hashed_sample
 
 SHARES = (0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 
@@ -68,7 +69,7 @@ class Model:
 
 def fit(classes: DataFrame, count: int, k: int, target: float = 0.96, sample: int = 16384, most_lists: int = 4096, seed: int = 11) -> Model | None:
     """Fit on ``sample`` classes; the probes reach ``target`` recall among them, and more among all, where neighbours are nearer."""
-    rows = classes.select("rep", "embedding").orderBy(F.xxhash64("rep"), "rep").limit(sample).collect()
+    rows = hashed_sample(classes.select("rep", "embedding"), "rep", count, sample).collect()
     if not rows:
         return None
     vectors = np.array([r["embedding"] for r in sorted(rows, key=lambda r: r["rep"])], np.float32)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import hashed_sample, utf8
 
 WINDOW = 512
 BUCKETS = 256
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, fit_passages:
         return constant_model(prior)
     sample = None
     for label in (0, 1):
-        part = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        part = hashed_sample(known.where(F.col("label") == label), "doc_id", counts[label], per_class)
         sample = part if sample is None else sample.unionByName(part)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

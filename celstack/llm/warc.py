@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, work_folder
-from .common import utf8
+from .common import hashed_sample, utf8
 
 SKIPPABLE = 0x184D2A5D
 DATE = "1970-01-01T00:00:00Z"
@@ -88,7 +88,7 @@ def train_dictionary(pages: DataFrame, rows: int = 1000, bytes_each: int = 8192,
     Too few or too small records to train on give a raw dictionary of the same bytes (empty for an empty table).
     """
     sample = pages.select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, bytes_each).alias("html"))
-    sample = sample.orderBy(F.xxhash64("page_id"), "page_id").limit(rows).collect()
+    sample = hashed_sample(sample, "page_id", pages.count(), rows).collect()
     records = [record(r["page_id"], r["url"], utf8(r["html"])[:bytes_each], None) for r in sample]
     try:
         return zstandard.train_dictionary(size, records).as_bytes()

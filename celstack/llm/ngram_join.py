@@ -40,7 +40,7 @@ from .common import hinted, utf8
 
 FLUSH = 1 << 20
 BLOCK = 512
-STARS = 16
+STARS = 32
 ROW = np.dtype([("doc", "<i8"), ("n", "<i8"), ("node", "<i8"), ("ref", "<i8")])
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
@@ -454,7 +454,7 @@ def _triples(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 def node_links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, edges: DataFrame, size: int, num: int, den: int, block: int = BLOCK) -> DataFrame:
     """(a, b) links between nodes that connect all that is linked; ``rows`` is (ref, node, n, spread), ``nodes`` is (node, first), ``edges`` joins refs."""
-    near = candidate_edges(edges, rows, num, den, 8 * block)
+    near = candidate_edges(edges, rows, num, den, 64 * block)
     labels = connected_components(near).select(F.col("node").alias("ref"), F.col("component").alias("comp"))
     coarse = cut(labels.join(rows.select("ref", "node"), "ref").groupBy("node").agg(F.min("comp").alias("comp")))
     counts = coarse.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))

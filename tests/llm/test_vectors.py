@@ -103,3 +103,35 @@ def test_descriptors_turn_with_the_image():
     assert media.consensus(a, b) > 0.8 * min(len(a), len(b))
     other = np.rint(np.clip(media._shrunk(rng.normal(0, 0.125, (16, 16)).astype(np.float32), 1 / 6) * 360 + 128, 0, 255)).astype(np.uint8)
     assert media.consensus(a, media.features(96, 96, other.tobytes())) < 8
+
+
+def turned_and_sized(image, degrees, scale):
+    """``image`` turned about its centre and resized, between its pixels; the corners of the canvas repeat its edge."""
+    n, t = int(image.shape[0] * scale), np.deg2rad(degrees)
+    y, x = (np.mgrid[0:n, 0:n] - (n - 1) / 2) / scale
+    u, v = (np.clip(c + (image.shape[0] - 1) / 2, 0, image.shape[0] - 1.001) for c in (np.cos(t) * x - np.sin(t) * y, np.sin(t) * x + np.cos(t) * y))
+    x0, y0 = u.astype(int), v.astype(int)
+    fx, fy = u - x0, v - y0
+    return (image[y0, x0] * (1 - fx) + image[y0, x0 + 1] * fx) * (1 - fy) + (image[y0 + 1, x0] * (1 - fx) + image[y0 + 1, x0 + 1] * fx) * fy
+
+
+def recompressed(image, step=40):
+    """``image`` after coarse quantisation of the cosine transform of its 8 x 8 blocks, coarser at high frequencies."""
+    k, n = np.mgrid[0:8, 0:8]
+    basis = np.cos(np.pi * (2 * n + 1) * k / 16) * np.where(k == 0, np.sqrt(1 / 8), 0.5)
+    blocks = image.reshape(image.shape[0] // 8, 8, -1, 8).transpose(0, 2, 1, 3)
+    steps = step * (1 + k + n) / 4
+    back = basis.T @ (np.rint(basis @ blocks @ basis.T / steps) * steps) @ basis
+    return back.transpose(0, 2, 1, 3).reshape(image.shape)
+
+
+def test_resized_turned_and_recompressed_copies_meet(spark):
+    rng, rows = np.random.default_rng(8), []
+    edits = (lambda x: x, lambda x: turned_and_sized(x, 0, 1.5), lambda x: turned_and_sized(x, 17, 1), lambda x: turned_and_sized(x, 33, 1.2), recompressed)
+    for n in range(6):
+        big = np.clip(media._shrunk(rng.normal(0, 0.125, (16, 16)).astype(np.float32), 1 / 6) * 360 + 128, 0, 255)
+        for k, edit in enumerate(edits):
+            x = np.rint(np.clip(edit(big), 0, 255)).astype(np.uint8)
+            rows.append((10 * n + k, x.shape[1], x.shape[0], np.ascontiguousarray(x).tobytes()))
+    got = {r["media_id"]: r["group_id"] for r in media.copy_groups(spark.createDataFrame(rows, "media_id long, width int, height int, pixels binary")).collect()}
+    assert got == {10 * n + k: 10 * n for n in range(6) for k in range(len(edits))}

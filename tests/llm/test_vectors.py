@@ -135,3 +135,17 @@ def test_resized_turned_and_recompressed_copies_meet(spark):
             rows.append((10 * n + k, x.shape[1], x.shape[0], np.ascontiguousarray(x).tobytes()))
     got = {r["media_id"]: r["group_id"] for r in media.copy_groups(spark.createDataFrame(rows, "media_id long, width int, height int, pixels binary")).collect()}
     assert got == {10 * n + k: 10 * n for n in range(6) for k in range(len(edits))}
+
+
+def test_every_member_of_a_class_is_tried(spark, monkeypatch):
+    """1 and 2 are linked by their first corners; 3 shares the other corners with both, but only in 2 do they lie alike."""
+    rng = np.random.default_rng(4)
+    points = np.zeros(36, media.POINT)
+    points["x"], points["y"], points["scale"], points["bits"] = *rng.uniform(0, 400, (2, 36)), 1, rng.integers(0, 256, (36, media.TESTS // 8))
+    first, second, third = points[:24].copy(), points[:24].copy(), points[12:36].copy()
+    first["x"][12:], first["y"][12:] = rng.uniform(0, 400, (2, 12))
+    assert [media.consensus(*p) >= 8 for p in ((first, second), (second, third), (first, third))] == [True, True, False]
+    monkeypatch.setattr(media, "describe", lambda df: df.select("media", F.lit(24).cast("long").alias("n_keypoints"), F.col("pixels").alias("points")))
+    rows = spark.createDataFrame([(k + 1, 1, 1, p.tobytes()) for k, p in enumerate((first, second, third))], "media_id long, width int, height int, pixels binary")
+    for star in (1, 16):
+        assert {r["media_id"]: r["group_id"] for r in media.copy_groups(rows, star=star).collect()} == {1: 1, 2: 1, 3: 1}

@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 URL = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?([^?#]*)"
-SEGMENTS = 4
 
 
 def host_of(url: Column) -> Column:
@@ -44,7 +43,7 @@ def patterns_of(url: Column) -> Column:
 
     exact = F.array(entry("host", host, F.lit(1 << 16)))
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: entry("domain", F.array_join(F.slice(labels, k, F.size(labels)), "."), F.size(labels) - k))
-    known = F.least(F.size(segments), F.lit(SEGMENTS))
+    known = F.size(segments)
     prefixes = F.when(known > 0, F.transform(F.sequence(F.lit(1), F.greatest(known, F.lit(1))), lambda k: entry(
         "prefix", F.concat(host, F.lit("/"), F.array_join(F.slice(segments, 1, k), "/")), F.lit(1 << 17) + k))).otherwise(F.slice(exact, 1, 0))
     return F.when(host == "", F.slice(exact, 1, 0)).otherwise(F.concat(exact, domains, prefixes))
@@ -101,7 +100,7 @@ def _code(*columns) -> Column:
 
 
 def listed_from_pages(pages: DataFrame) -> DataFrame:
-    """A list history derived from the hosts of ``pages``: four dated entries for every host, domain and first path segment."""
+    """A list history derived from the hosts of ``pages``: four dated entries for every host, domain and path prefix."""
     urls = pages.select(F.explode(patterns_of(F.col("url"))).alias("p")).select("p.kind", "p.pattern").distinct()
     dated = urls.select("kind", "pattern", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("turn"))
     code = _code("kind", "pattern", F.col("turn").cast("string"))

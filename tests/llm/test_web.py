@@ -122,3 +122,13 @@ def test_temporal_list(spark):
         assert got == sorted((k, t or day(-1), wanted(u, t)) for k, u, t in captures)
     assert url_filter.filter_captures(asked.limit(0), listed).count() == 0
     assert url_filter.filter_captures(asked, listed.limit(0)).where("verdict = 'blocked'").count() == 0
+
+
+def test_prefixes_of_any_depth_decide(spark):
+    day = datetime.datetime(2024, 1, 1)
+    entries = [("host", "a.org", "allow", day), ("prefix", "a.org/1/2/3/4/5/6", "block", day), ("prefix", "a.org/1/2/3/4/5/6/7/8/9", "allow", day)]
+    urls = {"http://a.org/1/2/3/4/5": "allowed", "http://a.org/1/2/3/4/5/6": "blocked", "http://a.org/1/2/3/4/5/6/7?q": "blocked", "http://a.org/1/2/3/4/5/6/7/8/9/10": "allowed",
+            "http://a.org/1/2/3/4/5/66": "allowed"}
+    listed = spark.createDataFrame(entries, "kind string, pattern string, action string, listed_at timestamp")
+    asked = spark.createDataFrame([(k, u, day) for k, u in enumerate(urls)], "page_id long, url string, fetched_at timestamp")
+    assert {r["url"]: r["verdict"] for r in url_filter.filter_captures(asked, listed).collect()} == urls

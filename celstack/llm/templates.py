@@ -3,13 +3,14 @@
 1. Every page is parsed once into its element subtrees. Containers with text that do not hold the article (lists, divisions,
    navigation, footers) are hashed: tag, attributes, texts and children. Rows (host, subtree, article) count, in Spark, on how many
    different articles of a host a subtree occurs, so that copies of one page do not make its article a template.
-2. Subtrees on at least ``min_pages`` articles of their host are templates. The templates of each page, and nothing more, are
-   joined back to it; a page's list is bounded by its own elements.
+2. Subtrees on at least ``min_pages`` articles of their host are templates if they recur so outside articles, or if they are on a
+   ``share`` of all different articles of the host: a list or a text that some articles have in common is no template. The
+   templates of each page, and nothing more, are joined back to it; a page's list is bounded by its own elements.
 3. The page is read again: templates go, then what HTML itself marks as no part of an article (elements, roles and names of
    menus, headers, footers, sidebars, notices, adverts, forms, comments; scripts and styles), and the text of the rest is taken.
 
 The article is the ``article`` elements (those with a top heading, if any has one), else ``main``, else the body. Paragraphs and
-headings of an article are never templates, only containers beside them.
+headings of an article are never templates, only containers beside them. On a page without ``article`` and ``main`` every container counts as inside.
 
 Defined cases: a null or empty page, and one without text, gives the empty text; a null URL is the host ''; unclosed elements end
 with their parent or the page, a cut-off tag at the end is dropped; null and repeated ids pass through row by row. Columns other
@@ -101,7 +102,7 @@ class Page:
     """Article text and the hashed subtrees of one page; subtrees in ``templates`` are deleted."""
 
     def __init__(self, source: str | None, templates: frozenset[int] = frozenset()) -> None:
-        self.templates, self.subtrees = templates, []
+        self.templates, self.subtrees = templates, []  # of a subtree: hash, whether in an article, whether in a main
         self.articles: list[tuple[bool, list]] = []
         self.mains: list[list] = []
         self.stack, self.open = [Element("html", "", 0)], Counter({"html": 1})
@@ -112,6 +113,14 @@ class Page:
         chosen = [p for heading, p in self.articles if heading] or [p for _, p in self.articles] or self.mains or [self.stack[0].parts]
         self.text = " ".join(" ".join(flat(p) for p in chosen).split())
 
+    def outside(self) -> dict[int, bool]:
+        """Of every subtree, whether it occurs outside the article."""
+        found: dict[int, bool] = {}
+        for own, in_article, in_main in self.subtrees:
+            inside = in_article if self.articles else in_main if self.mains else True
+            found[own] = found.get(own, False) or not inside
+        return found
+
     def _read(self, source: str) -> None:
         at = 0
         while tag := TAG.search(source, at):
@@ -181,7 +190,7 @@ class Page:
         gone = own.tag in DROPPED or (own.dropped > own.holds_main and not own.heading) or (own.tag == "header" and not own.heading and not self.open["article"])
         if own.tag in CONTAINERS and own.has_text and not (own.holds_main or own.heading):
             own_hash = own.hashed.intdigest() - (1 << 63)
-            self.subtrees.append(own_hash)
+            self.subtrees.append((own_hash, self.open["article"] > 0, self.open["main"] > 0))
             gone |= own_hash in self.templates
         if gone:
             del self.articles[own.articles :]
@@ -205,7 +214,10 @@ def page_hash(source: str | None) -> int:
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """(host, page, article, subtree): hash of the page, of its article's text, and of each of its containers."""
+    """(host, page, article, subtree, outside): hash of the page, of its article's text, and of each of its containers.
+
+    A page with text has one more row without a subtree, which counts its article.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,24 +225,29 @@ def subtrees(pages: DataFrame) -> DataFrame:
             for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 page = Page(source)
                 own, article = page_hash(source), page_hash(page.text)
-                out += [(host, own, article, s) for s in set(page.subtrees)]
-            columns = list(zip(*out, strict=True)) or [[], [], [], []]
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "page", "article", "subtree"])
+                out += [(host, own, article, s, outside) for s, outside in page.outside().items()]
+                if page.text:
+                    out.append((host, own, article, None, False))
+            columns = list(zip(*out, strict=True)) or [[], [], [], [], []]
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "page", "article", "subtree", "outside"])
 
-    return pages.select(host_of().alias("host"), "html").mapInArrow(run, "host string, page long, article long, subtree long")
+    return pages.select(host_of().alias("host"), "html").mapInArrow(run, "host string, page long, article long, subtree long, outside boolean")
 
 
-def site_templates(found: DataFrame, min_pages: int) -> DataFrame:
-    """(host, subtree) of the subtrees that occur beside at least ``min_pages`` different articles of a host."""
-    beside = found.groupBy("host", "subtree", "article").agg(F.lit(1).alias("one"))
-    return beside.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("host", "subtree")
+def site_templates(found: DataFrame, min_pages: int, share: float) -> DataFrame:
+    """(host, subtree) of the subtrees beside at least ``min_pages`` different articles of a host, outside them or beside a ``share`` of all."""
+    articles = found.where("subtree is null").groupBy("host", "article").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("articles"))
+    beside = found.where("subtree is not null").groupBy("host", "subtree", "article").agg(F.max(F.col("outside").cast("int")).alias("outside"))
+    counted = beside.groupBy("host", "subtree").agg(F.count("*").alias("n"), F.sum("outside").alias("outside")).where(F.col("n") >= min_pages)
+    known = counted.join(articles, "host", "left").where((F.col("outside") >= min_pages) | (F.col("n") >= share * F.coalesce("articles", F.lit(0))))
+    return known.select("host", "subtree")
 
 
-def extract(pages: DataFrame, min_pages: int = 5) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 5, share: float = 0.5) -> DataFrame:
     """(page_id, url, text, n_templates): main text of every page and how many of its subtrees were templates."""
     found = cut(subtrees(pages))
-    templates = cut(site_templates(found, min_pages))
+    templates = cut(site_templates(found, min_pages, share))
     own = found.join(templates, ["host", "subtree"]).groupBy("host", "page").agg(F.collect_set("subtree").alias("templates"))
     own = cut(own).withColumnsRenamed({"host": "__host", "page": "__page"})
 

@@ -132,3 +132,15 @@ def test_prefixes_of_any_depth_decide(spark):
     listed = spark.createDataFrame(entries, "kind string, pattern string, action string, listed_at timestamp")
     asked = spark.createDataFrame([(k, u, day) for k, u in enumerate(urls)], "page_id long, url string, fetched_at timestamp")
     assert {r["url"]: r["verdict"] for r in url_filter.filter_captures(asked, listed).collect()} == urls
+
+
+def test_containers_shared_by_some_articles_stay(pages):
+    """A text reposted under five headlines and a list in five of forty articles stay; a box that also stands beside articles goes."""
+    box, told = "<div>our stories</div>", "<ul><li>told five times</li></ul>"
+    rows = [(k, "http://a.org/", f"<body><article><h1>head {k}</h1><div>one body</div></article></body>") for k in range(5)]
+    rows += [(10 + k, "http://a.org/", f"<body><article><h1>t</h1><p>text {k}</p>{told if k < 5 else ''}{box if k < 2 else ''}</article>{box if k < 8 else ''}</body>") for k in range(40)]
+    rows += [(60 + k, "http://b.org/", f"<body><h1>bare {k}</h1>{told if k < 5 else ''}</body>") for k in range(20)]
+    got = {r["page_id"]: r["text"] for r in templates.extract(pages(rows)).collect()}
+    assert all(got[k] == f"head {k} one body" for k in range(5))
+    assert all(got[10 + k] == f"t text {k}" + " told five times" * (k < 5) for k in range(40))
+    assert all(got[60 + k] == f"bare {k}" + " told five times" * (k < 5) for k in range(20))

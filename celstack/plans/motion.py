@@ -271,11 +271,8 @@ def _(spark, d):
 
 # --- warping --------------------------------------------------------------------------------------------------------
 
-WARP_POSES = ("neutral", "combination.mandatory-min", "head.yaw.max")
-
-
 def _warped(spark, d):
-    poses = M.pose_set(_parameters(spark, d)).where(F.col("pose").isin(*WARP_POSES))
+    poses = M.pose_set(_parameters(spark, d))
     boxes = cut(_boxes(spark, d))
     vertices = cut(M.pose_vertices(M.grid_vertices(boxes), M.generate_bindings(M.grid_vertices(boxes), boxes, _parameters(spark, d)), poses))
     layers = boxes.select("image_id", "slot_id", "draw_order", F.expr("if(draw_order = 6, 0.5D, 1.0D)").alias("opacity"), F.lit(16).alias("width"), F.lit(16).alias("height"))

@@ -178,7 +178,7 @@ def _(spark, d):
 def _(spark, d):
     p = I.pixels(spark, d)
     known = p.where("a > 200")
-    target = p.where("a <= 200 and x between 4 and 60").select("image_id", "x", "y", F.greatest(F.col("a"), F.lit(1)).alias("v"))
+    target = p.where("a <= 200").select("image_id", "x", "y", F.greatest(F.col("a"), F.lit(1)).alias("v"))
     return G.nearest_fill(known, target, ["image_id"])
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 
 from celstack.operators import layers, motion
+from celstack.plans import inputs as I
+from celstack.plans import load
 from celstack.plans.layers import layer_textures
 
 W = H = 40
@@ -67,3 +69,12 @@ def test_pose_coverage_verdicts(spark):
     vertices = spark.createDataFrame([(1, p, 2e6 if p == "wild" else 1.0, 1.0) for p in counts], "image_id bigint, pose string, x double, y double")
     got = {r["pose"]: r["status"] for r in motion.pose_coverage(rendered, poses, vertices).collect()}
     assert got == {"neutral": "ok", "same": "ok", "thin": "review", "gone": "blocking", "wild": "blocking"}
+
+
+def test_nearest_fill_reaches_every_column(spark):
+    folder = "/root/testdata/sf0.001"
+    pixels = I.pixels(spark, folder)
+    known = pixels.where("a > 200").select("image_id").distinct()
+    wanted = pixels.where("a <= 200").join(known, "image_id", "left_semi").groupBy("x").count().collect()
+    got = load()["nearest_fill"].run(spark, folder).join(known, "image_id", "left_semi").groupBy("x").count().collect()
+    assert sorted(got) == sorted(wanted) and min(r["x"] for r in got) == 0 and max(r["x"] for r in got) > 60

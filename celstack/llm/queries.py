@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, line_dedup, media, ngram_join, packing, quality, templates, url_filter, warc
+from . import ann, bpe, importance, lexical, line_dedup, media, ngram_join, packing, quality, templates, token_counts, url_filter, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,3 +153,68 @@ def op7_temporal_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.copy_groups(media.rendered(table(spark, sf_dir, "embeddings")))
+
+
+@query(r"""
+WITH terms AS (
+  SELECT row, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS row, doc_id, text FROM documents)
+), lengths AS (SELECT row, doc_id, count(*) AS n FROM terms GROUP BY ALL
+), corpus AS (SELECT count(*) AS docs, sum(n) AS total FROM lengths
+), tfs AS (SELECT row, term, count(*) AS tf FROM terms GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * (SELECT docs FROM corpus) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs GROUP BY term
+), asked AS (
+  SELECT item, item_id, term, count(*) AS times FROM (
+    SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark) GROUP BY ALL
+), scored AS (
+  SELECT item, item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)))) AS score
+  FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN lengths USING (row), corpus
+  WHERE doc_id IS NOT NULL GROUP BY item, item_id, row, doc_id
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 20
+""")
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+#: Words of a text in DuckDB: A-Z in lower case, runs of ASCII letters and digits and of characters beyond ASCII.
+WORDS_SQL = r"""unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word"""
+
+
+@query(f"""
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS steps
+), numbered AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents
+), words AS (SELECT row, {WORDS_SQL} FROM numbered
+), target AS (SELECT {WORDS_SQL} FROM benchmark
+), buckets AS (
+  SELECT word, xor(list_reduce(range(octet_length(encode(word))), lambda c, i: xor(c >> 8,
+           steps[1 + (xor(c, CAST('0x' || substr(hex(encode(word)), 1 + 2 * i, 2) AS BIGINT)) & 255)]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM (SELECT word FROM words UNION SELECT word FROM target), crc_table
+), own AS (SELECT bucket, count(*) AS s FROM words JOIN buckets USING (word) GROUP BY bucket
+), wanted AS (SELECT bucket, count(*) AS t FROM target JOIN buckets USING (word) GROUP BY bucket
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * ((SELECT sum(s) FROM own) + 10000) / (CAST(s + 1 AS DOUBLE) * (coalesce((SELECT sum(t) FROM wanted), 0) + 10000)))) AS BIGINT) AS gain
+  FROM own LEFT JOIN wanted USING (bucket)
+), weighed AS (SELECT row, count(*) AS n, sum(gain) AS weight FROM words JOIN buckets USING (word) JOIN gains USING (bucket) GROUP BY row
+), scored AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, CAST(coalesce(weight, 0) AS BIGINT)
+         + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM numbered LEFT JOIN weighed USING (row)
+), ranked AS (
+  SELECT *, row_number() OVER (ORDER BY CASE WHEN n_features >= 20 THEN 0 ELSE 1 END, score DESC, doc_id) AS place FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 10 * count(*) // 100 FROM scored WHERE n_features >= 20) THEN place END AS rank FROM ranked
+""")
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, min_words=20, seed=2024, longest=1, buckets=10_000)
+
+
+@query()
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), limit=4096)

@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     connection = duckdb.connect()
-    for name in ("documents", "embeddings", "pages"):
+    for name in ("documents", "embeddings", "pages", "benchmark"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return connection
 
@@ -38,7 +38,7 @@ def test_query(spark, con, name):
 def test_registered():
     known = __spark_entry__.queries()
     assert set(queries.QUERIES) | {"pipeline"} <= set(known) and set(queries.SQL) <= set(__spark_entry__.oracle_sql())
-    assert [n for n in queries.QUERIES if "_" in n] == list(queries.QUERIES) and {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert [n for n in queries.QUERIES if "_" in n] == list(queries.QUERIES) and {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
 
 
 def test_native_plan(spark):

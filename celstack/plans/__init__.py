@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
-    "rasters", "projects", "ledger", "experiment", "compose", "fidelity", "layers", "motion", "signals", "documents", "metrics",
+    "rasters", "projects", "ledger", "experiment", "compose", "fidelity", "layers", "motion", "signals", "documents", "metrics", "families",
 )
 
 

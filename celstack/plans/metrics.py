@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import families as N
 from ..operators import metrics as M
 from . import inputs as I
 from .experiment import _ballots
@@ -203,3 +204,38 @@ def _(spark, d):
     groups = docs.selectExpr("doc_id as item_id", "explode(array(struct('text' as kind, md5(text) as value), struct('opening' as kind, md5(concat(split(text, '\\n')[0], '|', lang)) as value))) as g")
     found = M.split_leakage(docs.selectExpr("doc_id as item_id", "if(doc_id % 10 < 8, 'train', 'test') as split"), groups.select("item_id", "g.kind", "g.value"))
     return found.withColumn("splits", F.array_join("splits", ","))
+
+
+I.CTES["doc_words"] = r"""
+SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents"""
+I.CTES["doc_shingles"] = """
+SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM doc_words"""
+I.CTES["doc_spread"] = "SELECT doc_id, len(sh) AS n, unnest(sh) AS s FROM doc_shingles"
+I.CTES["doc_links"] = """
+SELECT a.doc_id AS a, b.doc_id AS b FROM doc_spread a JOIN doc_spread b ON a.s = b.s AND a.doc_id <> b.doc_id AND a.n * 4 <= b.n * 5 AND b.n * 4 <= a.n * 5
+  GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))"""
+FAMILIES_SQL = """
+WITH RECURSIVE {ctes}, reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, doc_links.b FROM reach JOIN doc_links ON reach.b = doc_links.a),
+family AS (SELECT doc_id, len(sh) AS n, family FROM doc_shingles JOIN (SELECT a AS doc_id, min(b) AS family FROM reach GROUP BY a) USING (doc_id))
+""".format(ctes=", ".join(f"{name} AS ({I.CTES[name]})" for name in ("doc_words", "doc_shingles", "doc_spread", "doc_links")))
+
+
+def _families(spark, d) -> DataFrame:
+    return N.near_duplicate_families(I.table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text"))
+
+
+@query("near_duplicate_families", "doc_id:l n_shingles:l family:l members:l", FAMILIES_SQL + """
+SELECT doc_id, n AS n_shingles, family, count(*) OVER (PARTITION BY family) AS members FROM family""")
+def _(spark, d):
+    return _families(spark, d).withColumnRenamed("item_id", "doc_id")
+
+
+@query("near_duplicate_leakage", "family:l items:l splits:s", FAMILIES_SQL + """
+SELECT family, count(*) AS items, string_agg(DISTINCT s, ',' ORDER BY s) AS splits FROM (SELECT family, CASE WHEN doc_id % 10 < 8 THEN 'train' ELSE 'test' END AS s FROM family) GROUP BY 1 HAVING count(DISTINCT s) > 1""")
+def _(spark, d):
+    """Families of near-duplicate documents that lie in more than one split."""
+    found = _families(spark, d)
+    items = found.selectExpr("item_id", "if(item_id % 10 < 8, 'train', 'test') as split")
+    groups = found.where("members > 1").selectExpr("item_id", "'near duplicate' as kind", "cast(family as string) as value")
+    return M.split_leakage(items, groups).withColumn("splits", F.array_join("splits", ","))

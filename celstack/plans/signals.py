@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..operators import signals as S
 from ..session import work_folder
+from ..streaming import guard as G
+from ..streaming import live as L
 from ..streaming import tracks as T
 from . import inputs as I
 from .inputs import sql
@@ -131,10 +133,45 @@ def _(spark, d):
     return _rounded(T.run_available(T.track_sessions(_stream(spark, d).selectExpr(*SHAPE)), _folder(spark)))
 
 
-@query("stream_throttle", "session_id:l ticks:l kept:l", None)
+# Ticks as the live preview sees them: throttled and inspected first, then calibrated, targeted and smoothed by what was looked at.
+_GOAL = ", ".join(f"CASE WHEN elapsed >= 1800 OR held IS NULL THEN {S.NEUTRAL[c]} ELSE held.{c} END AS g_{c}" for c in S.CHANNELS)
+LIVE_SQL = f"""
+WITH RECURSIVE sig AS ({I.CTES["sig"]}), numbered AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY t, seq) AS i, epoch_us(ts) // 400000000 AS source_t FROM (SELECT sig.*, ts FROM sig JOIN events ON event_id = seq)),
+looked AS (
+  SELECT DISTINCT session_id, 0::BIGINT AS i, NULL::BIGINT AS detect, NULL::BIGINT AS source, NULL::BIGINT AS inspect, false AS dark, false AS kept, false AS inspected FROM numbered UNION ALL
+  SELECT session_id, i, CASE WHEN kept THEN t ELSE detect END, CASE WHEN kept THEN source_t ELSE source END, CASE WHEN inspected THEN t ELSE inspect END,
+         CASE WHEN inspected THEN blocked ELSE dark END, kept, inspected FROM (
+    SELECT k.session_id, k.i, k.t, k.source_t, k.blocked, l.detect, l.source, l.inspect, l.dark,
+           l.detect IS NULL OR (k.t - l.detect >= 1000.0::DOUBLE / 30 AND k.source_t <> l.source) AS kept, l.inspect IS NULL OR k.t - l.inspect >= 500 AS inspected
+    FROM looked l JOIN numbered k ON k.session_id = l.session_id AND k.i = l.i + 1)),
+shown AS (
+  SELECT n.* EXCLUDE (blocked, detected), l.kept, l.inspected, l.dark, n.detected AND l.kept AS detected FROM numbered n JOIN looked l USING (session_id, i)),
+calibration AS (SELECT session_id, {", ".join(_rank(c, *S.CALIBRATION[c]) for c in S.CHANNELS)} FROM (
+  SELECT * FROM shown WHERE detected QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY t, seq) <= 18) GROUP BY 1),
+aimed AS MATERIALIZED (
+  SELECT *, elapsed >= 1800 AS relaxing, {_GOAL} FROM (
+    SELECT *, t - coalesce(last_value(CASE WHEN detected THEN t END IGNORE NULLS) OVER w, min(t) OVER (PARTITION BY session_id)) AS elapsed, least(100, t - coalesce(lag(t) OVER w2, t)) AS dt,
+      last_value(CASE WHEN detected AND detections >= 18 THEN {{{", ".join(f"'{c}': {MAPPED[c]}" for c in S.CHANNELS)}}} END IGNORE NULLS) OVER w AS held
+    FROM (SELECT *, count(*) FILTER (WHERE detected) OVER w AS detections FROM shown WINDOW w AS (PARTITION BY session_id ORDER BY t, seq ROWS UNBOUNDED PRECEDING)) LEFT JOIN calibration USING (session_id)
+    WINDOW w AS (PARTITION BY session_id ORDER BY t, seq ROWS UNBOUNDED PRECEDING), w2 AS (PARTITION BY session_id ORDER BY t, seq))),
+s AS (
+  SELECT DISTINCT session_id, 0::BIGINT AS i, {", ".join(f"{S.NEUTRAL[c]}::DOUBLE AS {c}" for c in S.CHANNELS)} FROM aimed UNION ALL
+  SELECT s.session_id, k.i, {STEP} FROM s JOIN aimed k ON k.session_id = s.session_id AND k.i = s.i + 1)
+SELECT k.session_id, k.t, k.seq, kept, inspected, CASE WHEN elapsed > 450 THEN CASE WHEN dark THEN 'blocked' ELSE 'lost' END WHEN detections < 18 THEN 'calibrating' ELSE 'tracking' END AS status,
+  relaxing, {', '.join(f'round(s.{c}, 6) + 0.0 AS {c}' for c in S.CHANNELS)} FROM s JOIN aimed k ON k.session_id = s.session_id AND k.i = s.i"""
+NOBODY = -1
+
+
+@query("stream_throttle", "session_id:l t:l seq:l kept:b inspected:b status:s relaxing:b yaw:d pitch:d eye_l:d eye_r:d mouth:d", LIVE_SQL)
 def _(spark, d):
-    tracks = T.run_available(T.track_sessions(_stream(spark, d).selectExpr(*SHAPE), throttle_ms=500), _folder(spark))
-    return tracks.groupBy("session_id").agg(F.count("*").alias("ticks"), F.count_if("kept").alias("kept"))
+    """The live preview over all events; a row behind the last tick lets the watermark pass them all."""
+    shape = (*SHAPE, "unix_micros(cast(ts as timestamp)) div 400000000 as source_t")
+    folder = _folder(spark)
+    L.closing(I.table(spark, d, "events").selectExpr(*shape), NOBODY, 10_000).write.parquet(f"{folder}/end")
+    ticks = _stream(spark, d).selectExpr(*shape)
+    end = spark.readStream.schema(spark.read.parquet(f"{folder}/end").schema).parquet(f"{folder}/end")
+    return _rounded(T.run_available(L.live_tracks(ticks.unionByName(end), "10 seconds"), folder, rocksdb=True))
 
 
 @query("stream_rate", "session_id:l window_start:l rate:d", sql("SELECT session_id, t // 750 * 750 AS window_start, count(*) * 1000.0 / 750 AS rate FROM sig GROUP BY 1, 2"))
@@ -159,4 +196,6 @@ def _(spark, d):
     log = _stream(spark, d).selectExpr(
         "user_id as run_id", "cast(event_id % 3 as int) as stage", "event_id as seq",
         "if(event_type in ('click', 'view', 'signup'), 'open', 'result') as kind", "cast(floor(value) as bigint) % 2 as attempt")
-    return T.run_available(T.late_result_guard(log), _folder(spark))
+    folder = _folder(spark)
+    T.run_batches(G.late_result_guard(log), f"{folder}/checkpoint", G.committing_sink(folder))
+    return G.committed(spark, folder, G.GUARD_SCHEMA)

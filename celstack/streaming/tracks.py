@@ -7,13 +7,15 @@ The step functions are self-contained, so executors need nothing but pandas.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import signals as S
+from .live import ROCKSDB
 
 TRACK_SCHEMA = ("session_id bigint, t bigint, seq bigint, status string, relaxing boolean, kept boolean, yaw double, pitch double,"
                 " eye_l double, eye_r double, mouth double")
@@ -86,61 +88,40 @@ def rate_stream(stream: DataFrame, delay: str = "10 seconds", window: str = "750
     return counts.select("session_id", F.unix_millis("w.start").alias("window_start"), (F.col("n") / width).alias("rate"))
 
 
-GUARD_SCHEMA = "run_id bigint, stage int, seq bigint, attempt bigint, owner bigint, verdict string"
-GUARD_STATE = "owner bigint, published boolean, results array<bigint>"
-
-
-def late_result_guard(stream: DataFrame) -> DataFrame:
-    """Verdict on every published result of a ledger stream ``(run_id, stage, seq, kind, attempt)``.
-
-    State per (run, stage): the attempt that owns the stage, whether a result was published, and the sequence numbers of the
-    results judged so far (as many as the stage has attempts). A result delivered again gets the verdict ``duplicate``; nothing
-    is dropped, however late it comes.
-    """
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        owner, published, results = state.get if state.exists else (None, False, [])
-        results = list(results)
-        rows = []
-        for row in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-            if row.kind == "open":
-                owner = int(row.attempt)
-                continue
-            if int(row.seq) in results:
-                verdict = "duplicate"
-            elif owner is None or int(row.attempt) != owner:
-                verdict = "lost_ownership"
-            else:
-                verdict, published = ("already_published" if published else "accepted"), True
-            results.append(int(row.seq))
-            rows.append((key[0], key[1], int(row.seq), int(row.attempt), owner, verdict))
-        state.update((owner, published, sorted(set(results))))
-        if rows:
-            out = pd.DataFrame(rows, columns=["run_id", "stage", "seq", "attempt", "owner", "verdict"])
-            yield out.astype({"owner": "Int64"})
-
-    return stream.groupBy("run_id", "stage").applyInPandasWithState(step, GUARD_SCHEMA, GUARD_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
 def deduplicated(stream: DataFrame, keys: list[str], event_time: str, delay: str) -> DataFrame:
     """Drop repeated deliveries of the same keys that arrive within the watermark delay."""
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def split_sink(accepted_path: str, rejected_path: str):
-    """``foreachBatch`` writer sending accepted verdicts to one folder and rejects to another, idempotent per batch id."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.where("verdict = 'accepted'").write.mode("overwrite").parquet(f"{accepted_path}/batch={batch_id}")
-        batch.where("verdict <> 'accepted'").write.mode("overwrite").parquet(f"{rejected_path}/batch={batch_id}")
-
-    return write
-
-
 def progress_stream(stream: DataFrame) -> DataFrame:
     """Latest state per (run, phase) as an updating aggregate; later sequence numbers win."""
     return stream.groupBy("run_id", "phase").agg(F.max_by("state", "seq").alias("state"), F.max("seq").alias("seq"))
 
 
-def run_available(stream: DataFrame, folder: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+@contextmanager
+def options(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session options for the streams started inside; the earlier values come back afterwards."""
+    names = {k: f"spark.sql.streaming.{k.replace('__', '.')}" for k in values}
+    before = {n: spark.conf.get(n, None) for n in names.values()}
+    for k, name in names.items():
+        spark.conf.set(name, values[k])
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def run_batches(stream: DataFrame, checkpoint: str, write) -> None:
+    """Run a stream with state variables over everything available now, each batch through ``write(batch, id)``.
+
+    Batches without data are off: there are no timers to serve, and entries expire with the next batch that has some.
+    """
+    with options(stream.sparkSession, stateStore__providerClass=ROCKSDB, noDataMicroBatches__enabled="false"):
+        stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+
+
+def run_available(stream: DataFrame, folder: str, mode: str = "append", keys: tuple[str, ...] = (), rocksdb: bool = False) -> DataFrame:
     """Run a stream over everything available now into a parquet folder and read the result back.
 
     ``complete`` results replace each other. ``update`` results are kept per batch (a repeated batch replaces itself), and the
@@ -150,7 +131,8 @@ def run_available(stream: DataFrame, folder: str, mode: str = "append", keys: tu
     target, checkpoint = f"{folder}/out", f"{folder}/checkpoint"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
-        query = writer.format("parquet").option("path", target).start()
+        with options(spark, stateStore__providerClass=ROCKSDB) if rocksdb else nullcontext():
+            query = writer.format("parquet").option("path", target).start()
     elif mode == "update":
         query = writer.foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{target}/batch={i}")).start()
         query.awaitTermination()

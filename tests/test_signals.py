@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import random
 import tempfile
+import time
 
 from pyspark.sql import functions as F
 
 from celstack.operators import pixels, signals
-from celstack.streaming import tracks
+from celstack.streaming import guard, live, tracks
 
 SCHEMA = "session_id bigint, t bigint, seq bigint, yaw double, pitch double, eye_l double, eye_r double, mouth double, detected boolean, blocked boolean"
 
@@ -70,18 +71,76 @@ def test_stream_over_several_batches_equals_batch(spark):
             kept[s] = t
 
 
-def test_late_results_and_reject_sink(spark):
+def test_late_results_over_batches(spark):
+    """Pages and batches of any size judge alike; a batch that is repeated after its commit changes nothing."""
     log = [(1, 0, 1, "open", 1), (1, 0, 2, "open", 2), (1, 0, 3, "result", 1), (1, 0, 4, "result", 2), (1, 0, 5, "result", 2), (2, 0, 6, "result", 1), (1, 0, 4, "result", 2)]
     schema = "run_id bigint, stage int, seq bigint, kind string, attempt bigint"
     folder = tempfile.mkdtemp(prefix="spark-test-")
     for row in log:
         spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
-    query = tracks.late_result_guard(stream).writeStream.outputMode("append").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).foreachBatch(
-        tracks.split_sink(f"{folder}/ok", f"{folder}/rejected")).start()
-    query.awaitTermination()
-    assert [r["seq"] for r in spark.read.parquet(f"{folder}/ok").collect()] == [4]
-    assert {(r["seq"], r["verdict"]) for r in spark.read.parquet(f"{folder}/rejected").collect()} == {(3, "lost_ownership"), (5, "already_published"), (6, "lost_ownership"), (4, "duplicate")}
+    want = {(3, "lost_ownership"), (4, "accepted"), (5, "already_published"), (6, "lost_ownership"), (4, "duplicate")}
+    for page in (2, 4096):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).parquet(f"{folder}/in")
+        sink = guard.committing_sink(f"{folder}/out{page}")
+        tracks.run_batches(guard.late_result_guard(stream, page=page), f"{folder}/check{page}", sink)
+        read = lambda: guard.committed(spark, f"{folder}/out{page}", guard.GUARD_SCHEMA)  # noqa: B023, E731
+        assert {(r["seq"], r["verdict"]) for r in read().collect()} == want and read().count() == 5
+        sink(spark.createDataFrame([(9, 9, 9, 9, 9, "accepted")], guard.GUARD_SCHEMA), 0)
+        assert read().count() == 5
+    assert guard.committed(spark, f"{folder}/none", guard.GUARD_SCHEMA).collect() == []
+
+
+def test_guard_forgets_but_never_accepts_twice(spark):
+    schema = "run_id bigint, stage int, seq bigint, kind string, attempt bigint"
+    folder = tempfile.mkdtemp(prefix="spark-test-")
+    for row in [(1, 0, 1, "open", 1), (1, 0, 2, "result", 1), (1, 0, 2, "result", 1)]:
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    tracks.run_batches(guard.late_result_guard(stream, expire_ms=1), f"{folder}/check", guard.committing_sink(f"{folder}/out"))
+    assert [r["verdict"] for r in guard.committed(spark, f"{folder}/out", guard.GUARD_SCHEMA).orderBy("verdict").collect()] == ["accepted", "already_published"]
+
+
+def shown(rows, throttle_ms=live.THROTTLE_MS, inspect_ms=500, idle_ms=None):
+    """{(session, seq): tick} of a plain loop over sorted ticks."""
+    out, state = {}, {}
+    for session, t, *rest in sorted(rows, key=lambda r: r[:3]):
+        if session in state and idle_ms is not None and t > state[session][0]["last"] + idle_ms:
+            del state[session]
+        track, samples = state.setdefault(session, (live.fresh(), []))
+        out[session, rest[0]] = live.advance(track, samples, (t, *rest), throttle_ms, inspect_ms)
+    return out
+
+
+def test_throttle_against_a_greedy_scan():
+    ticks = [(1, t, i, t // 40, 0.0, 0.0, 1.0, 1.0, 0.0, True, i % 2 == 1) for i, t in enumerate((0, 10, 34, 39, 40, 68, 80, 81, 500, 501, 1001))]
+    got = shown(ticks)
+    assert [i for i in range(11) if got[1, i][2]] == [0, 4, 6, 8, 10] and [i for i in range(11) if got[1, i][3]] == [0, 8, 10]
+    assert got[1, 0][4] == "calibrating"
+
+
+def test_live_tracks_from_shuffled_batches(spark):
+    """Ticks shuffled over several batches give what one sorted pass gives; an idle session starts anew."""
+    rng, rows = random.Random(4), []
+    for s, t, i, *values in made(seed=4, sessions=3, ticks=150):
+        t += 400_000 if s == 2 and i >= 100 else 0
+        rows.append((s, t, i, t // 17, *values))
+    schema = SCHEMA.replace("seq bigint,", "seq bigint, source_t bigint,")
+    order = sorted(rows, key=lambda r: r[1] + rng.randint(0, 8_000))  # disorder below the delay
+    folder = tempfile.mkdtemp(prefix="spark-test-")
+    cuts = [order[k * len(order) // 5 : (k + 1) * len(order) // 5] for k in range(5)]
+    end = live.closing(spark.createDataFrame(rows, schema), -1, 10_000).select(*[c.split()[0] for c in schema.split(", ")]).collect()
+    for part in (*cuts, [tuple(end[0])]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        time.sleep(1.1)  # files are taken in the order of their times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    done = tracks.run_available(live.live_tracks(stream, "10 seconds", page_ms=900, idle_ms=120_000), folder, rocksdb=True)
+    got = {(r["session_id"], r["seq"]): tuple(r)[1:] for r in done.collect()}
+    want = shown(rows, idle_ms=120_000)
+    assert set(got) == set(want) and {v[4] for v in want.values()} == {"calibrating", "tracking", "lost", "blocked"}
+    for key, tick in want.items():
+        t, seq, *others = tick
+        assert got[key][:6] == (t, seq, *others[:4]) and all(abs(a - b) < 1e-9 for a, b in zip(got[key][6:], others[4:], strict=True))
+    assert want[2, 100][4] == "calibrating"
 
 
 def test_rate_stream_counts_windows(spark):

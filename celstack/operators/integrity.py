@@ -130,7 +130,7 @@ def geometry_candidates(projects: DataFrame, findings: DataFrame) -> DataFrame:
 
 def provenance_errors(rows: DataFrame) -> DataFrame:
     """Deterministic producers carry no model field; model-backed producers need all five."""
-    fields = ("model_id", "model_version", "weights_sha256", "prompt_sha256", "rights_record_id")
+    fields = ("model_id", "model_weights_sha256", "model_license_record_id", "execution_provider", "precision")
     present = " + ".join(f"cast({f} is not null as int)" for f in fields)
     reason = F.expr(
         f"case when producer_kind = 'deterministic' and {present} > 0 then 'DETERMINISTIC_HAS_MODEL_FIELD'"
@@ -141,21 +141,23 @@ def provenance_errors(rows: DataFrame) -> DataFrame:
 
 
 def structure_mismatches(main: DataFrame, depth: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Positions at which the main and depth panels differ, or whose metadata box, tag or depth median is invalid.
+    """Positions at which the main and depth panels differ or whose metadata is invalid, and metadata that no layer has.
 
-    ``main`` and ``depth``: (doc_id, position, name, left, top, right, bottom); ``metadata``: (doc_id, name, tag, box, depth_median).
+    ``main`` and ``depth``: (doc_id, position, name, left, top, right, bottom); ``metadata``: (doc_id, name, tag, box, depth_median, part_id),
+    ``part_id`` null where there is none. Metadata without a layer has the reason LAYER_MISSING and no position.
     """
     shape = F.struct("name", "left", "top", "right", "bottom")
     l = main.select("doc_id", "position", shape.alias("m"))
     r = depth.select("doc_id", "position", shape.alias("d"))
-    meta = metadata.select("doc_id", "name", "tag", "box", "depth_median")
-    joined = l.join(r, ["doc_id", "position"], "full").withColumn("name", F.col("m.name")).join(meta, ["doc_id", "name"], "left")
+    panels = l.join(r, ["doc_id", "position"], "full").withColumn("name", F.coalesce("m.name", "d.name"))
+    meta = metadata.select("doc_id", "name", "tag", "box", "depth_median", "part_id", F.lit(True).alias("described"))
+    joined = panels.join(meta, ["doc_id", "name"], "full")
     reason = F.expr(
-        "case when not (m <=> d) then 'PANELS_DIFFER' when box is null then 'METADATA_MISSING' when tag <> m.name then 'TAG_MISMATCH'"
-        " when box <> array(m.left, m.top, m.right, m.bottom) then 'BOX_MISMATCH'"
-        " when depth_median is null or isnan(depth_median) or depth_median < 0 or depth_median > 1 then 'DEPTH_MEDIAN_INVALID' end"
+        "case when position is null then 'LAYER_MISSING' when not (m <=> d) then 'PANELS_DIFFER' when described is null then 'METADATA_MISSING' when not (tag <=> m.name) then 'TAG_MISMATCH'"
+        " when not (box <=> array(m.left, m.top, m.right, m.bottom)) then 'BOX_MISMATCH'"
+        " when depth_median is null or isnan(depth_median) or depth_median < 0 or depth_median > 1 then 'DEPTH_MEDIAN_INVALID' when part_id < 0 then 'PART_ID_INVALID' end"
     )
-    return joined.withColumn("reason", reason).where("reason is not null").select("doc_id", "position", "reason")
+    return joined.withColumn("reason", reason).where("reason is not null").select("doc_id", "position", "name", "reason")
 
 
 def stats_errors(stats: DataFrame, parts: list[str], total: str) -> DataFrame:

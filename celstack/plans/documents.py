@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import documents as V
 from ..sources import files as S
 from ..sources import registries as R
 from ..sources import sinks as W
@@ -47,44 +50,182 @@ def _(spark, d):
     return S.raster_facts(I.images(spark, d), pixels, min_side=55, max_side=64, max_pixels=4000)
 
 
-def _documents(spark, d) -> DataFrame:
-    """One project document per order line as JSON text; every 50th is cut short."""
-    body = F.to_json(F.expr("""named_struct('format', 'project', 'format_version', '0.2.0', 'project_id', concat('project.', l_orderkey, '.', l_linenumber, '.', l_partkey), 'revision_id', concat('rev.', l_suppkey),
-      'canvas', named_struct('width', 1024, 'height', 1024),
-      'layers', array(named_struct('id', 'layer.a', 'slot_id', 'face.base', 'draw_order', l_linenumber, 'opacity', l_discount, 'visible', l_tax > 0.02), named_struct('id', 'layer.b', 'slot_id', 'mouth', 'draw_order', l_linenumber + 1, 'opacity', 1.0D, 'visible', true)),
-      'meshes', array(named_struct('id', 'mesh.a', 'layer_id', 'layer.a', 'vertex_count', l_suppkey)),
-      'confidence_facts', array(named_struct('id', 'fact.a', 'target_id', 'layer.a', 'score', if(l_partkey % 3 = 0, 'unavailable', cast(l_discount as string)))))"""))
-    return I.table(spark, d, "lineitem").select(F.expr("l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey").alias("row_id"), body.alias("body")).withColumn(
-        "value", F.expr("if(row_id % 50 = 0, substring(body, 1, 40), body)")).select("row_id", "value")
+# --- versioned documents --------------------------------------------------------------------------------------------
+# One project document for every order. The fields of each part, for its element ``e``, are given once, in words that both
+# dialects know; HASH stands for SHA-256 in hex. Of twenty orders, some have a document with one fault each.
+FORMAT = "project"
+NUMBER, TEXT, FLAG, LIST, BOX = "d", "s", "b", "list", "box"
+PARTS: dict[str, list[tuple[str, str, str]]] = {
+    "ontology_completion": [
+        ("slot_id", TEXT, "'slot.' || (o_custkey % 16)"), ("status", TEXT, "CASE WHEN o_custkey % 3 = 0 THEN 'PRESENT' WHEN o_custkey % 3 = 1 THEN 'NOT_APPLICABLE' ELSE 'LOW_CONFIDENCE' END"),
+        ("instance_ids", LIST, "'layer.' || e"), ("confidence_fact_ids", LIST, "'fact.' || e"), ("reason_codes", LIST, "'REASON_' || e"), ("evidence_artifact_ids", LIST, "'sha256:' || HASH('ev' || o_orderkey)")],
+    "artifacts": [
+        ("id", TEXT, "'sha256:' || HASH(o_orderkey || '.' || e)"), ("uri", TEXT, "'artifacts/' || e || '.bin'"), ("sha256", TEXT, "HASH(o_orderkey || '.' || e)"), ("byte_length", NUMBER, "o_custkey * 10 + e"),
+        ("media_type", TEXT, "'image/png'"), ("role", TEXT, "CASE WHEN e = 0 THEN 'source' ELSE 'layer_texture' END"), ("sensitivity", TEXT, "'derived_user_content'")],
+    "confidence_facts": [
+        ("id", TEXT, "'fact.' || e"), ("target_id", TEXT, "'layer.' || e"), ("score", "score", "o_custkey % 100 / 100"), ("calibration_dataset_id", TEXT, "'data.' || (o_custkey % 7)"),
+        ("calibration_method", TEXT, "'isotonic'"), ("calibration_version", TEXT, "'1.' || e"), ("threshold_band", TEXT, "CASE WHEN o_custkey % 3 = 0 THEN 'unavailable' ELSE 'auto' END"),
+        ("evidence_artifact_ids", LIST, "'sha256:' || HASH('fact' || e)"), ("provenance_id", TEXT, "'prov.' || e")],
+    "layers": [
+        ("id", TEXT, "'layer.' || e"), ("display_name", TEXT, "'Layer ' || e || ' of ' || o_orderkey"), ("slot_id", TEXT, "'slot.' || (o_custkey % 16)"), ("side", TEXT, "CASE WHEN e = 0 THEN 'left' ELSE 'none' END"),
+        ("texture_artifact_id", TEXT, "'sha256:' || HASH('tx' || e)"), ("bounds", BOX, "o_custkey % 50 + e"), ("visible", FLAG, "o_custkey % 2 = 0"), ("opacity", NUMBER, "o_custkey % 101 / 100"),
+        ("blend_mode", TEXT, "'normal'"), ("draw_order", NUMBER, "e + o_custkey % 5")],
+    "generated_regions": [
+        ("id", TEXT, "'region.' || e"), ("owner_layer_id", TEXT, "'layer.' || e"), ("mask_artifact_id", TEXT, "'sha256:' || HASH('mask' || e)"), ("reveal_bounds", BOX, "o_orderkey % 60 + e"),
+        ("feather_width_px", NUMBER, "o_custkey % 9 / 2"), ("confidence_fact_id", TEXT, "'fact.' || e"), ("provenance_id", TEXT, "'prov.' || e")],
+    "meshes": [
+        ("id", TEXT, "'mesh.' || e"), ("layer_id", TEXT, "'layer.' || e"), ("vertex_payload_artifact_id", TEXT, "'sha256:' || HASH('v' || e)"), ("vertex_payload_format", TEXT, "'mesh.xyuv.f32le.v1'"),
+        ("index_payload_artifact_id", TEXT, "'sha256:' || HASH('i' || e)"), ("index_payload_format", TEXT, "CASE WHEN o_custkey % 2 = 0 THEN 'indices.u16le.v1' ELSE 'indices.u32le.v1' END"),
+        ("vertex_count", NUMBER, "o_custkey % 1000 + 3"), ("triangle_count", NUMBER, "o_custkey % 900 + 1"), ("winding", TEXT, "'clockwise'")],
+    "parameters": [
+        ("id", TEXT, "'param.' || e"), ("capability", TEXT, "CASE WHEN e = 0 THEN 'mandatory' ELSE 'optional' END"), ("minimum", NUMBER, "0 - o_custkey % 30"), ("default", NUMBER, "e / 4"), ("maximum", NUMBER, "o_custkey % 30 + 1"),
+        ("safe_minimum", NUMBER, "0 - o_custkey % 20"), ("safe_maximum", NUMBER, "o_custkey % 20 + 1"), ("clamp", FLAG, "true"), ("manual_enabled", FLAG, "true"), ("tracking_enabled", FLAG, "o_custkey % 2 = 1")],
+    "bindings": [
+        ("id", TEXT, "'bind.' || e"), ("parameter_id", TEXT, "'param.' || e"), ("target_mesh_id", TEXT, "'mesh.' || e"), ("samples", "samples", "o_custkey % 7"), ("interpolation", TEXT, "'linear'"), ("extrapolation", TEXT, "'clamp'")],
+    "provenance": [
+        ("id", TEXT, "'prov.' || e"), ("producer_kind", TEXT, "CASE WHEN e = 0 THEN 'deterministic' ELSE 'model_backed' END"), ("stage_id", TEXT, "'stage.' || (o_custkey % 5)"), ("implementation_version", TEXT, "'2.' || e"),
+        ("config_sha256", TEXT, "HASH('c' || o_custkey)"), ("seed_u64", TEXT, "'0000000000000000000' || (o_custkey % 10)"), ("input_sha256", LIST, "HASH('in' || e)"),
+        ("model_id", TEXT, "CASE WHEN e > 0 THEN 'model.' || e END"), ("model_weights_sha256", TEXT, "CASE WHEN e > 0 THEN HASH('w' || e) END"), ("model_license_record_id", TEXT, "CASE WHEN e > 0 THEN 'TP-00' || e END"),
+        ("execution_provider", TEXT, "CASE WHEN e > 0 THEN 'cpu' END"), ("precision", TEXT, "CASE WHEN e > 0 THEN 'fp32' END")],
+    "user_overrides": [
+        ("id", TEXT, "'over.' || e"), ("target_id", TEXT, "'layer.' || e"), ("operation", TEXT, "CASE WHEN e = 0 THEN 'mask_add' WHEN e = 1 THEN 'draw_order_override' ELSE 'range_reduce' END"),
+        ("parent_revision_id", TEXT, "'rev.' || (o_custkey % 9)"), ("created_at", TEXT, "'2026-01-0' || (1 + e) || 'T00:00:00Z'"), ("replay_attempt_id", TEXT, "'replay.' || e"),
+        ("replay_status", TEXT, "CASE WHEN o_custkey % 2 = 0 THEN 'clean' ELSE 'conflict' END"), ("reason_code", TEXT, "CASE WHEN o_custkey % 2 = 1 THEN 'REPLAY_CONFLICT' END"),
+        ("mask_artifact_id", TEXT, "CASE WHEN e = 0 THEN 'sha256:' || HASH('o' || o_custkey) END"), ("mask_format", TEXT, "CASE WHEN e = 0 THEN 'mask.u8.v1' END"), ("new_draw_order", NUMBER, "CASE WHEN e = 1 THEN o_custkey % 12 END"),
+        ("safe_minimum", NUMBER, "CASE WHEN e = 2 THEN 0 - o_custkey % 8 END"), ("safe_maximum", NUMBER, "CASE WHEN e = 2 THEN o_custkey % 8 END"), ("replacement_artifact_id", TEXT, "CASE WHEN e = 9 THEN 'none' END")],
+}
+#: Remainder of the order by 20: the fault of its document, as an expression over the sound text, and the reason it gets.
+FAULTS = {
+    0: ("replace(body, '\"0.2.0\"', '\"0.3.0\"')", "VERSION_UNKNOWN"), 1: ("substring(body, 1, 60)", "DOCUMENT_UNREADABLE"),
+    2: ("replace(body, '\"0.2.0\"', '\"0.1.0\"')", "PART_MALFORMED:occlusion_edges"), 3: (f"replace(body, '\"{FORMAT}\"', '\"other\"')", "FORMAT_UNKNOWN"),
+    5: ("replace(body, '\"draw_order\":', '\"draw_order\":\"high\",\"was\":')", "PART_MALFORMED:layers"), 6: ("replace(body, '\"meshes\":[{\"id\"', '\"meshes\":[{\"nid\"')", "PART_MALFORMED:meshes"),
+    7: ("replace(body, '\"bindings\":', '\"bound\":')", "PART_MALFORMED:bindings"), 9: ("replace(body, '\"project_id\":', '\"pid\":')", "HEAD_MALFORMED"),
+}
+
+
+def _project_documents(spark, d) -> DataFrame:
+    def value(kind: str, expr: str) -> str:
+        expr = re.sub(r"HASH\(([^()]*)\)", r"sha2(\1, 256)", expr)
+        return {
+            LIST: f"array({expr}, concat({expr}, '.b'))", BOX: f"named_struct('x', {expr}, 'y', {expr} + 1.5D, 'width', 20, 'height', 30.25D, 'unit', 'pixel', 'space', 'source')",
+            "score": f"if(o_custkey % 3 = 0, 'unavailable', cast({expr} as string))",
+            "samples": f"transform(array(-1, 0, 1), v -> named_struct('parameter_value', v * ({expr}), 'delta_artifact_id', concat('delta.', v), 'delta_format', 'delta.xy.f32le.v1'))"}.get(kind, expr)
+
+    element = {part: "named_struct(" + ", ".join(f"'{name}', {value(kind, expr)}" for name, kind, expr in fields) + ")" for part, fields in PARTS.items()}
+    arrays = ", ".join(f"'{part}', transform(slice(array(0, 1, 2), 1, cast(o_orderkey % 4 as int)), e -> {text})" for part, text in element.items())
+    registry = lambda n: f"named_struct('id', '{n}', 'version', '1.0.0', 'sha256', sha2('{n}', 256))"
+    body = F.expr(f"""to_json(named_struct('format', '{FORMAT}', 'format_version', '0.2.0', 'project_id', concat('project.', o_orderkey), 'revision_id', concat('rev.', o_custkey % 9), 'created_at', '2026-01-01T00:00:00Z',
+      'canvas', named_struct('width', 1024 + o_custkey % 10, 'height', 1024, 'image_origin', 'top-left', 'color_space', 'srgb', 'alpha_mode', 'straight'), 'ontology_registry_version', '0.1.0',
+      'reason_code_registry', {registry('reasons')}, 'parameter_registry', {registry('parameters')}, {arrays}, 'extensions', map()))""")
+    fault = "case o_orderkey % 20 " + " ".join(f"when {k} then {text}" for k, (text, _) in FAULTS.items()) + " else body end"
+    texts = I.table(spark, d, "orders").withColumn("body", body).select("o_orderkey", F.expr(fault).alias("value"))
+    return V.ingest_projects(texts, "value", FORMAT)
+
+
+SOUND = f"o_orderkey % 20 NOT IN ({', '.join(map(str, FAULTS))})"
+
+
+def _part_query(part: str) -> None:
+    shown, columns = [], ["project_id:s", "revision_id:s", "position:l"]
+    picked = []
+    for name, kind, expr in PARTS[part]:
+        expr = re.sub(r"HASH\(", "sha256(", expr)
+        if kind == LIST:
+            shown.append(f"{expr} || ',' || {expr} || '.b' AS {name}")
+            picked.append(f"array_join({name}, ',') as {name}")
+            columns.append(f"{name}:s")
+        elif kind == BOX:
+            shown += [f"{expr} AS {name}_x", f"{expr} + 1.5 AS {name}_y", f"20 AS {name}_width", f"30.25 AS {name}_height", f"'pixel source' AS {name}_in"]
+            picked += [*[f"{name}.{f} as {name}_{f}" for f in ("x", "y", "width", "height")], f"concat_ws(' ', {name}.unit, {name}.space) as {name}_in"]
+            columns += [*[f"{name}_{f}:d" for f in ("x", "y", "width", "height")], f"{name}_in:s"]
+        elif kind == "score":
+            shown += [f"CASE WHEN o_custkey % 3 <> 0 THEN {expr} END AS score", "o_custkey % 3 <> 0 AS score_available"]
+            picked += ["score", "score_available"]
+            columns += ["score:d", "score_available:b"]
+        elif kind == "samples":
+            shown.append(f"(-1 * ({expr})) || ':delta.-1,0:delta.0,' || ({expr}) || ':delta.1' AS samples")
+            picked.append("array_join(transform(samples, s -> concat(cast(s.parameter_value as bigint), ':', s.delta_artifact_id)), ',') as samples")
+            columns.append("samples:s")
+        else:
+            alias = f"{name}_value" if name == "default" else name
+            shown.append(f"{expr} AS {alias}")
+            picked.append(f"`{name}` as {alias}")
+            columns.append(f"{alias}:{kind}")
+    text = f"SELECT 'project.' || o_orderkey AS project_id, 'rev.' || (o_custkey % 9) AS revision_id, e AS position, {', '.join(shown)} FROM (SELECT *, unnest(range(0, o_orderkey % 4)) AS e FROM orders WHERE {SOUND})"
+
+    @query(f"project_{part}", " ".join(columns), text)
+    def _(spark, d):
+        return V.part(_project_documents(spark, d), part, "0.2.0").selectExpr("project_id", "revision_id", "position", *picked)
+
+
+for _name in PARTS:
+    _part_query(_name)
+
+
+@query("project_heads", "project_id:s revision_id:s created_at:s width:l image_origin:s parameter_registry:s", f"""
+SELECT 'project.' || o_orderkey AS project_id, 'rev.' || (o_custkey % 9) AS revision_id, '2026-01-01T00:00:00Z' AS created_at, 1024 + o_custkey % 10 AS width, 'top-left' AS image_origin,
+  'parameters@1.0.0' AS parameter_registry FROM orders WHERE {SOUND}""")
+def _(spark, d):
+    return V.heads(_project_documents(spark, d), "0.2.0").select(
+        "project_id", "revision_id", "created_at", "canvas.width", "canvas.image_origin", F.concat_ws("@", "parameter_registry.id", "parameter_registry.version").alias("parameter_registry"))
+
+
+@query("rejected_documents", "order_id:l format_version:s reason_code:s", "SELECT o_orderkey AS order_id, CASE o_orderkey % 20 WHEN 0 THEN '0.3.0' WHEN 1 THEN NULL WHEN 2 THEN '0.1.0' ELSE '0.2.0' END AS format_version, CASE o_orderkey % 20 "
+       + " ".join(f"WHEN {k} THEN '{reason}'" for k, (_, reason) in FAULTS.items()) + f" END AS reason_code FROM orders WHERE NOT ({SOUND})")
+def _(spark, d):
+    return V.rejected(_project_documents(spark, d), ["o_orderkey"]).withColumnRenamed("o_orderkey", "order_id")
+
+
+MANIFEST = "run-manifest"
+
+
+def _manifests(spark, d) -> DataFrame:
+    """One manifest for every event, with one to three stage attempts; some of another version, some with a broken stage."""
+    reference = "named_struct('role', 'result', 'media_type', 'image/png', 'uri', concat('out/', e, '.png'), 'sha256', sha2(concat(event_id, '.', e), 256), 'byte_length', event_id + e)"
+    limits = ", ".join(f"'{n}', {v}" for n, v in (("max_wall_time_ms", "60000"), ("max_cpu_time_ms", "50000"), ("max_peak_ram_bytes", "event_id * 1000"), ("max_scratch_bytes", "0"), ("max_output_bytes", "4096"),
+                                                  ("max_output_files", "e"), ("max_peak_vram_bytes", "0"), ("gpu_allowed", "false")))
+    enforced = ", ".join(f"'{n}', '{v}'" for n, v in (("output", "hard"), ("scratch", "post-stage-observed"), ("wall_time", "cooperative-post-stage-observed"), ("cpu_time", "post-stage-observed"), ("ram", "unavailable"),
+                                                      ("vram", "not-applicable"), ("egress", "not-enforced-in-process")))
+    failed = "e = 2 and event_type = 'error'"
+    stage = (f"named_struct('id', concat('stage.', e), 'attempt_id', concat('attempt.', event_id, '.', e), 'contract_id', 'contract.a', 'stage_type', concat('kind.', e), 'adapter_id', 'adapter.a', 'implementation_version', '1.0',"
+             f" 'producer_kind', 'deterministic', 'determinism', 'byte-exact', 'resolved_stage_spec_sha256', sha2('spec', 256), 'config_sha256', sha2(event_type, 256), 'seed_u64', lpad(event_id, 20, '0'),"
+             f" 'input_sha256', array(sha2('a', 256), sha2('b', 256)), 'outputs', if({failed}, array(), array({reference})), 'status', if({failed}, 'failed', 'succeeded'), 'reason_code', if({failed}, 'STAGE_FAILED', null),"
+             f" 'finding_codes', if({failed}, array('FINDING_A', 'FINDING_B'), array()), 'duration_ms', event_id % 5000 + e, 'cpu_time_ms', event_id % 4000 + e, 'limits', named_struct({limits}),"
+             f" 'enforcement', named_struct({enforced}), 'scratch_cleaned', true)")
+    body = (f"to_json(named_struct('format', '{MANIFEST}', 'format_version', if(event_id % 13 = 0, '9.9.9', '0.2.0'), 'scope', 'spike', 'run_id', concat('run.', event_id), 'run_spec_sha256', sha2('s', 256), 'root_seed_u64', lpad(user_id, 20, '0'),"
+            f" 'terminal_status', if(event_type = 'error', 'failed', 'succeeded'), 'terminal_reason_code', if(event_type = 'error', 'RUN_FAILED', null), 'stages', transform(sequence(0, cast(event_id % 3 as int)), e -> {stage})))")
+    text = f"if(event_id % 17 = 0, replace({body}, '\"duration_ms\":', '\"duration_ms\":\"slow\",\"was\":'), {body})"
+    return V.ingest_manifests(I.table(spark, d, "events").select("event_id", F.expr(text).alias("value")), "value", MANIFEST)
+
+
+_FAILED = "e = 2 AND event_type = 'error'"
+_STAGES = "(SELECT *, unnest(range(0, event_id % 3 + 1)) AS e FROM events WHERE event_id % 13 <> 0 AND event_id % 17 <> 0)"
 
 
-@query("project_children", "project_id:s kind:s id:s detail:d flag:b", sql("""
-WITH p AS (SELECT *, 'project.' || l_orderkey || '.' || l_linenumber || '.' || l_partkey AS project_id FROM lineitem WHERE (l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey) % 50 <> 0)
-SELECT project_id, 'layers' AS kind, 'layer.a' AS id, l_discount AS detail, l_tax > 0.02 AS flag FROM p UNION ALL SELECT project_id, 'layers', 'layer.b', 1.0, true FROM p UNION ALL
-SELECT project_id, 'meshes', 'mesh.a', l_suppkey, NULL FROM p UNION ALL SELECT project_id, 'facts', 'fact.a', CASE WHEN l_partkey % 3 <> 0 THEN l_discount END, l_partkey % 3 <> 0 FROM p"""))
+@query("stage_attempts", "run_id:s position:l id:s attempt_id:s contract_id:s stage_type:s adapter_id:s implementation_version:s producer_kind:s determinism:s resolved_stage_spec_sha256:s config_sha256:s seed_u64:s inputs:s"
+       " status:s reason_code:s findings:s duration_ms:l cpu_time_ms:l max_wall_time_ms:l max_peak_ram_bytes:l gpu_allowed:b enforced:s scratch_cleaned:b", f"""
+SELECT 'run.' || event_id AS run_id, e AS position, 'stage.' || e AS id, 'attempt.' || event_id || '.' || e AS attempt_id, 'contract.a' AS contract_id, 'kind.' || e AS stage_type, 'adapter.a' AS adapter_id, '1.0' AS implementation_version,
+  'deterministic' AS producer_kind, 'byte-exact' AS determinism, sha256('spec') AS resolved_stage_spec_sha256, sha256(event_type) AS config_sha256, lpad(CAST(event_id AS VARCHAR), 20, '0') AS seed_u64, sha256('a') || ',' || sha256('b') AS inputs,
+  CASE WHEN {_FAILED} THEN 'failed' ELSE 'succeeded' END AS status, CASE WHEN {_FAILED} THEN 'STAGE_FAILED' END AS reason_code, CASE WHEN {_FAILED} THEN 'FINDING_A,FINDING_B' ELSE '' END AS findings,
+  event_id % 5000 + e AS duration_ms, event_id % 4000 + e AS cpu_time_ms, 60000 AS max_wall_time_ms, event_id * 1000 AS max_peak_ram_bytes, false AS gpu_allowed, 'hard unavailable not-applicable' AS enforced, true AS scratch_cleaned FROM {_STAGES}""")
 def _(spark, d):
-    children = S.project_children(S.parse_documents(_documents(spark, d), "value", S.PROJECT_SCHEMA))
-    layers = children["layers"].selectExpr("project_id", "'layers' as kind", "id", "opacity as detail", "visible as flag")
-    meshes = children["meshes"].selectExpr("project_id", "'meshes' as kind", "id", "cast(vertex_count as double) as detail", "cast(null as boolean) as flag")
-    facts = children["confidence_facts"].selectExpr("project_id", "'facts' as kind", "id", "score as detail", "score_available as flag")
-    return layers.unionByName(meshes).unionByName(facts)
+    stages = V.part(_manifests(spark, d), "stages", "0.2.0")
+    return stages.select("*", F.array_join("input_sha256", ",").alias("inputs"), F.array_join("finding_codes", ",").alias("findings"), "limits.max_wall_time_ms", "limits.max_peak_ram_bytes", "limits.gpu_allowed",
+                         F.concat_ws(" ", "enforcement.output", "enforcement.ram", "enforcement.vram").alias("enforced"))
 
 
-@query("corrupt_documents", "row_id:l", sql("""
-SELECT l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey AS row_id FROM lineitem WHERE (l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey) % 50 = 0"""))
+@query("stage_outputs", "run_id:s position:l id:s role:s media_type:s uri:s sha256:s byte_length:l", f"""
+SELECT 'run.' || event_id AS run_id, e AS position, 'stage.' || e AS id, 'result' AS role, 'image/png' AS media_type, 'out/' || e || '.png' AS uri, sha256(event_id || '.' || e) AS sha256, event_id + e AS byte_length
+FROM {_STAGES} WHERE NOT ({_FAILED})""")
 def _(spark, d):
-    return S.parse_documents(_documents(spark, d), "value", S.PROJECT_SCHEMA).where("_corrupt is not null").select("row_id")
+    return V.stage_outputs(V.part(_manifests(spark, d), "stages", "0.2.0"))
 
 
-@query("stage_attempts", "run_id:s position:l stage_id:s status:s wall_ms:l outputs:l", sql("""
-SELECT 'run.' || event_id AS run_id, position, stage_id, CASE WHEN position = 1 THEN event_type ELSE 'succeeded' END AS status, CAST(trunc(value * 1000) AS BIGINT) AS wall_ms, CASE WHEN position = 1 THEN 2 ELSE 1 END AS outputs
-FROM (SELECT *, unnest([0, 1]) AS position, unnest(['stage.a', 'stage.b']) AS stage_id FROM events WHERE event_id % 13 <> 0)"""))
+@query("rejected_manifests", "event_id:l format_version:s reason_code:s", """
+SELECT event_id, CASE WHEN event_id % 13 = 0 THEN '9.9.9' ELSE '0.2.0' END AS format_version, CASE WHEN event_id % 13 = 0 THEN 'VERSION_UNKNOWN' ELSE 'PART_MALFORMED:stages' END AS reason_code
+FROM events WHERE event_id % 13 = 0 OR event_id % 17 = 0""")
 def _(spark, d):
-    stage = lambda n, status, outs: (f"named_struct('stage_id', '{n}', 'attempt', 1, 'status', {status}, 'wall_ms', cast(value * 1000 as bigint), 'outputs', array("
-                                     + ", ".join(["named_struct('role', 'result', 'sha256', sha2(props, 256), 'byte_length', 1L)"] * outs) + "))")
-    body = (f"to_json(named_struct('format_version', if(event_id % 13 = 0, '9.9.9', '0.2.0'), 'run_id', concat('run.', event_id), 'stages', array({stage('stage.a', chr(39) + 'succeeded' + chr(39), 1)}, {stage('stage.b', 'event_type', 2)})))")
-    attempts = S.stage_attempts(S.parse_documents(I.table(spark, d, "events").selectExpr(f"{body} as value"), "value", S.MANIFEST_SCHEMA))
-    return attempts.withColumn("outputs", F.size("outputs"))
+    return V.rejected(_manifests(spark, d), ["event_id"])
 
 
 @query("admit_artifacts", "attempt_id:l position:l name:s decision:s", sql("""

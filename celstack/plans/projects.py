@@ -468,28 +468,30 @@ def _(spark, d):
     rows = _lines(spark, d).selectExpr(
         "l_orderkey as row_id", "l_linenumber as line",
         "case l_returnflag when 'A' then 'deterministic' when 'R' then 'model_backed' else if(l_partkey % 50 = 0, 'manual', 'deterministic') end as producer_kind",
-        f"{model} as model_id", f"{model} as model_version", f"{model} as weights_sha256", f"{model} as prompt_sha256",
-        "if((l_suppkey % 25 <> 0 and l_returnflag = 'R') or l_partkey % 40 = 0, 'r', null) as rights_record_id")
+        f"{model} as model_id", f"{model} as model_weights_sha256", f"{model} as execution_provider", f"{model} as precision",
+        "if((l_suppkey % 25 <> 0 and l_returnflag = 'R') or l_partkey % 40 = 0, 'TP-001', null) as model_license_record_id")
     return G.provenance_errors(rows)
 
 
-@query("structure_match", "doc_id:l position:l reason:s", sql("""
+@query("structure_match", "doc_id:l position:l name:s reason:s", sql("""
 WITH u AS (SELECT l_orderkey AS doc_id, l_linenumber AS position, min(l_partkey) AS p, min(l_suppkey) AS s, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
-m AS (SELECT doc_id, position, 'n' || position AS name, p % 50 AS l, s % 40 AS t, p % 50 + 10 AS r, s % 40 + 10 AS b FROM u),
+m AS (SELECT doc_id, position, 'n' || position AS name, p % 50 AS l, s % 40 AS t, p % 50 + 10 AS r, s % 40 + 10 AS b FROM u WHERE p % 43 <> 0),
 dep AS (SELECT doc_id, position, 'n' || position AS name, p % 50 AS l, s % 40 AS t, p % 50 + 10 + CASE WHEN p % 23 = 0 THEN 1 ELSE 0 END AS r, s % 40 + 10 AS b FROM u WHERE p % 19 <> 0),
-meta AS (SELECT doc_id, position, CASE WHEN p % 29 = 0 THEN 'other' ELSE 'n' || position END AS tag, [p % 50, s % 40, p % 50 + 10, s % 40 + 10 + CASE WHEN s % 31 = 0 THEN 2 ELSE 0 END] AS box, q / 49 AS median FROM u WHERE s % 37 <> 0)
-SELECT doc_id, position, reason FROM (SELECT m.doc_id, m.position,
-  CASE WHEN dep.doc_id IS NULL OR m.r <> dep.r THEN 'PANELS_DIFFER' WHEN box IS NULL THEN 'METADATA_MISSING' WHEN tag <> m.name THEN 'TAG_MISMATCH'
-       WHEN box <> [m.l, m.t, m.r, m.b] THEN 'BOX_MISMATCH' WHEN median > 1 THEN 'DEPTH_MEDIAN_INVALID' END AS reason
-  FROM m LEFT JOIN dep USING (doc_id, position) LEFT JOIN meta USING (doc_id, position)) WHERE reason IS NOT NULL"""))
+meta AS (SELECT doc_id, CASE WHEN s % 41 = 0 THEN 'x' ELSE 'n' END || position AS name, CASE WHEN p % 29 = 0 THEN 'other' ELSE 'n' || position END AS tag, [p % 50, s % 40, p % 50 + 10, s % 40 + 10 + CASE WHEN s % 31 = 0 THEN 2 ELSE 0 END] AS box,
+  q / 49 AS median, CASE WHEN p % 3 = 0 THEN p % 7 - 1 END AS part_id FROM u WHERE s % 37 <> 0)
+SELECT doc_id, position, name, reason FROM (SELECT doc_id, position, name,
+  CASE WHEN position IS NULL THEN 'LAYER_MISSING' WHEN ml IS NULL OR dl IS NULL OR mr <> dr THEN 'PANELS_DIFFER' WHEN box IS NULL THEN 'METADATA_MISSING' WHEN tag <> name THEN 'TAG_MISMATCH'
+       WHEN box <> [ml, mt, mr, mb] THEN 'BOX_MISMATCH' WHEN median > 1 THEN 'DEPTH_MEDIAN_INVALID' WHEN part_id < 0 THEN 'PART_ID_INVALID' END AS reason
+  FROM (SELECT doc_id, position, coalesce(m.name, dep.name) AS name, m.l AS ml, m.t AS mt, m.r AS mr, m.b AS mb, dep.l AS dl, dep.r AS dr FROM m FULL JOIN dep USING (doc_id, position))
+  FULL JOIN meta USING (doc_id, name)) WHERE reason IS NOT NULL"""))
 def _(spark, d):
     u = _lines(spark, d).groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("position")).agg(
         F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_quantity").alias("q"))
-    main = u.selectExpr("doc_id", "position", "concat('n', position) as name", "p % 50 as left", "s % 40 as top", "p % 50 + 10 as right", "s % 40 + 10 as bottom")
+    main = u.where("p % 43 <> 0").selectExpr("doc_id", "position", "concat('n', position) as name", "p % 50 as left", "s % 40 as top", "p % 50 + 10 as right", "s % 40 + 10 as bottom")
     depth = u.where("p % 19 <> 0").selectExpr("doc_id", "position", "concat('n', position) as name", "p % 50 as left", "s % 40 as top",
                                               "p % 50 + 10 + if(p % 23 = 0, 1, 0) as right", "s % 40 + 10 as bottom")
-    meta = u.where("s % 37 <> 0").selectExpr("doc_id", "concat('n', position) as name", "if(p % 29 = 0, 'other', concat('n', position)) as tag",
-                                             "array(p % 50, s % 40, p % 50 + 10, s % 40 + 10 + if(s % 31 = 0, 2, 0)) as box", "q / 49 as depth_median")
+    meta = u.where("s % 37 <> 0").selectExpr("doc_id", "concat(if(s % 41 = 0, 'x', 'n'), position) as name", "if(p % 29 = 0, 'other', concat('n', position)) as tag",
+                                             "array(p % 50, s % 40, p % 50 + 10, s % 40 + 10 + if(s % 31 = 0, 2, 0)) as box", "q / 49 as depth_median", "if(p % 3 = 0, p % 7 - 1, null) as part_id")
     return G.structure_mismatches(main, depth, meta)
 
 
@@ -546,19 +548,23 @@ def _(spark, d):
 
 
 @query("link_check", "doc_id:l target:s reason:s", sql("""
-WITH host AS (SELECT page_id, split_part(regexp_replace(url, '^https?://', ''), '/', 1) AS site, url, html FROM pages),
-links AS (SELECT page_id, site, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS raw FROM host),
-t AS (SELECT DISTINCT site, split_part(regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '^/', ''), '?', 1) AS path FROM host),
-l AS (SELECT page_id, site, trim(split_part(raw, '#', 1)) AS target FROM links)
-SELECT page_id AS doc_id, target, 'BROKEN' AS reason FROM l
-WHERE target <> '' AND NOT regexp_matches(target, '^(http://|https://|mailto:)')
-  AND NOT EXISTS (SELECT 1 FROM t WHERE t.site = l.site AND t.path = array_to_string(list_filter(string_split(l.target, '/'), lambda s: s NOT IN ('', '.')), '/'))"""))
-def _(spark, d):
+WITH host AS (SELECT page_id, split_part(regexp_replace(url, '^https?://', ''), '/', 1) AS site, split_part(regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '^/', ''), '?', 1) AS path, html FROM pages),
+links AS (SELECT page_id, site, regexp_replace(path, '/?[^/]*$', '') AS base, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS raw FROM host),
+formed AS (SELECT page_id, site, base, unnest([raw, ltrim(raw, '/'), '../' || ltrim(raw, '/'), './../../../' || ltrim(raw, '/')]) AS raw FROM links),
+t AS (SELECT DISTINCT site, path FROM host),
+l AS (SELECT page_id, site, base, trim(split_part(raw, '#', 1)) AS target FROM formed),
+r AS (SELECT page_id, site, target, list_reduce(list_filter(string_split(CASE WHEN starts_with(target, '/') THEN target ELSE base || '/' || target END, '/'), lambda s: s NOT IN ('', '.')),
+  lambda p, s: CASE WHEN p = '!' THEN '!' WHEN s = '..' THEN CASE WHEN p = '' THEN '!' ELSE regexp_replace(p, '/?[^/]*$', '') END WHEN p = '' THEN s ELSE p || '/' || s END, '') AS path
+  FROM l WHERE target <> '' AND NOT regexp_matches(target, '^(http://|https://|mailto:)'))
+SELECT page_id AS doc_id, target, CASE WHEN path = '!' THEN 'ESCAPES_ROOT' ELSE 'BROKEN' END AS reason FROM r WHERE path = '!' OR NOT EXISTS (SELECT 1 FROM t WHERE t.site = r.site AND t.path = r.path)"""))
+def _(spark, d):
+    """Every link as it is, relative to its page, from the folder above it, and from too far above."""
+    path = "split_part(regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '^/', ''), '?', 1)"
     pages = I.table(spark, d, "pages").selectExpr(
-        "page_id as doc_id", "split_part(regexp_replace(url, '^https?://', ''), '/', 1) as site", "'' as base", "html", "url")
-    links = K.extract_links(pages, "html", 'href="([^"]*)"').select("doc_id", "site", "base", "target")
-    targets = pages.selectExpr("site", "split_part(regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '^/', ''), '?', 1) as path")
-    return K.local_link_errors(links, targets)
+        "page_id as doc_id", "split_part(regexp_replace(url, '^https?://', ''), '/', 1) as site", f"regexp_replace({path}, '/?[^/]*$', '') as base", "html", f"{path} as path")
+    links = K.extract_links(pages, "html", 'href="([^"]*)"').selectExpr(
+        "doc_id", "site", "base", "explode(array(target, ltrim('/', target), concat('../', ltrim('/', target)), concat('./../../../', ltrim('/', target)))) as target")
+    return K.local_link_errors(links, pages.select("site", "path"))
 
 
 @query("index_coverage", "site:s target:s", sql("""

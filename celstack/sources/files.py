@@ -1,4 +1,4 @@
-"""Scans of uploads, decoded rasters, project documents, run manifests and run folders, with explicit schemas.
+"""Scans of uploads, decoded rasters and run folders.
 
 Each scan is split into a reader and a DataFrame function, so the rules also apply to tables that already hold the bytes.
 """
@@ -80,65 +80,6 @@ def raster_facts(images: DataFrame, pixels: DataFrame, min_side: int = MIN_SIDE,
         "image_id", "width", "height", F.coalesce(F.col("lowest") < 255, F.lit(False)).alias("had_alpha"), reason.alias("reason_code"))
 
 
-PROJECT_SCHEMA = """
-    format string, format_version string, project_id string, revision_id string,
-    canvas struct<width: int, height: int>,
-    artifacts array<struct<id: string, uri: string, sha256: string, byte_length: bigint, media_type: string, role: string, sensitivity: string>>,
-    layers array<struct<id: string, slot_id: string, side: string, draw_order: int, opacity: double, visible: boolean, texture_artifact_id: string>>,
-    meshes array<struct<id: string, layer_id: string, vertex_payload_artifact_id: string, index_payload_artifact_id: string, vertex_count: int, triangle_count: int>>,
-    parameters array<struct<id: string, capability: string, minimum: double, `default`: double, maximum: double, safe_minimum: double, safe_maximum: double, manual_enabled: boolean>>,
-    bindings array<struct<id: string, parameter_id: string, target_mesh_id: string, samples: array<struct<parameter_value: double, delta_artifact_id: string>>>>,
-    confidence_facts array<struct<id: string, target_id: string, score: string, provenance_id: string>>,
-    generated_regions array<struct<id: string, owner_layer_id: string, mask_artifact_id: string, confidence_fact_id: string, provenance_id: string>>,
-    provenance array<struct<id: string, producer_kind: string, stage_id: string>>,
-    ontology_completion array<struct<slot_id: string, status: string, reason_codes: array<string>>>,
-    overrides array<struct<id: string, operation: string, target_id: string>>,
-    _corrupt string"""
-CHILDREN = ("artifacts", "layers", "meshes", "parameters", "bindings", "confidence_facts", "generated_regions", "provenance", "ontology_completion", "overrides")
-
-
-def parse_documents(texts: DataFrame, column: str, schema: str) -> DataFrame:
-    """Parse JSON text with a fixed schema; unreadable documents keep their text in ``_corrupt``."""
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    return texts.withColumn("doc", F.from_json(F.col(column), schema, options)).select(*[c for c in texts.columns if c != column], "doc.*")
-
-
-def scan_projects(spark: SparkSession, path: str) -> DataFrame:
-    """Project documents, one file each."""
-    return parse_documents(spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path), "value", PROJECT_SCHEMA)
-
-
-def project_children(projects: DataFrame) -> dict[str, DataFrame]:
-    """The ten child tables of readable projects; a confidence of ``unavailable`` becomes a null score and a flag."""
-    good = projects.where("_corrupt is null")
-    out = {name: good.select("project_id", "revision_id", F.inline(name)) for name in CHILDREN}
-    facts = out["confidence_facts"]
-    out["confidence_facts"] = facts.withColumn("score_available", F.col("score") != "unavailable").withColumn(
-        "score", F.expr("if(score = 'unavailable', null, try_cast(score as double))"))
-    return out
-
-
-MANIFEST_SCHEMA = """
-    format_version string, run_id string, terminal_status string,
-    stages array<struct<stage_id: string, attempt: int, status: string, reason_code: string, wall_ms: bigint,
-        outputs: array<struct<role: string, sha256: string, byte_length: bigint>>>>,
-    _corrupt string"""
-
-
-def scan_run_manifests(spark: SparkSession, path: str) -> DataFrame:
-    return parse_documents(spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path), "value", MANIFEST_SCHEMA)
-
-
-def stage_attempts(manifests: DataFrame) -> DataFrame:
-    """Run x stage attempt rows of the supported manifest versions; unknown versions fail closed by producing no row."""
-    known = manifests.where("_corrupt is null and format_version in ('0.1.0', '0.2.0')")
-    return known.select("run_id", F.posexplode("stages").alias("position", "s")).select("run_id", "position", "s.*")
-
-
-def stage_outputs(attempts: DataFrame) -> DataFrame:
-    return attempts.select("run_id", "position", "stage_id", F.inline("outputs"))
-
-
 def discovered_files(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Run folders under ``root`` that contain a file ``name``; file bytes are never read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", name).option("recursiveFileLookup", "true").load(root)

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 REGISTRY = load()
 # Queries with no SQL twin; each is checked against a second implementation in another test module.
-WITHOUT_SQL = {"components4_by_group", "nearest_fill", "layer_textures", "warp_rasters", "pose_coverage", "stream_throttle"}
+WITHOUT_SQL = {"components4_by_group", "nearest_fill", "layer_textures", "warp_rasters", "pose_coverage"}
 
 
 @pytest.fixture(scope="module")

@@ -10,7 +10,7 @@ from pathlib import Path
 
 from celstack.functions import fixed
 from celstack.operators import graph
-from celstack.sources import files, registries, sinks
+from celstack.sources import documents, files, registries, sinks
 
 
 def png(w: int, h: int, at, alpha: bool) -> bytes:
@@ -61,26 +61,47 @@ def test_scan_rasters_and_uploads(spark):
     assert verdict == {"a.png": None, "b.png": "INPUT_UNSUPPORTED", "c.png": "INPUT_UNSUPPORTED", "d.png": "INPUT_UNSUPPORTED", "e.png": None}
 
 
-def test_scan_projects_and_manifests(spark):
+def test_versioned_documents(spark):
+    """Files of two versions, each by its own layout; what does not fit gives a reason and no rows."""
     folder = Path(tempfile.mkdtemp(prefix="spark-test-"))
-    doc = {"format": "project", "format_version": "0.2.0", "project_id": "project.a", "revision_id": "rev.1", "layers": [{"id": "layer.a", "draw_order": 3}, {"id": "layer.b", "draw_order": 4}],
-           "confidence_facts": [{"id": "f1", "target_id": "layer.a", "score": "unavailable"}, {"id": "f2", "target_id": "layer.b", "score": 0.25}]}
-    (folder / "p").mkdir()
-    (folder / "p" / "a.json").write_text(json.dumps(doc))
-    (folder / "p" / "b.json").write_text(json.dumps(doc)[:50])
-    projects = files.scan_projects(spark, str(folder / "p"))
-    children = files.project_children(projects)
-    assert projects.where("_corrupt is not null").count() == 1 and children["layers"].count() == 2
-    scores = {r["id"]: (r["score"], r["score_available"]) for r in children["confidence_facts"].collect()}
-    assert scores == {"f1": (None, False), "f2": (0.25, True)}
-    (folder / "r").mkdir()
-    for name, version in (("x", "0.2.0"), ("y", "7.0.0")):
-        run = {"format_version": version, "run_id": f"run.{name}", "stages": [{"stage_id": "s", "attempt": 1, "status": "succeeded", "outputs": [{"role": "result", "sha256": "0", "byte_length": 1}]}]}
-        (folder / "r" / f"{name}.json").write_text(json.dumps(run))
-    attempts = files.stage_attempts(files.scan_run_manifests(spark, str(folder / "r")))
-    assert [r["run_id"] for r in files.stage_outputs(attempts).collect()] == ["run.x"]
-    found = files.discovered_files(spark, str(folder), "*.json")
-    assert {r["run_id"] for r in found.collect()} == {"p", "r"}
+    empty = {name: [] for name in documents.PROJECT_PARTS["0.2.0"]}
+    new = {"format": "p", "format_version": "0.2.0", "project_id": "project.a", "revision_id": "rev.1"} | empty | {
+        "layers": [{"id": "layer.a", "draw_order": 3, "bounds": {"x": 1.5, "y": 2, "width": 3, "height": 4, "unit": "pixel", "space": "source"}}, {"id": "layer.b", "draw_order": 4}],
+        "confidence_facts": [{"id": "f1", "target_id": "layer.a", "score": "unavailable"}, {"id": "f2", "target_id": "layer.b", "score": 0.25}]}
+    old = {"format": "p", "format_version": "0.1.0", "project_id": "project.old"} | {name: [] for name in documents.PROJECT_PARTS["0.1.0"] if name != "user_overrides"} | {
+        "layers": [{"id": "layer.x", "semantic": "face", "confidence": 0.5}], "occlusion_edges": [{"behind_layer_id": "layer.x", "in_front_layer_id": "layer.y"}]}
+    cases = {"a": json.dumps(new), "b": json.dumps(new)[:50], "c": json.dumps(old), "d": json.dumps(new | {"format_version": "7.0.0"}), "e": json.dumps(new | {"layers": {"id": "layer.a"}}),
+             "f": json.dumps(new | {"meshes": [None]}), "g": json.dumps(new | {"format": "q"}), "h": "[]", "i": json.dumps({k: v for k, v in new.items() if k != "project_id"})}
+    for name, text in cases.items():
+        (folder / f"{name}.json").write_text(text)
+    read = documents.ingest_projects(documents.read_texts(spark, str(folder)), "value", "p")
+    assert {Path(r["path"]).stem: r["reason_code"] for r in documents.rejected(read, ["path"]).collect()} == {
+        "b": "DOCUMENT_UNREADABLE", "d": "VERSION_UNKNOWN", "e": "PART_MALFORMED:layers", "f": "PART_MALFORMED:meshes", "g": "FORMAT_UNKNOWN", "h": "FORMAT_UNKNOWN", "i": "HEAD_MALFORMED"}
+    tables = documents.project_tables(read)
+    layers = {r["id"]: r for r in tables["layers"].collect()}
+    assert {k: (r["draw_order"], r["position"]) for k, r in layers.items()} == {"layer.a": (3, 0), "layer.b": (4, 1)} and layers["layer.a"]["bounds"]["x"] == 1.5
+    assert {r["id"]: (r["score"], r["score_available"]) for r in tables["confidence_facts"].collect()} == {"f1": (None, False), "f2": (0.25, True)}
+    legacy = documents.project_tables(read, "0.1.0")
+    assert [(r["project_id"], r["semantic"]) for r in legacy["layers"].collect()] == [("project.old", "face")] and legacy["occlusion_edges"].count() == 1
+    assert len(tables) == 10 and documents.heads(read, "0.2.0").count() == 1
+
+
+def test_versioned_manifests(spark):
+    stage = {"id": "s", "attempt_id": "t", "status": "succeeded", "limits": {"gpu_allowed": False}, "outputs": [{"role": "result", "sha256": "0", "byte_length": 1}]}
+    runs = [{"format": "m", "format_version": "0.2.0", "run_id": "run.x", "stages": [stage]}, {"format": "m", "format_version": "7.0.0", "run_id": "run.y", "stages": [stage]},
+            {"format": "m", "format_version": "0.1.0", "run_id": "run.z", "stages": [{"id": "s", "peak_ram_bytes": 5}]}]
+    read = documents.ingest_manifests(spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(runs)], "n int, text string"), "text", "m")
+    assert [r["run_id"] for r in documents.stage_outputs(documents.part(read, "stages", "0.2.0")).collect()] == ["run.x"]
+    assert [r["peak_ram_bytes"] for r in documents.part(read, "stages", "0.1.0").collect()] == [5]
+    assert [tuple(r) for r in documents.rejected(read, ["n"]).collect()] == [(1, "7.0.0", "VERSION_UNKNOWN")]
+
+
+def test_discovered_files(spark):
+    folder = Path(tempfile.mkdtemp(prefix="spark-test-"))
+    for name in "pr":
+        (folder / name).mkdir()
+        (folder / name / "x.json").write_text("{}")
+    assert {r["run_id"] for r in files.discovered_files(spark, str(folder), "*.json").collect()} == {"p", "r"}
 
 
 def test_sinks(spark):

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import work_folder
 from ..sources import documents as V
 from ..sources import files as S
 from ..sources import registries as R
@@ -240,6 +242,18 @@ def _(spark, d):
     return W.admit_artifacts(files, stored, 40, 60000)
 
 
+@query("artifact_round_trip", "sha256:s byte_length:l text_sha256:s", sql("""
+SELECT sha256, CAST(octet_length(encode(any_value(text))) AS BIGINT) AS byte_length, sha256 AS text_sha256 FROM (
+  SELECT *, sha256(text) AS sha256, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) GROUP BY sha256 HAVING min(doc_id) % 7 <> 0"""))
+def _(spark, d):
+    """Texts of documents as contents; those whose first document is a multiple of seven are stored already. What was written is read back."""
+    docs = I.table(spark, d, "documents").selectExpr("doc_id as payload_id", "sha2(text, 256) as sha256", "encode(text, 'utf-8') as content")
+    decided = docs.groupBy("sha256").agg(F.min("payload_id").alias("first")).selectExpr("sha256", "if(first % 7 = 0, 'linked', 'write') as decision")
+    folder = f"{work_folder(spark)}/store-{uuid.uuid4().hex}"
+    W.write_artifacts(decided, docs, folder)
+    return W.read_artifacts(spark, folder).select("sha256", F.octet_length("content").alias("byte_length"), F.sha2("content", 256).alias("text_sha256"))
+
+
 @query("report_rows", "line:s", sql("""
 SELECT '{"blocking":' || b || ',"detail":{"a":' || a || ',"z":"' || z || '"},"project_id":' || p || '}' AS line FROM (
   SELECT l_orderkey AS p, count(*) FILTER (WHERE l_returnflag = 'R') AS b, min(l_partkey) AS a, max(l_linestatus) AS z FROM lineitem GROUP BY 1)"""))

@@ -8,6 +8,8 @@ import tempfile
 import zlib
 from pathlib import Path
 
+import pytest
+
 from celstack.functions import fixed
 from celstack.operators import graph
 from celstack.sources import documents, files, registries, sinks
@@ -112,9 +114,19 @@ def test_sinks(spark):
     stored = spark.createDataFrame([("sha-two",)], "sha256 string")
     decided = sinks.admit_artifacts(df, stored, max_files=5, max_bytes=13, block=2)
     assert [r["decision"] for r in decided.orderBy("position").collect()] == ["write", "linked", "NAME_DUPLICATED", "NAME_NOT_PERMITTED", "write", "write", "BYTE_LIMIT"]
-    payloads = spark.createDataFrame([(f"sha-{c.decode()}", bytearray(c)) for _, c in data], "sha256 string, content binary")
+    payloads = spark.createDataFrame([(i, f"sha-{c.decode()}", bytearray(c)) for i, (_, c) in enumerate(data)], "payload_id int, sha256 string, content binary").repartition(3)
     sinks.write_artifacts(decided, payloads, f"{folder}/store")
-    assert sorted(r["sha256"] for r in spark.read.parquet(f"{folder}/store").collect()) == ["sha-four", "sha-one"]
+    read = lambda: sorted((r["sha256"], bytes(r["content"])) for r in sinks.read_artifacts(spark, f"{folder}/store").collect())
+    assert read() == [("sha-four", b"four"), ("sha-one", b"one")]
+    first = {p.name: p.read_bytes() for p in Path(f"{folder}/store/segments").iterdir()}
+    (Path(folder) / "store/segments/stray.parquet").write_bytes(next(v for k, v in first.items() if k.endswith(".parquet")))  # of a task that failed
+    sinks.write_artifacts(spark.createDataFrame([("sha-two", "write")], "sha256 string, decision string"), payloads, f"{folder}/store", most_broadcast=0)
+    assert read() == [("sha-four", b"four"), ("sha-one", b"one"), ("sha-two", b"two")]
+    assert all(Path(f"{folder}/store/segments/{name}").read_bytes() == data for name, data in first.items())
+    with pytest.raises(Exception, match="only appended"):
+        payloads.select("sha256", "content").write.format("artifact_store").mode("overwrite").save(f"{folder}/store")
+    sinks.write_artifacts(decided.where("false"), payloads, f"{folder}/store")
+    assert len(read()) == 3 and len(list(Path(f"{folder}/store/commits").glob("*.json"))) == 3
     report = spark.createDataFrame([(i, i * i) for i in (3, 1, 2)], "z int, b int")
     sinks.write_reports(report, ["z"], f"{folder}/report")
     assert sorted(r["value"] for r in spark.read.text(f"{folder}/report").collect()) == ['{"b":1,"z":1}', '{"b":4,"z":2}', '{"b":9,"z":3}']

@@ -125,7 +125,7 @@ WITH split AS (
   SELECT page_id, url, fetched_at, unnest([{'kind': 'host', 'pattern': host, 'specific': 65536}]
     || list_transform(range(1, len(string_split(host, '.')) + 1), lambda k: {'kind': 'domain', 'pattern': array_to_string(string_split(host, '.')[k:], '.'),
          'specific': CAST(len(string_split(host, '.')) - k AS INT)})
-    || list_transform(range(1, least(len(segs), 4) + 1), lambda k: {'kind': 'prefix', 'pattern': host || '/' || array_to_string(segs[1:k], '/'), 'specific': CAST(131072 + k AS INT)})) AS p
+    || list_transform(range(1, len(segs) + 1), lambda k: {'kind': 'prefix', 'pattern': host || '/' || array_to_string(segs[1:k], '/'), 'specific': CAST(131072 + k AS INT)})) AS p
   FROM split WHERE host <> ''
 ), listed AS (
   SELECT kind, pattern, listed_at, max(action) AS action FROM (

@@ -35,6 +35,7 @@ from .common import hashed_sample, utf8
 SKIPPABLE = 0x184D2A5D
 DATE = "1970-01-01T00:00:00Z"
 RECORD = "<urn:page:{}>"
+TASK_BYTES = 1 << 27
 MANIFEST = "archive string, records long, bytes long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long"
 
@@ -207,6 +208,7 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
                             found, held = [], 0
                 yield rows(found)
 
-    # archives are alike in size, so they are dealt out one by one
-    spread = archives.select("archive").repartition(F.col("archive"))
-    return spread.mapInArrow(run, schema)
+    # archives are bounded in size, so they are dealt out one by one: to as many tasks as run at once, or more if there are more bytes
+    sizes = archives.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    tasks = max(archives.sparkSession.sparkContext.defaultParallelism, -(-(sizes["bytes"] or 0) // TASK_BYTES))
+    return archives.select("archive").repartition(max(1, min(sizes["n"], tasks))).mapInArrow(run, schema)

@@ -62,6 +62,7 @@ def test_archives_round_trip(pages):
             (None, "n", "same"), (9, "u", "ünï"), (12, "u", "tiny")]
     archives = warc.write_archives(pages(rows), archive_bytes=2000)
     assert archives.count() > 1 and archives.agg(F.sum("records")).first()[0] == len(rows)
+    assert archives.count() > 1 < warc.read_archives(archives).rdd.getNumPartitions()
     got = warc.read_archives(archives, payloads=True).collect()
     assert len(got) == len(rows)
     for r in got:

@@ -35,7 +35,8 @@ AGREEING = SIGNATURE // 2
 SPACES = bytes([9, 10, 11, 12, 13, 32])
 LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if b in SPACES else b for b in range(256))
 REMEMBERED = 1 << 18
-AT_ONCE = 4096
+AT_ONCE = 2048
+MOST_BROADCAST = 1 << 20  # ids: 8 MB
 
 
 def words(blob: bytes | None) -> list[bytes]:
@@ -73,12 +74,13 @@ def shingle_hashes(words_of: list[bytes], size: int, known: dict) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Minimum of the upper 32 bits under each linear map of the hashes."""
-    low = np.full(len(factors), 0xFFFFFFFF, np.uint64)
-    for start in range(0, len(hashes), AT_ONCE):
-        part = hashes[start : start + AT_ONCE, None] * factors + offsets
-        low = np.minimum(low, (part >> np.uint64(32)).min(axis=0))
-    return low.astype(np.uint32)
+    """Minimum of the hashes' upper 32 bits under each of the linear maps, which are one-to-one as their factors are odd."""
+    low, upper = np.full(len(factors), 0xFFFFFFFF, np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
+    for start in range(0, len(upper), AT_ONCE):
+        part = factors[:, None] * upper[start : start + AT_ONCE]
+        part += offsets[:, None]
+        np.minimum(low, part.min(axis=1), out=low)
+    return low
 
 
 def signatures(texts: DataFrame, size: int) -> DataFrame:
@@ -87,8 +89,8 @@ def signatures(texts: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(2024)
-        factors = rng.integers(0, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        offsets = rng.integers(0, 1 << 63, SIGNATURE, dtype=np.uint64)
+        factors = rng.integers(0, 1 << 32, SIGNATURE, dtype=np.uint32) | np.uint32(1)
+        offsets = rng.integers(0, 1 << 32, SIGNATURE, dtype=np.uint32)
         known = _Hashes()
         for batch in batches:
             rows = []
@@ -103,24 +105,29 @@ def signatures(texts: DataFrame, size: int) -> DataFrame:
     return known.mapInArrow(run, "item_id long, n long, digest string, sig binary")
 
 
-def buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, band, node, keys) of all buckets with at least two nodes; ``nodes`` is (node, sig)."""
+def band_keys(nodes: DataFrame) -> DataFrame:
+    """(node, keys): the band keys of ``nodes`` (node, sig)."""
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * (4 * ROWS) + 1, F.lit(4 * ROWS))))
-    placed = cut(nodes.select("node", keys.alias("keys"))).select("node", "keys", F.posexplode("keys").alias("band", "bucket"))
+    return nodes.select("node", keys.alias("keys"))
+
+
+def buckets(keyed: DataFrame) -> DataFrame:
+    """(bucket, band, node) of all buckets with at least two nodes."""
+    placed = keyed.select("node", F.posexplode("keys").alias("band", "bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    return cut(placed.join(shared, "bucket").select("bucket", "band", "node", "keys"))
+    return cut(placed.join(shared, "bucket").select("bucket", "band", "node"))
 
 
 def split_by_next_band(placed: DataFrame) -> DataFrame:
     """Buckets divided by every later band of their nodes: two nodes stay together for each further band they share."""
-    further = placed.select("node", "bucket", "band", "keys", F.posexplode("keys").alias("next", "key")).where("next > band")
-    return further.select(F.xxhash64("bucket", "key").alias("bucket"), F.col("next").alias("band"), "node", "keys")
+    further = placed.select("node", "bucket", "band", F.posexplode("keys").alias("next", "key")).where("next > band")
+    return further.select(F.xxhash64("bucket", "key").alias("bucket"), F.col("next").alias("band"), "node")
 
 
-def across_families(met: DataFrame, families: DataFrame, divide: Callable[[DataFrame], DataFrame], splits: int) -> DataFrame:
+def across_families(met: DataFrame, keyed: DataFrame, families: DataFrame, divide: Callable[[DataFrame], DataFrame], splits: int) -> DataFrame:
     """Pairs (a, b) of nodes of different families that share a bucket; nodes of a bucket's largest family do not ask.
 
-    A bucket in which more than ``HOT`` nodes would ask is divided first, up to ``splits`` times.
+    A bucket in which more than ``HOT`` nodes would ask is divided by the ``keyed`` (node, keys) of its nodes first, up to ``splits`` times.
     """
     found, placed = [], met
     for split in range(splits + 1):
@@ -133,7 +140,7 @@ def across_families(met: DataFrame, families: DataFrame, divide: Callable[[DataF
         crossed = ready.join(asking, "bucket").where("fx <> family and (family = top or x < node)")
         found.append(cut(crossed.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()))
         if split < splits:
-            placed = divide(mixed.where(F.col("asking") > HOT).select(*met.columns))
+            placed = divide(mixed.where(F.col("asking") > HOT).select(*met.columns).join(keyed, "node"))
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
@@ -169,18 +176,21 @@ def _linked(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_struct_array(pa.StructArray.from_arrays([batch.column(c) for c in names], names).filter(pa.array(keep, pa.bool_())))
 
+    pairs = cut(pairs)
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("item_id")).distinct())
+    texts = texts.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "item_id", "left_semi")  # before anything is shuffled
     with_a = pairs.join(texts.select(F.col("item_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = with_a.join(texts.select(F.col("item_id").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def grow(nodes: DataFrame, met: DataFrame, verify: Callable[[DataFrame], DataFrame], divide: Callable[[DataFrame], DataFrame], splits: int) -> DataFrame:
+def grow(nodes: DataFrame, met: DataFrame, keyed: DataFrame, verify: Callable[[DataFrame], DataFrame], divide: Callable[[DataFrame], DataFrame], splits: int) -> DataFrame:
     """(node, family) of all ``nodes``: hubs first, then what is left across families. ``met`` is (bucket, node, ...)."""
     hub = F.min_by("node", F.xxhash64("bucket", "node")).alias("hub")
     stars = met.join(met.groupBy("bucket").agg(hub), "bucket").where("hub <> node")
     tried = cut(stars.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
     links = cut(verify(tried))
-    pairs = across_families(met, _families(nodes, links), divide, splits).join(tried, ["a", "b"], "left_anti")
+    pairs = across_families(met, keyed, _families(nodes, links), divide, splits).join(tried, ["a", "b"], "left_anti")
     return _families(nodes, links.unionByName(cut(verify(pairs))))
 
 
@@ -196,12 +206,18 @@ def near_duplicate_families(texts: DataFrame, size: int = 5, num: int = 80, den:
     a family is what links reach, named by its smallest id. A null, empty or blank text has no shingles and is a family of its own.
     Rows with the same id are one item, judged by its smallest text; rows without an id are left out; other columns are not read.
     """
-    texts = texts.where("item_id is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text"))
-    texts = cut(texts)
+    texts = texts.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    repeated = cut(texts.groupBy("item_id").agg(F.count("*").alias("n")).where("n > 1").select("item_id"))
+    if not repeated.isEmpty():  # only then are texts shuffled, those of repeated ids
+        once = repeated.count() <= MOST_BROADCAST
+        side = F.broadcast(repeated) if once else repeated
+        smallest = texts.join(side, "item_id", "left_semi").groupBy("item_id").agg(F.min("text").alias("text"))
+        texts = cut(texts.join(side, "item_id", "left_anti").unionByName(smallest))
     marked = cut(signatures(texts, size))
     classes = marked.groupBy("digest").agg(F.min("item_id").alias("node"))
     nodes = cut(marked.join(classes, F.col("node") == F.col("item_id")).select("node", "sig"))
-    families = grow(nodes, buckets(nodes), lambda pairs: _linked(_agreeing(pairs, nodes), texts, size, num, den), split_by_next_band, SPLITS)
+    keyed = cut(band_keys(nodes))
+    families = grow(nodes, buckets(keyed), keyed, lambda pairs: _linked(_agreeing(pairs, nodes), texts, size, num, den), split_by_next_band, SPLITS)
     member = marked.join(classes, "digest").join(families, "node").select("item_id", F.col("n").alias("n_shingles"), "family")
     placed = texts.select("item_id").join(member, "item_id", "left").select(
         "item_id", F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"), F.coalesce("family", "item_id").alias("family"))
@@ -249,9 +265,9 @@ def _similar_rasters(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFr
 
 def split_by_other_word(placed: DataFrame) -> DataFrame:
     """Buckets divided by every other word and its one-bit neighbours: of three differing bits in three words, some word has at most one."""
-    other = placed.select("node", "bucket", "band", "keys", F.posexplode("keys").alias("other", "word")).where("other <> band")
-    probes = other.select("node", "bucket", "band", "keys", "other", F.explode(F.expr("concat(array(word), transform(sequence(0, 15), i -> word ^ shiftleft(1, i)))")).alias("probe"))
-    return probes.select(F.xxhash64("bucket", "other", "probe").alias("bucket"), "band", "node", "keys")
+    other = placed.select("node", "bucket", "band", F.posexplode("keys").alias("other", "word")).where("other <> band")
+    probes = other.select("node", "bucket", "band", "other", F.explode(F.expr("concat(array(word), transform(sequence(0, 15), i -> word ^ shiftleft(1, i)))")).alias("probe"))
+    return probes.select(F.xxhash64("bucket", "other", "probe").alias("bucket"), "band", "node")
 
 
 def raster_families(rasters: DataFrame, pixels: DataFrame, least: float = 0.95) -> DataFrame:
@@ -266,9 +282,9 @@ def raster_families(rasters: DataFrame, pixels: DataFrame, least: float = 0.95)
     found = cut(raster_nodes(known, pixels.select("raster_id", "x", "y", "r", "g", "b", "a")))
     classes = found.groupBy("digest").agg(F.min("raster_id").alias("node"))
     nodes = cut(found.join(classes, F.col("node") == F.col("raster_id")).select("node", "thumb", "words"))
-    met = nodes.where("words is not null").select("node", F.col("words").alias("keys"), F.posexplode("words").alias("band", "word"))
-    met = cut(met.select(F.xxhash64("band", "word").alias("bucket"), "band", "node", "keys"))
-    families = grow(nodes, met, lambda pairs: _similar_rasters(pairs, nodes, least), split_by_other_word, 1)
+    keyed = nodes.where("words is not null").select("node", F.col("words").alias("keys"))
+    met = cut(keyed.select("node", F.posexplode("keys").alias("band", "word")).select(F.xxhash64("band", "word").alias("bucket"), "band", "node"))
+    families = grow(nodes, met, keyed, lambda pairs: _similar_rasters(pairs, nodes, least), split_by_other_word, 1)
     placed = cut(found.join(classes, "digest").join(families, "node").select("raster_id", "digest", "family"))
     first = placed.groupBy("family").agg(F.min_by("digest", "raster_id").alias("head"), F.count("*").alias("members"))
     kind = F.expr("""case when raster_id = family then 'first' when digest = head then 'copy'

@@ -178,22 +178,52 @@ def nearest_fill(known: DataFrame, target: DataFrame, keys: list[str], max_level
     return out.select(*at, "origin.r", "origin.g", "origin.b", F.col("v").alias("a"), "level")
 
 
-def cyclic_nodes(edges: DataFrame, keys: list[str], max_rounds: int = 10000) -> DataFrame:
-    """Edges left after peeling: every edge whose start has no incoming or whose end has no outgoing edge is removed
-    until nothing changes. What remains lies on a cycle or on a path between cycles."""
-    live = cut(edges.select(*keys, "behind", "front").distinct())
-    size = live.count()
-    for _ in range(max_rounds):
-        if size == 0:
-            return live
-        starts = live.select(*keys, F.col("behind").alias("front")).distinct()
-        ends = live.select(*keys, F.col("front").alias("behind")).distinct()
-        smaller = cut(live.join(starts, [*keys, "front"], "left_semi").join(ends, [*keys, "behind"], "left_semi").select(*keys, "behind", "front"))
-        left = smaller.count()
-        if left == size:
-            return smaller
-        live, size = smaller, left
-    raise RuntimeError("peeling did not finish within the round limit")
+def cyclic_graphs(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys of the graphs of ``edges`` (keys, behind, front) that have a cycle.
+
+    A round drops edges at nodes without incoming or without outgoing edges. A graph that loses none has a cycle, since every one of its
+    nodes leads on. In the others a node with one predecessor is merged into it, along whole chains and trees at once by pointer doubling,
+    and likewise a node with one successor: neither makes nor breaks a cycle, adds no edge, and a cycle shrinks to an edge from a node to
+    itself. Chains and trees of any depth are gone after one round; only graphs that stay wide everywhere take a round for each level.
+    """
+    graph = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    live = cut(edges.select(graph.alias("g"), F.col("behind").alias("a"), F.col("front").alias("b")).distinct())
+    found: list[DataFrame] = []
+
+    def without(rows: DataFrame, graphs: DataFrame) -> DataFrame:
+        found.append(graphs)
+        return rows.join(graphs, "g", "left_anti")
+
+    while not live.isEmpty():
+        live = without(live, cut(live.where("a = b").select("g").distinct()))
+        starts, ends = live.select("g", F.col("a").alias("b")).distinct(), live.select("g", F.col("b").alias("a")).distinct()
+        kept = cut(live.join(starts, ["g", "b"], "left_semi").join(ends, ["g", "a"], "left_semi").select("g", "a", "b"))
+        sizes = live.groupBy("g").agg(F.count("*").alias("before")).join(kept.groupBy("g").agg(F.count("*").alias("after")), "g")
+        live = cut(without(kept, cut(sizes.where("before = after").select("g"))))
+        for end, other in (("b", "a"), ("a", "b")):
+            single = live.groupBy("g", F.col(end).alias("node")).agg(F.min(other).alias("p"), F.count("*").alias("n")).where("n = 1").drop("n")
+            roots, turning = _ends_of_chains(single)
+            live = without(live, turning)
+            merged = live.join(roots.select("g", F.col("node").alias(end)), ["g", end], "left_anti")
+            moved = merged.join(roots.select("g", F.col("node").alias(other), "p"), ["g", other], "left").withColumn(other, F.coalesce("p", other))
+            live = cut(moved.select("g", "a", "b").distinct())
+    names = [F.col(f"g.k{i}").alias(k) for i, k in enumerate(keys)]
+    out = edges.select(*keys).limit(0)
+    for graphs in found:
+        out = out.unionByName(graphs.select(*names))
+    return out.distinct()
+
+
+def _ends_of_chains(pointers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where the pointers (g, node, p) lead in the end, and the graphs in which some pointers turn in a circle."""
+    pointers = cut(pointers.withColumn("open", F.lit(True)))
+    for _ in range(max(1, pointers.count().bit_length()) + 2):
+        if pointers.where("open").isEmpty():
+            break
+        onward = pointers.select("g", F.col("node").alias("p"), F.col("p").alias("further"))
+        jumped = pointers.join(onward, ["g", "p"], "left")
+        pointers = cut(jumped.select("g", "node", F.coalesce("further", "p").alias("p"), F.col("further").isNotNull().alias("open")))
+    return pointers.where("not open").select("g", "node", "p"), cut(pointers.where("open").select("g").distinct())
 
 
 def occlusion_errors(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -203,7 +233,7 @@ def occlusion_errors(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> Dat
     front = known.withColumnRenamed("node", "front").withColumn("has_front", F.lit(True))
     marked = cut(edges.join(behind, [*keys, "behind"], "left").join(front, [*keys, "front"], "left").withColumn(
         "problem", F.expr("case when has_behind is null or has_front is null then 'missing' when behind = front then 'self' end")))
-    cyclic = cyclic_nodes(marked.where("problem is null"), keys).select(*keys).distinct().withColumn("cyclic", F.lit(True))
+    cyclic = cyclic_graphs(marked.where("problem is null"), keys).withColumn("cyclic", F.lit(True))
     counts = marked.groupBy(*keys).agg(F.count_if(F.col("problem") == "missing").alias("missing_node"), F.count_if(F.col("problem") == "self").alias("self_edges"))
     return counts.join(cyclic, keys, "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
 

@@ -109,6 +109,14 @@ def unknown_reason_codes(findings: DataFrame, registry: DataFrame) -> DataFrame:
     return used.join(registry.select(F.col("id").alias("code")).distinct(), "code", "left_anti")
 
 
+def unresolved_codes(used: DataFrame, registry: DataFrame, axis: str) -> DataFrame:
+    """Codes in use (code) that ``registry`` (id, axis) does not have on ``axis``: problem UNKNOWN or WRONG_AXIS, and the number of uses."""
+    counted = used.groupBy("code").agg(F.count("*").alias("uses"))
+    axes = registry.groupBy(F.col("id").alias("code")).agg(F.max(F.col("axis") == axis).alias("there"))
+    problem = F.expr("case when there is null then 'UNKNOWN' when not there then 'WRONG_AXIS' end")
+    return counted.join(axes, "code", "left").withColumn("problem", problem).where("problem is not null").select("code", "problem", "uses")
+
+
 def codes_on_both_axes(registry: DataFrame) -> DataFrame:
     return registry.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
 

@@ -27,31 +27,33 @@ def _fixed_map(values: dict) -> Column:
     return F.create_map(*[F.lit(v) for pair in values.items() for v in pair])
 
 
-def decide_layers(proposals: DataFrame, slots: DataFrame, producer_kind: str = "deterministic") -> DataFrame:
+def decide_layers(proposals: DataFrame, slots: DataFrame, producer_kind: str = "deterministic", namespace: str = "") -> DataFrame:
     """Attach draw order, name and status to non-empty proposals ``(image_id, slot_id, side, coverage, box...)``.
 
-    Slots come from the ontology registry (a fixed number of rows, hence the broadcast).
+    Slots come from the ontology registry (a fixed number of rows, hence the broadcast). Slot ids of proposals and registry carry the
+    ``namespace``; layer ids and fixed orders do not. An id without it is an unknown slot.
     """
     registry = F.broadcast(slots.select("slot_id", F.col("side").alias("expected_side")))
     copies = proposals.groupBy("image_id", "slot_id").agg(F.count("*").alias("copies"))
     joined = proposals.join(registry, "slot_id", "left").join(copies, ["image_id", "slot_id"])
-    order = _fixed_map(fixed.DRAW_ORDER)[F.col("slot_id")]
-    known = F.array_contains(F.array(*[F.lit(s) for s, *_ in fixed.SLOTS]), F.col("slot_id"))
+    bare = F.when(F.startswith("slot_id", F.lit(namespace)), F.substring("slot_id", len(namespace) + 1, 1 << 20)) if namespace else F.col("slot_id")
+    order = _fixed_map(fixed.DRAW_ORDER)[bare]
+    known = F.coalesce(F.array_contains(F.array(*[F.lit(s) for s, *_ in fixed.SLOTS]), bare), F.lit(False))
     problem = F.when(~known, "UNKNOWN_SLOT").when(F.expr("expected_side is not null and side <> expected_side"), "SIDE_CONFLICT").when(
         F.col("copies") > 1, "DUPLICATE_SLOT")
-    layer_id = F.concat(F.lit("layer."), F.regexp_replace("slot_id", r"\.", "-"))
+    layer_id = F.concat(F.lit("layer."), F.regexp_replace(F.coalesce(bare, "slot_id"), r"\.", "-"))
     status = "PRESENT" if producer_kind == "model_backed" else "LOW_CONFIDENCE"
     return joined.where("coverage > 0 or copies > 1").select(
-        "image_id", "slot_id", "side", layer_id.alias("layer_id"), _fixed_map(fixed.DISPLAY_NAMES)[F.col("slot_id")].alias("display_name"),
+        "image_id", "slot_id", "side", layer_id.alias("layer_id"), _fixed_map(fixed.DISPLAY_NAMES)[bare].alias("display_name"),
         order.alias("draw_order"), F.lit(status).alias("status"), problem.alias("problem"))
 
 
-def ontology_completion(images: DataFrame, layers: DataFrame) -> DataFrame:
+def ontology_completion(images: DataFrame, layers: DataFrame, namespace: str = "") -> DataFrame:
     """One row per (image, slot) always: the layer's status, LOW_CONFIDENCE for a missing required slot, else NOT_APPLICABLE.
 
     An image has at most one decided layer per slot, so a minimum stands for the instance.
     """
-    rows = F.array(*[F.struct(F.lit(i).alias("slot_index"), F.lit(s).alias("slot_id"), F.lit(a).alias("applicability"))
+    rows = F.array(*[F.struct(F.lit(i).alias("slot_index"), F.lit(namespace + s).alias("slot_id"), F.lit(a).alias("applicability"))
                      for i, (s, _, _, _, a) in enumerate(fixed.SLOTS)])
     expected = images.select("image_id", F.inline(rows))
     present = layers.groupBy("image_id", "slot_id").agg(F.min("layer_id").alias("instance_id"), F.min("status").alias("layer_status"))

@@ -115,7 +115,7 @@ def descriptor_lookup(reports: DataFrame, lookups: DataFrame, sections: list[str
 
 
 def discover_runs(model_runs: DataFrame, baseline_runs: DataFrame, jobs: DataFrame) -> DataFrame:
-    """One row per run: an unfinished job outranks disk, a model result outranks a baseline report.
+    """One row per run, newest first (ids descend as text): an unfinished job outranks disk, a model result outranks a baseline report.
 
     Precedence is an integer, so the choice is a combinable aggregate instead of a row number per run.
     """
@@ -126,4 +126,4 @@ def discover_runs(model_runs: DataFrame, baseline_runs: DataFrame, jobs: DataFra
     )
     best = ranked.groupBy("run_id").agg(F.min(F.struct("precedence", "state")).alias("b"))
     origin = F.element_at(F.array(F.lit("job"), F.lit("model"), F.lit("baseline")), F.col("b.precedence") + 1)
-    return best.select("run_id", origin.alias("origin"), F.col("b.state").alias("state"))
+    return best.select("run_id", origin.alias("origin"), F.col("b.state").alias("state")).orderBy(F.col("run_id").cast("string").desc())

@@ -107,6 +107,31 @@ def _(spark, d):
     return L.ontology_completion(images, L.decide_layers(_proposals(spark, d), R.slots(spark)).where("problem is null"))
 
 
+def _namespaced(spark, d) -> DataFrame:
+    """Proposals as a registry with a namespace writes them; those of one side in nine lack it."""
+    return _proposals(spark, d).withColumn("slot_id", F.expr("if(image_id % 9 = 0 and side = 'left', slot_id, concat('ns.', slot_id))"))
+
+
+@query("namespaced_layers", "image_id:l slot_id:s side:s layer_id:s display_name:s draw_order:l problem:s", sql(f"""
+SELECT image_id, slot_id, side, 'layer.' || replace(bare, '.', '-') AS layer_id, CASE WHEN named THEN {MAP_NAME}[bare] END AS display_name, CASE WHEN named THEN {MAP_ORDER}[bare] END AS draw_order,
+  CASE WHEN NOT named OR bare = 'tattoo' THEN 'UNKNOWN_SLOT' WHEN (bare LIKE '%.left' AND side <> 'left') OR (bare LIKE '%.right' AND side <> 'right') THEN 'SIDE_CONFLICT' WHEN copies > 1 THEN 'DUPLICATE_SLOT' END AS problem
+FROM (SELECT *, count(*) OVER (PARTITION BY image_id, slot_id) AS copies FROM (
+  SELECT * EXCLUDE (slot_id), slot_id AS bare, NOT (image_id % 9 = 0 AND side = 'left') AS named, CASE WHEN image_id % 9 = 0 AND side = 'left' THEN slot_id ELSE 'ns.' || slot_id END AS slot_id FROM proposed)) WHERE coverage > 0 OR copies > 1"""))
+def _(spark, d):
+    return L.decide_layers(_namespaced(spark, d), R.slots(spark, "ns."), namespace="ns.")
+
+
+@query("namespaced_completion", "image_id:l slot_index:l slot_id:s status:s instance_id:s reason_code:s", sql(f"""
+SELECT image_id, slot_index, 'ns.' || slot_id AS slot_id, status, instance_id, CASE WHEN status = 'LOW_CONFIDENCE' THEN 'ONTOLOGY_SLOT_LOW_CONFIDENCE' END AS reason_code FROM (
+  SELECT e.image_id, e.slot_index, e.slot_id, l.layer_id AS instance_id, CASE WHEN l.layer_id IS NOT NULL THEN l.status WHEN app = 'required' THEN 'LOW_CONFIDENCE' ELSE 'NOT_APPLICABLE' END AS status
+  FROM (SELECT o_orderkey AS image_id, unnest(range(0, 16)) AS slot_index, unnest({[s for s, *_ in fixed.SLOTS]}) AS slot_id, unnest({[a for *_, a in fixed.SLOTS]}) AS app FROM orders) e
+  LEFT JOIN (SELECT DISTINCT image_id, slot_id, layer_id, status FROM decided WHERE problem IS NULL) l USING (image_id, slot_id))"""))
+def _(spark, d):
+    images = I.table(spark, d, "orders").select(F.col("o_orderkey").alias("image_id"))
+    proposals = _proposals(spark, d).withColumn("slot_id", F.concat(F.lit("ns."), "slot_id"))
+    return L.ontology_completion(images, L.decide_layers(proposals, R.slots(spark, "ns."), namespace="ns.").where("problem is null"), "ns.")
+
+
 PATCH_SQL = " UNION ALL ".join(
     f"SELECT image_id, '{p}' AS patch_id, {x0} * width // 100 AS l, {y0} * height // 100 AS t, least(width, ({x1} * width + 99) // 100) AS r, least(height, ({y1} * height + 99) // 100) AS b FROM img"
     for p, _, _, (x0, y0, x1, y1) in fixed.PATCHES)

@@ -147,17 +147,18 @@ def _(spark, d):
     return L.descriptor_lookup(reports, lookups, ["normalization", "layers", "source", "depth"])
 
 
-@query("discover_runs", "run_id:l origin:s state:s", sql("""
-SELECT run_id, ['job', 'model', 'baseline'][p + 1] AS origin, state FROM (
-  SELECT user_id AS run_id, 0 AS p, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'running' END AS state FROM events WHERE event_type IN ('click', 'error') AND event_id % 60 = 0 UNION ALL
-  SELECT o_custkey, 1, o_orderstatus FROM orders WHERE o_orderkey % 5 = 0 UNION ALL
-  SELECT c_custkey, 2, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0)
-QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY p, state) = 1"""))
+@query("discover_runs", "run_id:s origin:s state:s", sql("""
+SELECT 'run.' || run_id AS run_id, ['job', 'model', 'baseline'][p + 1] AS origin, state FROM (
+  SELECT user_id AS run_id, 0 AS p, CASE WHEN event_type = 'error' AND user_id % 4 = 1 THEN 'failed' WHEN event_type = 'click' AND user_id % 5 = 2 THEN 'running' END AS state FROM events UNION ALL
+  SELECT o_custkey, 1, CASE WHEN o_custkey % 3 = 0 THEN 'unreadable' ELSE o_orderstatus END FROM orders UNION ALL
+  SELECT c_custkey, 2, c_mktsegment FROM customer)
+WHERE state IS NOT NULL AND state <> 'unreadable' QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY p, state) = 1"""))
 def _(spark, d):
-    jobs = I.table(spark, d, "events").where("event_id % 60 = 0").selectExpr(
-        "user_id as run_id", "case when event_type = 'error' then 'failed' when event_type = 'click' then 'running' else 'completed' end as state")
-    model = I.table(spark, d, "orders").where("o_orderkey % 5 = 0").selectExpr("o_custkey as run_id", "o_orderstatus as state")
-    baseline = I.table(spark, d, "customer").where("c_custkey % 3 <> 0").selectExpr("c_custkey as run_id", "c_mktsegment as state")
+    """Every event is a job record, most of them completed; a third of the customers have no readable model result."""
+    jobs = I.table(spark, d, "events").selectExpr(
+        "concat('run.', user_id) as run_id", "case when event_type = 'error' and user_id % 4 = 1 then 'failed' when event_type = 'click' and user_id % 5 = 2 then 'running' else 'completed' end as state")
+    model = I.table(spark, d, "orders").selectExpr("concat('run.', o_custkey) as run_id", "if(o_custkey % 3 = 0, 'unreadable', o_orderstatus) as state").where("state <> 'unreadable'")
+    baseline = I.table(spark, d, "customer").selectExpr("concat('run.', c_custkey) as run_id", "c_mktsegment as state")
     return L.discover_runs(model, baseline, jobs)
 
 

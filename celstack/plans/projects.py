@@ -250,6 +250,37 @@ def _(spark, d):
     return unknown.unionByName(twice)
 
 
+# One reason-code registry for every brand of parts, with its parts as entries; one brand has causes only.
+I.CTES["reason_entries"] = """
+SELECT p_brand AS registry, '1.0.0' AS version, CASE WHEN p_partkey % 4 = 0 OR p_brand = 'Brand#11' THEN 'operational_causes' ELSE 'quality_findings' END AS axis, p_partkey AS position,
+  CASE WHEN p_partkey % 61 <> 0 THEN 'CODE_' || (p_partkey % 997) END AS id, CASE WHEN p_partkey % 53 <> 0 THEN ['info', 'review', 'blocking', 'fatal'][CASE WHEN p_partkey % 97 = 0 THEN 4 ELSE p_size % 3 + 1 END] END AS severity FROM part"""
+
+
+def _reason_entries(spark, d) -> DataFrame:
+    return I.table(spark, d, "part").selectExpr(
+        "p_brand as registry", "'1.0.0' as version", "if(p_partkey % 4 = 0 or p_brand = 'Brand#11', 'operational_causes', 'quality_findings') as axis", "cast(p_partkey as int) as position",
+        "if(p_partkey % 61 <> 0, concat('CODE_', p_partkey % 997), null) as id",
+        "if(p_partkey % 53 <> 0, element_at(array('info', 'review', 'blocking', 'fatal'), if(p_partkey % 97 = 0, 4, p_size % 3 + 1)), null) as severity")
+
+
+@query("reason_registry_errors", "registry:s axis:s position:l id:s reason:s", sql("""
+SELECT * FROM (WITH judged AS (SELECT registry, axis, position, id, CASE WHEN id IS NULL THEN 'ENTRY_MALFORMED' WHEN count(*) OVER (PARTITION BY registry, id) > 1 THEN 'ID_DUPLICATED'
+  WHEN axis = 'quality_findings' AND (severity IS NULL OR severity NOT IN ('info', 'review', 'blocking')) THEN 'SEVERITY_UNSUPPORTED' END AS reason FROM reason_entries)
+SELECT * FROM judged WHERE reason IS NOT NULL UNION ALL
+SELECT registry, axis, NULL, NULL, 'AXIS_MISSING' FROM (SELECT DISTINCT registry FROM reason_entries), (SELECT unnest(['operational_causes', 'quality_findings']) AS axis)
+WHERE (registry, axis) NOT IN (SELECT (registry, axis) FROM reason_entries))"""))
+def _(spark, d):
+    return R.reason_code_errors(_reason_entries(spark, d))
+
+
+@query("finding_codes_resolve", "code:s problem:s uses:l", sql("""
+SELECT code, CASE WHEN a IS NULL THEN 'UNKNOWN' ELSE 'WRONG_AXIS' END AS problem, uses FROM (SELECT 'CODE_' || (l_partkey % 1201) AS code, count(*) AS uses FROM lineitem GROUP BY 1)
+LEFT JOIN (SELECT id AS code, list(DISTINCT axis) AS a FROM reason_entries WHERE id IS NOT NULL GROUP BY 1) USING (code) WHERE a IS NULL OR NOT list_contains(a, 'quality_findings')"""))
+def _(spark, d):
+    used = I.table(spark, d, "lineitem").selectExpr("concat('CODE_', l_partkey % 1201) as code")
+    return G.unresolved_codes(used, _reason_entries(spark, d).where("id is not null"), "quality_findings")
+
+
 def _findings(spark, d) -> DataFrame:
     severity = F.expr("case when l_returnflag = 'R' and l_discount > 0.08 then 'blocking' when l_returnflag = 'A' and l_tax > 0.05 then 'review' else 'info' end")
     return _lines(spark, d).where("l_linenumber > 2").select(F.col("l_orderkey").alias("project_id"), severity.alias("severity"))

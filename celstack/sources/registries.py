@@ -71,3 +71,42 @@ def parameter_domain_errors(parameters: DataFrame) -> DataFrame:
         " when not manual then 'NOT_MANUAL' end"
     )
     return parameters.withColumn("reason", reason).where("reason is not null")
+
+
+# The two axes of a reason-code registry and the severities of its findings.
+REASON_AXES = ("operational_causes", "quality_findings")
+SEVERITIES = ("info", "review", "blocking")
+_CAUSE = ("array<struct<id: string, severity: string, message_key: string, owner: string, applies_to: string, outcome_field: string, outcome: string, retryable: boolean, creates_run: boolean,"
+          " http_problem_code: string, telemetry_category: string, user_action: string>>")
+_FINDING = "array<struct<id: string, severity: string, message_key: string, owner: string, category: string, repair: string>>"
+
+
+def read_reason_codes(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each entry of the reason-code registry files: (registry, version, axis, position, id, severity, message_key, owner, ...).
+
+    An axis that is missing gives one row with a null position, so that ``reason_code_errors`` sees it.
+    """
+    schema = f"registry string, version string, operational_causes {_CAUSE}, quality_findings {_FINDING}"
+    raw = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    shared = ("id", "severity", "message_key", "owner")
+    out = []
+    for axis, own in zip(REASON_AXES, (("applies_to", "outcome_field", "outcome", "retryable", "user_action"), ("category", "repair")), strict=True):
+        rows = raw.select("registry", "version", F.lit(axis).alias("axis"), F.posexplode_outer(axis).alias("position", "e"), F.col(axis).isNull().alias("missing"))
+        rows = rows.where("missing or position is not null")
+        out.append(rows.select("registry", "version", "axis", "position", *[F.col(f"e.{f}").alias(f) for f in (*shared, *own)]))
+    return out[0].unionByName(out[1], allowMissingColumns=True)
+
+
+def reason_code_errors(entries: DataFrame) -> DataFrame:
+    """Violations in reason-code registries ``(registry, version, axis, position, id, severity)``: a missing axis, an entry without an id, an
+    id that occurs twice on either axis, a finding of unknown severity; (registry, version, axis, position, id, reason)."""
+    keys = ["registry", "version"]
+    sides = entries.groupBy(*keys).agg(*[F.max((F.col("axis") == axis) & F.col("position").isNotNull()).alias(axis) for axis in REASON_AXES])
+    absent = F.explode(F.filter(F.array(*[F.when(~F.col(axis), F.lit(axis)) for axis in REASON_AXES]), lambda a: a.isNotNull()))
+    missing = sides.select(*keys, absent.alias("axis")).select(*keys, "axis", F.lit(None).cast("int").alias("position"), F.lit(None).cast("string").alias("id"), F.lit("AXIS_MISSING").alias("reason"))
+    listed = entries.where("position is not null")
+    uses = listed.where("id is not null").groupBy(*keys, "id").agg(F.count("*").alias("uses"))
+    reason = F.expr("case when id is null then 'ENTRY_MALFORMED' when uses > 1 then 'ID_DUPLICATED'"
+                    f" when axis = '{REASON_AXES[1]}' and not coalesce(severity in {SEVERITIES}, false) then 'SEVERITY_UNSUPPORTED' end")
+    judged = listed.join(uses, [*keys, "id"], "left").withColumn("reason", reason).where("reason is not null")
+    return judged.select(*keys, "axis", "position", "id", "reason").unionByName(missing)

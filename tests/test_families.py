@@ -107,8 +107,9 @@ def test_words_within_the_radius_meet(spark, monkeypatch):
         rows.append((i, words))
     monkeypatch.setattr(families, "HOT", 2)
     nodes = spark.createDataFrame(rows, "node long, words array<int>")
-    met = nodes.selectExpr("node", "words as keys", "posexplode(words) as (band, word)").selectExpr("xxhash64(band, word) as bucket", "band", "node", "keys")
+    keyed = nodes.withColumnRenamed("words", "keys")
+    met = nodes.selectExpr("node", "posexplode(words) as (band, word)").selectExpr("xxhash64(band, word) as bucket", "band", "node")
     alone = nodes.selectExpr("node", "node as family")
-    pairs = {(r["a"], r["b"]) for r in families.across_families(met, alone, families.split_by_other_word, 1).collect()}
+    pairs = {(r["a"], r["b"]) for r in families.across_families(met, keyed, alone, families.split_by_other_word, 1).collect()}
     near = {(i, j) for i, x in rows for j, y in rows if i < j and sum((a ^ b).bit_count() for a, b in zip(x, y, strict=True)) <= 3}
     assert near <= pairs and len(near) > 100

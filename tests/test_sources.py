@@ -143,3 +143,19 @@ def test_registries(spark):
     folder = Path(tempfile.mkdtemp(prefix="spark-test-"))
     (folder / "o.json").write_text(json.dumps({"registry": "r", "version": "1", "slots": [{"id": "face", "parent": None, "cardinality": "exactly_one", "applicability": "required"}, {"id": "X", "side": "up"}]}, indent=1))
     assert {r["reason"] for r in registries.slot_domain_errors(registries.read_ontology(spark, str(folder / "o.json"))).collect()} == {"BAD_ID"}
+
+
+def test_reason_code_registries(spark):
+    folder = Path(tempfile.mkdtemp(prefix="spark-test-"))
+    cause = {"id": "INPUT_BAD", "severity": "blocking", "outcome": "BLOCK", "retryable": False}
+    good = {"registry": "r", "version": "1.0.0", "operational_causes": [cause], "quality_findings": [{"id": "SOFT", "severity": "info", "category": "INPUT"}]}
+    (folder / "a.json").write_text(json.dumps(good))
+    assert registries.reason_code_errors(registries.read_reason_codes(spark, str(folder))).collect() == []
+    read = registries.read_reason_codes(spark, str(folder)).orderBy("axis").collect()
+    assert [(r["axis"], r["id"], r["retryable"], r["category"]) for r in read] == [("operational_causes", "INPUT_BAD", False, None), ("quality_findings", "SOFT", None, "INPUT")]
+    (folder / "b.json").write_text(json.dumps(good | {"version": "2.0.0", "quality_findings": [{"id": "INPUT_BAD", "severity": "info"}, {"severity": "info"}, {"id": "X", "severity": "fatal"}]}))
+    (folder / "c.json").write_text(json.dumps({"registry": "q", "version": "1.0.0", "operational_causes": [cause]}))
+    found = registries.reason_code_errors(registries.read_reason_codes(spark, str(folder)))
+    assert {(r["registry"], r["version"], r["axis"], r["position"], r["reason"]) for r in found.collect()} == {
+        ("r", "2.0.0", "operational_causes", 0, "ID_DUPLICATED"), ("r", "2.0.0", "quality_findings", 0, "ID_DUPLICATED"), ("r", "2.0.0", "quality_findings", 1, "ENTRY_MALFORMED"),
+        ("r", "2.0.0", "quality_findings", 2, "SEVERITY_UNSUPPORTED"), ("q", "1.0.0", "quality_findings", None, "AXIS_MISSING")}

@@ -61,3 +61,8 @@ def test_filters_reach_the_scan(spark):
 
 def test_first_samples_are_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan_of(REGISTRY["calibrate_sessions"].run(spark, SF))
+
+
+@pytest.mark.parametrize("name", ["colour_error", "preserve_source", "union_histogram", "generated_exposure"])
+def test_exploded_sides_are_not_broadcast_by_estimate(spark, name):
+    assert "BroadcastExchange" not in plan_of(REGISTRY[name].run(spark, SF))

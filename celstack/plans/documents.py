@@ -120,7 +120,7 @@ def _project_documents(spark, d) -> DataFrame:
       'canvas', named_struct('width', 1024 + o_custkey % 10, 'height', 1024, 'image_origin', 'top-left', 'color_space', 'srgb', 'alpha_mode', 'straight'), 'ontology_registry_version', '0.1.0',
       'reason_code_registry', {registry('reasons')}, 'parameter_registry', {registry('parameters')}, {arrays}, 'extensions', map()))""")
     fault = "case o_orderkey % 20 " + " ".join(f"when {k} then {text}" for k, (text, _) in FAULTS.items()) + " else body end"
-    texts = I.table(spark, d, "orders").withColumn("body", body).select("o_orderkey", F.expr(fault).alias("value"))
+    texts = I.spread(I.table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").withColumn("body", body).select("o_orderkey", F.expr(fault).alias("value"))
     return V.ingest_projects(texts, "value", FORMAT)
 
 
@@ -197,7 +197,7 @@ def _manifests(spark, d) -> DataFrame:
     body = (f"to_json(named_struct('format', '{MANIFEST}', 'format_version', if(event_id % 13 = 0, '9.9.9', '0.2.0'), 'scope', 'spike', 'run_id', concat('run.', event_id), 'run_spec_sha256', sha2('s', 256), 'root_seed_u64', lpad(user_id, 20, '0'),"
             f" 'terminal_status', if(event_type = 'error', 'failed', 'succeeded'), 'terminal_reason_code', if(event_type = 'error', 'RUN_FAILED', null), 'stages', transform(sequence(0, cast(event_id % 3 as int)), e -> {stage})))")
     text = f"if(event_id % 17 = 0, replace({body}, '\"duration_ms\":', '\"duration_ms\":\"slow\",\"was\":'), {body})"
-    return V.ingest_manifests(I.table(spark, d, "events").select("event_id", F.expr(text).alias("value")), "value", MANIFEST)
+    return V.ingest_manifests(I.spread(I.table(spark, d, "events"), "event_id").select("event_id", F.expr(text).alias("value")), "value", MANIFEST)
 
 
 _FAILED = "e = 2 AND event_type = 'error'"

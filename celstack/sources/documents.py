@@ -98,13 +98,13 @@ def ingest(texts: DataFrame, column: str, format_name: str, heads: dict[str, str
 
     ``reason_code`` is null where the document is accepted, else DOCUMENT_UNREADABLE, FORMAT_UNKNOWN, VERSION_UNKNOWN, HEAD_MALFORMED, or
     PART_MALFORMED:<name> for the first part, in the order of its projection, that is missing, is no array, holds a value that does not
-    fit its type, or an element without its id. The typed columns are written once as a nested table, of which every child table then
-    reads its own columns only.
+    fit its type, or an element without its id. An array is typed once, and compared with its untyped values only where it holds a null.
+    The typed columns are written once as a nested table, of which every child table then reads its own columns only.
     """
     doc = texts.withColumn("__doc", F.try_parse_json(F.col(column)))
     at = lambda path, kind: f"try_variant_get(__doc, '$.{path}', '{kind}')"
     doc = doc.withColumns({"__format": F.expr(at("format", "string")), "format_version": F.expr(at("format_version", "string"))})
-    columns, reasons = {}, []
+    columns, unfits, reasons = {}, {}, []
     for version, named in parts.items():
         mine, tag = f"format_version = '{version}'", version.replace(".", "_")
         columns[f"head_{tag}"] = F.expr(f"if({mine}, named_struct(" + ", ".join(f"'{n}', {at(n, k)}" for n, k in _fields(heads[version])) + "), null)")
@@ -114,16 +114,17 @@ def ingest(texts: DataFrame, column: str, format_name: str, heads: dict[str, str
             part, key = f"{name}_{tag}", _fields(ddl)[0][0]
             raw = at(name, "array<struct<" + ", ".join(f"`{n}`: variant" for n, _ in _fields(ddl)) + ">>")
             unfit = " or ".join(f"(e.`{n}` is null and r.`{n}` is not null and not is_variant_null(r.`{n}`))" for n, _ in _fields(ddl))
-            columns[f"unfit_{part}"] = F.expr(f"if({mine}, exists(zip_with({at(name, 'array<' + _struct(ddl) + '>')}, {raw}, (e, r) -> e is null or e.{key} is null or {unfit}), x -> x), null)")
+            gap = " or ".join(f"e.`{n}` is null" for n, _ in _fields(ddl))
             columns[part] = F.expr(f"if({mine}, {at(name, 'array<' + _struct(ddl) + '>')}, null)")
+            unfits[f"unfit_{part}"] = F.expr(f"if({mine}, exists({part}, e -> e is null or {gap}) and exists(zip_with({part}, {raw}, (e, r) -> e is null or e.{key} is null or {unfit}), x -> x), null)")
             absent = f"{at(name, 'variant')} is null" if name in OPTIONAL[version] else "false"
             reasons.append(f"when {mine} and not ({absent}) and ({part} is null or unfit_{part}) then 'PART_MALFORMED:{name}'")
     known = ", ".join(f"'{v}'" for v in parts)
     reason = F.expr(
         f"case when __doc is null then 'DOCUMENT_UNREADABLE' when __format is null or __format <> '{format_name}' then 'FORMAT_UNKNOWN'"
         f" when format_version is null or format_version not in ({known}) then 'VERSION_UNKNOWN' {' '.join(reasons)} end")
-    typed = doc.withColumns(columns).withColumn("reason_code", reason)
-    return cut(typed.drop("__doc", "__format", column, *[c for c in columns if c.startswith("unfit_")]))
+    typed = doc.withColumns(columns).withColumns(unfits).withColumn("reason_code", reason)
+    return cut(typed.drop("__doc", "__format", column, *unfits))
 
 
 def ingest_projects(texts: DataFrame, column: str, format_name: str) -> DataFrame:

@@ -197,7 +197,7 @@ DOMAIN = "celstack.waypoint.v1"
 
 
 def _frames(spark, d) -> DataFrame:
-    seeds = I.table(spark, d, "customer").select(F.col("c_custkey").alias("run_id"), D.u64_from_hash(F.sha2(F.col("c_custkey").cast("string"), 256)).alias("seed"))
+    seeds = I.spread(I.table(spark, d, "customer").select("c_custkey"), "c_custkey").select(F.col("c_custkey").alias("run_id"), D.u64_from_hash(F.sha2(F.col("c_custkey").cast("string"), 256)).alias("seed"))
     return M.frame_sequence(seeds, DOMAIN)
 
 

@@ -430,7 +430,7 @@ FROM (SELECT c_custkey, unnest(range(1, 82)) AS k FROM customer)
 WHERE (k > 80 AND c_custkey % 9 = 0) OR (k <= 80 AND (c_custkey * 13 + k) % 307 <> 0) GROUP BY 1"""))
 def _(spark, d):
     names = F.array(*[F.lit(n) for n in [*K.expected_bundle_names(), "stray.bin"]])
-    bundles = I.table(spark, d, "customer").select(F.col("c_custkey").alias("bundle_id"))
+    bundles = I.spread(I.table(spark, d, "customer").select(F.col("c_custkey").alias("bundle_id")), "bundle_id")
     entries = bundles.select("bundle_id", F.posexplode(names).alias("p", "name")).withColumn("k", F.col("p") + 1).where(
         "(k > 80 and bundle_id % 9 = 0) or (k <= 80 and (bundle_id * 13 + k) % 307 <> 0)").selectExpr(
         "bundle_id", "name", "100 + k as actual_length", "100 + k + if((bundle_id * 7 + k) % 401 = 0, 1, 0) as byte_length",

@@ -66,3 +66,8 @@ def test_first_samples_are_limited_before_the_shuffle(spark):
 @pytest.mark.parametrize("name", ["colour_error", "preserve_source", "union_histogram", "generated_exposure"])
 def test_exploded_sides_are_not_broadcast_by_estimate(spark, name):
     assert "BroadcastExchange" not in plan_of(REGISTRY[name].run(spark, SF))
+
+
+@pytest.mark.parametrize("name", ["bundle_verify", "frame_sequence", "frames_vs_report", "neutral_frames_agree"])
+def test_small_key_tables_are_dealt_out_before_they_are_exploded(spark, name):
+    assert "REPARTITION_BY_NUM" in plan_of(REGISTRY[name].run(spark, SF))

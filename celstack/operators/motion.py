@@ -136,24 +136,38 @@ def sample_order_errors(samples: DataFrame, vertex_counts: DataFrame) -> DataFra
     return facts.where("samples < 2 or not_increasing > 0 or wrong_count > 0")
 
 
+def _ends(values: str) -> str:
+    """Neighbouring levels of every wanted value, as SQL text: ``exact`` takes the upper sample, ``lo`` and ``hi`` are positions in ``levels``."""
+    near = (f"transform({values}, w -> named_struct('w', w, 'below', array_max(filter(levels, s -> s < w.value)), 'above', array_min(filter(levels, s -> s >= w.value))))")
+    pair = f"transform({near}, n -> named_struct('w', n.w, 'lo', coalesce(n.below, n.above), 'hi', coalesce(n.above, n.below)))"
+    return (f"transform({pair}, n -> named_struct('w', n.w, 'exact', n.lo = n.hi or (n.hi = n.w.value and array_max(levels) = n.w.value), 't', (n.w.value - n.lo) / nullif(n.hi - n.lo, 0.0D),"
+            " 'lo', cast(array_position(levels, n.lo) - 1 as int), 'hi', cast(array_position(levels, n.hi) - 1 as int)))")
+
+
+def _aligned(levels: str, fields: tuple[str, ...]) -> str:
+    """The sorted samples of a vertex in the order of ``levels``, as SQL text; a level that the vertex lacks is null."""
+    same = " and ".join(f"s.{f} <=> l.{f}" for f in fields)
+    key = ", ".join(f"'{f}', s.{f}" for f in fields)
+    return f"if(transform(ss, s -> named_struct({key})) <=> {levels}, ss, transform({levels}, l -> get(filter(ss, s -> {same}), 0)))"
+
+
 def interpolate(samples: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
     """Piecewise-linear deltas, clamped outside the sampled range: an as-of join in both directions.
 
-    ``samples``: (keys, sample_value, vi, dx, dy); ``values``: (keys, extra columns, value). Neighbouring sample values are
-    found once per binding and value with combinable minima and maxima; only then are the vertices joined, at the two
-    chosen samples. A value at or beyond the first or last sample takes that sample exactly.
+    ``samples``: (keys, sample_value, vi, dx, dy); ``values``: (keys, extra columns, value). A binding's sample values and wanted
+    values are short lists (three samples; poses: two per parameter and fifteen), so neighbours are found once per binding, and a
+    vertex with all its samples is shuffled once, before its values multiply it. A value at or beyond the first or last sample takes
+    that sample exactly.
     """
     extra = [c for c in values.columns if c not in keys and c != "value"]
-    levels = samples.select(*keys, "sample_value").distinct()
-    sv, value = F.col("sample_value"), F.col("value")
-    near = values.join(levels, keys).groupBy(*keys, *extra, "value").agg(
-        F.max(F.when(sv < value, sv)).alias("below"), F.min(F.when(sv >= value, sv)).alias("above"), F.max(sv).alias("top"))
-    ends = near.withColumn("lo", F.coalesce("below", "above")).withColumn("hi", F.coalesce("above", "below"))
-    low = samples.select(*keys, sv.alias("lo"), "vi", F.col("dx").alias("ldx"), F.col("dy").alias("ldy"))
-    high = samples.select(*keys, sv.alias("hi"), "vi", F.col("dx").alias("hdx"), F.col("dy").alias("hdy"))
-    joined = ends.join(low, [*keys, "lo"]).join(high, [*keys, "hi", "vi"])
-    pick = lambda c: F.expr(f"case when lo = hi or (hi = value and top = value) then h{c} else l{c} + (h{c} - l{c}) * ((value - lo) / (hi - lo)) end").alias(c)
-    return joined.select(*keys, *extra, "value", "vi", pick("dx"), pick("dy"))
+    levels = samples.where("sample_value is not null").select(*keys, "sample_value").distinct().groupBy(*keys).agg(F.sort_array(F.collect_list("sample_value")).alias("levels"))
+    wanted = values.groupBy(*keys).agg(F.collect_list(F.struct(*extra, "value")).alias("ws"))
+    ends = wanted.join(levels, keys).select(*keys, F.expr("transform(levels, s -> named_struct('sample_value', s))").alias("ls"), F.expr(_ends("ws")).alias("ends"))
+    vertices = samples.groupBy(*keys, "vi").agg(F.sort_array(F.collect_list(F.struct("sample_value", "dx", "dy"))).alias("ss"))
+    met = vertices.join(ends, keys).select(*keys, "vi", F.expr(_aligned("ls", ("sample_value",))).alias("ss"), "ends")
+    each = met.select(*keys, "vi", "ss", F.explode("ends").alias("e")).where("get(ss, e.lo) is not null and get(ss, e.hi) is not null")
+    pick = lambda c: F.expr(f"if(e.exact, get(ss, e.hi).{c}, get(ss, e.lo).{c} + (get(ss, e.hi).{c} - get(ss, e.lo).{c}) * e.t)").alias(c)
+    return each.select(*keys, *[F.col(f"e.w.{c}").alias(c) for c in [*extra, "value"]], "vi", pick("dx"), pick("dy"))
 
 
 def pose_set(parameters: DataFrame) -> DataFrame:

@@ -195,19 +195,35 @@ def pose_set(parameters: DataFrame) -> DataFrame:
 def pose_vertices(vertices: DataFrame, samples: DataFrame, poses: DataFrame) -> DataFrame:
     """Vertices of every pose: interpolated deltas added per vertex in registry order, then applied.
 
-    A vertex has at most one delta per parameter that may move its slot (nine), which bounds the folded array.
+    A vertex has at most three samples for each of the parameters that may move its slot (nine), and a mesh one list of poses with
+    the sample positions and weights of their moves. Both are shuffled before they meet; what they multiply to is not.
     """
-    keys = ["image_id", "parameter_id"]
-    binding = [*keys, "slot_id"]
-    wanted = samples.select(*binding).distinct().join(poses, keys).select(*binding, "pose", "value")
-    moved = interpolate(samples.select(*binding, "sample_value", "vi", "dx", "dy"), wanted, binding)
+    fields = ("rank", "parameter_id", "sample_value")
     rank = F.array_position(F.array(*[F.lit(p) for p, *_ in fixed.PARAMETERS]), F.col("parameter_id"))
-    stack = moved.groupBy("image_id", "slot_id", "pose", "vi").agg(F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "dx", "dy"))).alias("ds"))
-    fold = lambda c: F.expr(f"aggregate(ds, 0.0D, (s, d) -> s + d.{c})")
-    total = stack.select("image_id", "slot_id", "pose", "vi", fold("dx").alias("dx"), fold("dy").alias("dy"))
-    every = vertices.join(poses.select("image_id", "pose").distinct(), "image_id")
-    return every.join(total, ["image_id", "slot_id", "pose", "vi"], "left").select(
-        "image_id", "slot_id", "pose", "vi", F.expr("x + coalesce(dx, 0.0D)").alias("x"), F.expr("y + coalesce(dy, 0.0D)").alias("y"), "u", "v")
+    ranked = samples.where("sample_value is not null").withColumn("rank", rank)
+    levels = ranked.select(*MESH, *fields).distinct().groupBy(*MESH, "rank", "parameter_id").agg(F.sort_array(F.collect_list("sample_value")).alias("levels"))
+    wanted = poses.groupBy("image_id", "parameter_id").agg(F.collect_list(F.struct("pose", "value")).alias("ws"))
+    bindings = levels.join(wanted, ["image_id", "parameter_id"], "left").select(*MESH, "rank", "parameter_id", "levels", F.expr(_ends("ws")).alias("ends"))
+    # Levels of a mesh follow each other by rank, as the samples of its vertices do: a binding's positions start where the ones before it end.
+    meshes = bindings.groupBy(*MESH).agg(F.sort_array(F.collect_list(F.struct("rank", "parameter_id", "levels"))).alias("bs"), F.collect_list(F.struct("rank", "parameter_id", "ends")).alias("es"))
+    start = "aggregate(filter(bs, b -> b.rank < e.rank or (b.rank = e.rank and b.parameter_id < e.parameter_id)), 0, (n, b) -> n + size(b.levels))"
+    placed = meshes.select(
+        *MESH, F.expr("flatten(transform(bs, b -> transform(b.levels, s -> named_struct('rank', b.rank, 'parameter_id', b.parameter_id, 'sample_value', s))))").alias("ls"),
+        F.expr(f"transform(es, e -> named_struct('rank', e.rank, 'parameter_id', e.parameter_id, 'start', {start}, 'ends', e.ends))").alias("es"))
+    moves = placed.select(*MESH, "ls", F.inline("es")).select(*MESH, "ls", "rank", "parameter_id", "start", F.explode("ends").alias("e")).groupBy(*MESH, "e.w.pose").agg(
+        F.first("ls").alias("ls"), F.sort_array(F.collect_list(F.struct("rank", "parameter_id", "e.exact", "e.t", F.expr("start + e.lo").alias("lo"), F.expr("start + e.hi").alias("hi")))).alias("ms"))
+    # Poses that move nothing of a mesh are poses of it, too.
+    every = vertices.select(*MESH).distinct().join(poses.groupBy("image_id").agg(F.collect_set("pose").alias("ps")), "image_id").select(*MESH, F.explode("ps").alias("pose"))
+    listed = every.join(moves, [*MESH, "pose"], "left").groupBy(*MESH).agg(
+        F.first("ls", ignorenulls=True).alias("ls"), F.collect_list(F.struct("pose", F.transform("ms", lambda m: m.dropFields("rank", "parameter_id")).alias("ms"))).alias("ps"))
+    at = vertices.select(*MESH, "vi", F.struct("x", "y", "u", "v").alias("at"), F.lit(None).alias("s")).unionByName(
+        ranked.select(*MESH, "vi", F.lit(None).alias("at"), F.struct(*fields, "dx", "dy").alias("s")))
+    stack = at.groupBy(*MESH, "vi").agg(F.max("at").alias("at"), F.sort_array(F.collect_list("s")).alias("ss")).where("at is not null")
+    met = stack.join(listed, MESH).select(*MESH, "vi", "at", F.expr(f"if(ls is null, ss, {_aligned('ls', fields)})").alias("ss"), "ps")
+    posed = met.select(*MESH, "vi", "at", "ss", F.inline("ps"))
+    delta = lambda c: f"coalesce(if(m.exact, get(ss, m.hi).{c}, get(ss, m.lo).{c} + (get(ss, m.hi).{c} - get(ss, m.lo).{c}) * m.t), 0.0D)"
+    fold = lambda c: f"coalesce(aggregate(ms, 0.0D, (s, m) -> s + {delta(c)}), 0.0D)"
+    return posed.select(*MESH, "pose", "vi", F.expr(f"at.x + {fold('dx')}").alias("x"), F.expr(f"at.y + {fold('dy')}").alias("y"), "at.u", "at.v")
 
 
 # --- frame sequences ------------------------------------------------------------------------------------------------

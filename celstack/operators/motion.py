@@ -126,11 +126,12 @@ def missing_mandatory(parameters: DataFrame, bindings: DataFrame) -> DataFrame:
 def sample_order_errors(samples: DataFrame, vertex_counts: DataFrame) -> DataFrame:
     """Bindings with fewer than two samples, values that do not strictly increase, or a wrong number of deltas.
 
-    ``samples``: (binding_id, mesh_id, sample_index, sample_value, delta_count).
+    ``samples``: (binding_id, mesh_id, sample_index, sample_value, delta_count). Samples of one index follow each other by value, so the
+    result does not depend on how rows arrive; a sample of a mesh that is counted twice is two samples of that index.
     """
-    previous = hotkeys.lag(samples, ["binding_id"], F.expr("sample_index div 1024"), ["sample_index"], {"before": "sample_value"})
-    joined = previous.join(vertex_counts, "mesh_id", "left")
-    facts = joined.groupBy("binding_id").agg(
+    joined = samples.join(vertex_counts, "mesh_id", "left")
+    previous = hotkeys.lag(joined, ["binding_id"], F.expr("sample_index div 1024"), ["sample_index", "sample_value"], {"before": "sample_value"})
+    facts = previous.groupBy("binding_id").agg(
         F.count("*").alias("samples"), F.count_if(F.expr("sample_value <= before")).alias("not_increasing"),
         F.count_if(F.expr("not (delta_count <=> vertex_count)")).alias("wrong_count"))
     return facts.where("samples < 2 or not_increasing > 0 or wrong_count > 0")

@@ -315,13 +315,11 @@ SELECT package_id, kind, reason FROM (SELECT package_id, kind, CASE WHEN expecte
     WHEN payload <> expected THEN 'PAYLOAD_DIGEST_MISMATCH' WHEN kind = 'run_manifest' AND revision <> rev THEN 'REVISION_MISMATCH' END AS reason
   FROM records LEFT JOIN packages USING (package_id)) WHERE reason IS NOT NULL"""))
 def _(spark, d):
-    packages = I.table(spark, d, "orders").where("o_orderkey % 21 <> 0").selectExpr(
-        "o_orderkey as package_id", "sha2(cast(o_orderkey as string), 256) as payload_sha256", "o_orderkey * 10 as revision_id")
+    packages = I.table(spark, d, "orders").where("o_orderkey % 21 <> 0").selectExpr("o_orderkey as package_id", "o_orderkey as payload", "o_orderkey * 10 as revision_id")
     records = _lines(spark, d).selectExpr(
         "l_orderkey as package_id", "element_at(array('report', 'run_manifest', 'release'), l_linenumber % 3 + 1) as kind",
-        "sha2(cast(l_orderkey + if(l_partkey % 9 = 0, 1, 0) as string), 256) as payload_sha256",
-        "l_orderkey * 10 + if(l_partkey % 8 = 0, 1, 0) as revision_id")
-    return G.digest_bindings(packages, records)
+        "l_orderkey + if(l_partkey % 9 = 0, 1, 0) as payload", "l_orderkey * 10 + if(l_partkey % 8 = 0, 1, 0) as revision_id")
+    return G.digest_bindings(packages, records, lambda c: F.sha2(c.cast("string"), 256))
 
 
 def _paths(spark, d) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from celstack.operators import integrity, package
 
 ENTRY = "bundle_id bigint, name string, byte_length bigint, sha256 string, actual_length bigint, actual_sha256 string"
@@ -31,3 +33,15 @@ def test_index_entries_without_a_digest(spark):
     members = spark.createDataFrame([(1, "a", 3, "d"), (1, "b", 3, "d"), (1, "c", 3, "d"), (1, "e", 1, None)], "package_id bigint, path string, byte_length bigint, sha256 string")
     got = {r["path"]: r["reason"] for r in package.index_differences(index, members, "index.json").collect()}
     assert got == {"a": "DIGEST_MISMATCH", "c": "LENGTH_MISMATCH", "e": "NOT_IN_INDEX"}
+
+
+def test_bound_digests_are_taken_after_they_met(spark):
+    packages = spark.createDataFrame([(1, 1, 10), (2, None, 20)], "package_id bigint, payload bigint, revision_id bigint")
+    records = spark.createDataFrame([(1, "report", 1, 10), (1, "release", 2, 10), (1, "run_manifest", 1, 11), (1, "report", None, 10), (2, "report", 2, 20), (3, "report", 3, 30)],
+                                    "package_id bigint, kind string, payload bigint, revision_id bigint")
+    sha = lambda c: F.sha2(c.cast("string"), 256)
+    digested = lambda df: df.withColumn("payload_sha256", sha(F.col("payload"))).drop("payload")
+    rows = lambda df: sorted(tuple(r[c] for c in ("package_id", "kind", "reason")) for r in df.collect())
+    found = rows(integrity.digest_bindings(packages, records, sha))
+    assert found == rows(integrity.digest_bindings(digested(packages), digested(records)))
+    assert [r[2] for r in found] == ["PAYLOAD_DIGEST_MISMATCH", "PAYLOAD_DIGEST_MISMATCH", "REVISION_MISMATCH", "NO_PACKAGE", "NO_PACKAGE"]

@@ -412,8 +412,9 @@ SELECT l_orderkey AS package_id, CASE WHEN l_linenumber % 2 = 0 THEN 'parameters
 FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem s WHERE s.l_orderkey = l.l_orderkey AND s.l_partkey % 20 = l.l_suppkey % 20)"""))
 def _(spark, d):
     lines = _lines(spark, d)
-    refs = lines.selectExpr("l_orderkey as package_id", "if(l_linenumber % 2 = 0, 'parameters', 'reason-codes') as registry", "sha2(cast(l_suppkey % 20 as string), 256) as sha256")
-    return K.unresolved_registry_refs(refs, lines.selectExpr("l_orderkey as package_id", "sha2(cast(l_partkey % 20 as string), 256) as sha256"))
+    refs = lines.selectExpr("l_orderkey as package_id", "if(l_linenumber % 2 = 0, 'parameters', 'reason-codes') as registry", "l_suppkey % 20 as content")
+    snapshots = lines.selectExpr("l_orderkey as package_id", "l_partkey % 20 as content")
+    return K.unresolved_registry_refs(refs, snapshots, lambda c: F.sha2(c.cast("string"), 256))
 
 
 BUNDLE_SQL = "[" + ", ".join(f"'{n}'" for n in K.expected_bundle_names()) + "]"

@@ -35,6 +35,16 @@ def test_index_entries_without_a_digest(spark):
     assert got == {"a": "DIGEST_MISMATCH", "c": "LENGTH_MISMATCH", "e": "NOT_IN_INDEX"}
 
 
+def test_registry_refs_are_digested_after_they_met(spark):
+    refs = spark.createDataFrame([(1, "parameters", 3), (1, "reason-codes", 4), (2, "parameters", 3)], "package_id bigint, registry string, content bigint")
+    bound = spark.createDataFrame([(1, 3), (1, 3), (2, 4)], "package_id bigint, content bigint")
+    sha = lambda c: F.sha2(c.cast("string"), 256)
+    digested = lambda df: df.withColumn("sha256", sha(F.col("content"))).drop("content")
+    rows = lambda df: sorted(tuple(r[c] for c in ("package_id", "registry", "sha256")) for r in df.collect())
+    found = rows(package.unresolved_registry_refs(refs, bound, sha))
+    assert found == rows(package.unresolved_registry_refs(digested(refs), digested(bound))) and len(found) == 2
+
+
 def test_bound_digests_are_taken_after_they_met(spark):
     packages = spark.createDataFrame([(1, 1, 10), (2, None, 20)], "package_id bigint, payload bigint, revision_id bigint")
     records = spark.createDataFrame([(1, "report", 1, 10), (1, "release", 2, 10), (1, "run_manifest", 1, 11), (1, "report", None, 10), (2, "report", 2, 20), (3, "report", 3, 30)],

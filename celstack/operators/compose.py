@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..session import cut
 from . import hotkeys
 from .pixels import PX
 
@@ -173,7 +174,7 @@ def panel_projection(projects: DataFrame, layers: DataFrame, regions: DataFrame,
         F.concat(F.lit(fill_prefix), "display_name").alias("name"), F.lit(True).alias("visible"), F.lit(False).alias("locked"), F.lit(255).alias("opacity"))
     top = projects.select("project_id", *common(2), F.lit(0).alias("draw_order"), F.lit(0).alias("is_layer"), F.lit("").alias("tie"),
                           F.lit(read_me).alias("name"), F.lit(False).alias("visible"), F.lit(False).alias("locked"), F.lit(255).alias("opacity"))
-    rows = source.unionByName(own).unionByName(fills).unionByName(top)
+    rows = cut(source.unionByName(own).unionByName(fills).unionByName(top))  # read twice below: rows and totals of buckets
     bucket = F.expr("band * 1000000000L + draw_order div 64")
     numbered = hotkeys.row_number(rows, ["project_id"], bucket, ["band", "draw_order", "is_layer", "tie"], "position")
     return numbered.select("project_id", "position", "name", "visible", "locked", "opacity")
@@ -182,21 +183,24 @@ def panel_projection(projects: DataFrame, layers: DataFrame, regions: DataFrame,
 def panel_check(expected: DataFrame, actual: DataFrame, source_name: str, fill_prefix: str, read_me: str) -> DataFrame:
     """Differences between an expected and a read-back panel.
 
-    The neighbour above is found by an equi-join on ``position + 1``; the top row is the maximum position.
+    The neighbour above is found by an equi-join on ``position + 1``. The top row is the maximum position; only rows that are wrong for
+    another reason, or have no neighbour above, are held against it.
     """
     fields = ("name", "visible", "opacity", "locked")
     e = expected.select("project_id", "position", *[F.col(c).alias(f"e_{c}") for c in fields])
     a = actual.select("project_id", "position", *fields, "blend")
-    above = actual.select("project_id", (F.col("position") - 1).alias("position"), F.col("name").alias("above"))
+    above = actual.select("project_id", (F.col("position") - 1).alias("position"), F.col("name").alias("above"), F.lit(True).alias("covered"))
     top = actual.groupBy("project_id").agg(F.max("position").alias("top"))
-    joined = e.join(a, ["project_id", "position"], "full").join(above, ["project_id", "position"], "left").join(top, "project_id", "left")
-    reason = F.expr(f"""
+    early = F.expr(f"""
         case when e_name is null or name is null then 'LAYER_COUNT' when name <> e_name then 'ORDER' when visible <> e_visible then 'VISIBILITY'
              when opacity <> e_opacity then 'OPACITY' when locked <> e_locked then 'LOCK' when blend <> 'norm' then 'BLEND'
-             when position = 1 and (name <> '{source_name}' or visible or not locked) then 'SOURCE_NOT_FIRST'
-             when position = top and name <> '{read_me}' then 'READ_ME_NOT_LAST'
-             when startswith(name, '{fill_prefix}') and not (above <=> substring(name, {len(fill_prefix) + 1})) then 'FILL_NOT_UNDER_OWNER' end""")
-    return joined.withColumn("reason", reason).where("reason is not null").select("project_id", "position", "reason")
+             when position = 1 and (name <> '{source_name}' or visible or not locked) then 'SOURCE_NOT_FIRST' end""")
+    late = F.expr(f"case when startswith(name, '{fill_prefix}') and not (above <=> substring(name, {len(fill_prefix) + 1})) then 'FILL_NOT_UNDER_OWNER' end")
+    joined = e.join(a, ["project_id", "position"], "full").join(above, ["project_id", "position"], "left").select(
+        "project_id", "position", early.alias("early"), late.alias("late"), F.expr(f"covered is null and name <> '{read_me}'").alias("maybe_top"))
+    suspects = joined.where("early is not null or late is not null or maybe_top").join(top, "project_id", "left")
+    reason = F.expr("case when early is not null then early when maybe_top and position = top then 'READ_ME_NOT_LAST' else late end")
+    return suspects.withColumn("reason", reason).where("reason is not null").select("project_id", "position", "reason")
 
 
 def slot_bits(slot: str) -> int:

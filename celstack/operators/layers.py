@@ -143,17 +143,48 @@ def reveal_margin(slot: Column) -> Column:
     return F.coalesce(_fixed_map(fixed.REVEAL_MARGINS)[slot], F.lit(fixed.DEFAULT_REVEAL_MARGIN))
 
 
-def margin_grid(masks: DataFrame, images: DataFrame) -> DataFrame:
-    """Cells within each layer's reveal margin of its visible box, clipped to the canvas, with ``visible`` 0 or 1."""
-    boxes = masks.where("v > 0").groupBy("image_id", "slot_id").agg(*box_aggregates(F.col("v") > 0))
-    sized = boxes.withColumnRenamed("width", "bw").withColumnRenamed("height", "bh").join(images.select("image_id", "width", "height"), "image_id")
-    wide = sized.withColumn("margin", reveal_margin(F.col("slot_id")))
-    rows = wide.select("image_id", "slot_id", "margin", "x", "bw", "width", F.explode(F.expr(
-        "sequence(cast(greatest(0, y - margin) as int), cast(least(height - 1, y + bh - 1 + margin) as int))")).alias("cy"))
-    cells = rows.select("image_id", "slot_id", "margin", F.col("cy").alias("y"), F.explode(F.expr(
-        "sequence(cast(greatest(0, x - margin) as int), cast(least(width - 1, x + bw - 1 + margin) as int))")).alias("x"))
-    seen = masks.where("v > 0").select(*LX, F.lit(1).alias("visible"))
-    return cells.join(seen, LX, "left").na.fill(0, ["visible"])
+def pixel_words(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, y, word, bits): the pixels of a raster line, 64 to a number; bit i of word w is x = 64 * w + i."""
+    return pixels.groupBy(*keys, F.col("y").cast("int").alias("y"), F.expr("cast(x div 64 as int)").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(x % 64 as int))")).alias("bits"))
+
+
+def _smeared(bits: str, shift: str, steps: list[str]) -> str:
+    """``bits`` or-ed with itself moved by up to the sum of ``steps``, none of which leaves a gap behind the steps before it."""
+    for step in steps:
+        bits = f"transform(array({bits}), b -> b | {shift}(b, {step}))[0]"
+    return bits
+
+
+def grown_words(masks: DataFrame, images: DataFrame) -> DataFrame:
+    """(image_id, slot_id, y, word, seen, near, within): visible bits and bits within each layer's reveal margin of them, on the canvas.
+
+    A word grows along its line by shifts, over into the words beside it, and then down and up by its margin. ``within`` are the
+    bits of the canvas.
+    """
+    margins = [*fixed.REVEAL_MARGINS.values(), fixed.DEFAULT_REVEAL_MARGIN]
+    if max(margins) > 63 or min(margins) < 1:
+        raise ValueError("a reveal margin reaches beyond the neighbouring word")
+    seen = masks.where("v > 0 and x >= 0 and y >= 0")
+    sized = pixel_words(seen, ["image_id", "slot_id"]).join(images.select("image_id", "width", "height"), "image_id")
+    within = "if((word + 1) * 64 <= width, -1L, shiftleft(1L, greatest(0, cast(width - word * 64 as int))) - 1L)"
+    clipped = sized.where("y < height and word * 64 < width").withColumn("bits", F.expr(f"bits & {within}")).where("bits <> 0")
+    wide = clipped.withColumn("margin", reveal_margin(F.col("slot_id")))
+    steps = [f"least(greatest(margin - {2 ** i - 1}, 0), {2 ** i})" for i in range(6)]
+    whole = [str(2 ** i) for i in range(6)]
+    reach = [
+        (0, f"{_smeared('bits', 'shiftleft', steps)} | {_smeared('bits', 'shiftrightunsigned', steps)}"),
+        (1, _smeared("shiftrightunsigned(bits, 64 - margin)", "shiftrightunsigned", whole)),
+        (-1, _smeared("shiftleft(bits, 64 - margin)", "shiftleft", whole)),
+    ]
+    beside = F.expr("inline(array(" + ", ".join(f"named_struct('side', {side}, 'near', {bits})" for side, bits in reach) + "))")
+    lines = wide.select("image_id", "slot_id", "y", "word", "bits", "margin", "width", "height", beside).where(
+        "near <> 0 and word + side >= 0 and (word + side) * 64 < width")
+    rows = lines.select("image_id", "slot_id", "y", (F.col("word") + F.col("side")).alias("word"), "width", "near", F.expr("if(side = 0, bits, 0L)").alias("bits"), F.explode(F.expr(
+        "sequence(cast(greatest(0, y - margin) as int), cast(least(height - 1, y + margin) as int))")).alias("cy"))
+    placed = rows.select("image_id", "slot_id", F.col("cy").alias("y"), "word", "width", "near", F.expr("if(cy = y, bits, 0L)").alias("seen"))
+    grown = placed.groupBy("image_id", "slot_id", "y", "word", "width").agg(F.bit_or("seen").alias("seen"), F.bit_or("near").alias("near"))
+    return grown.select("image_id", "slot_id", "y", "word", "seen", F.expr(f"near & {within}").alias("near"))
 
 
 def dilate_binary(grid: DataFrame, keys: list[str], hit: str, radius: Column, out: str) -> DataFrame:
@@ -179,14 +210,21 @@ def reveal_target(masks: DataFrame, subject: DataFrame, images: DataFrame) -> Da
     Target = within the margin of the visible mask, inside the subject, not visible, and covered by some layer in front
     (the front-most draw order at the pixel is above the layer's own). ``masks``: (image_id, slot_id, draw_order, x, y, v).
     """
-    grown = dilate_binary(margin_grid(masks, images), ["image_id", "slot_id"], "visible", F.col("margin"), "near")
-    front = masks.where("v > 0").groupBy(*PX).agg(F.max("draw_order").alias("front_order"))
-    inside = subject.where("v > 0").select(*PX, F.col("v").alias("subject_v"))
+    line = ["image_id", "y", "word"]
+    masks = masks.where("v > 0 and x >= 0 and y >= 0")
+    # at most one entry for every draw order, and for every value of the subject in 64 pixels
+    stacks = pixel_words(masks, ["image_id", "draw_order"]).groupBy(*line).agg(F.collect_list(F.struct("draw_order", "bits")).alias("stack"))
+    inside = subject.where("v > 0 and x >= 0 and y >= 0").select(*PX, F.least(F.lit(255), "v").alias("v"))
+    values = pixel_words(inside, ["image_id", "v"]).groupBy(*line).agg(F.collect_list(F.struct("v", "bits")).alias("values"))
+    joined = grown_words(masks, images).join(values, line, "left").join(stacks, line, "left")
     own = _fixed_map(fixed.DRAW_ORDER)[F.col("slot_id")]
-    joined = grown.where("near").join(inside, PX, "left").join(front, PX, "left")
-    target = F.expr("if(visible = 0 and subject_v is not null and coalesce(front_order > own_order, false), least(255, subject_v), 0)")
-    return joined.withColumn("own_order", own).withColumn("target", target).where("visible = 1 or target > 0").select(
-        *LX, "visible", "target")
+    front = F.expr("aggregate(filter(stack, s -> s.draw_order > own_order), 0L, (b, s) -> b | s.bits)")
+    hidden = joined.withColumn("own_order", own).withColumn("front", front).withColumn("hidden", F.expr("near & front & ~seen"))
+    entries = F.expr("""inline(concat(array(named_struct('visible', 1, 'target', cast(0 as int), 'bits', seen)),
+      coalesce(transform(values, s -> named_struct('visible', 0, 'target', cast(s.v as int), 'bits', s.bits & hidden)), array())))""")
+    cells = hidden.select("image_id", "slot_id", "y", "word", entries).where("bits <> 0").select("*", F.explode(F.expr(
+        "filter(sequence(0, 63), i -> (shiftrightunsigned(bits, i) & 1) = 1)")).alias("i"))
+    return cells.select("image_id", "slot_id", F.expr("word * 64 + i").alias("x"), "y", "visible", "target")
 
 
 def soften_generated(reveal: DataFrame, images: DataFrame, radius: int = 3) -> DataFrame:

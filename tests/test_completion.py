@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+from celstack.functions import fixed
 from celstack.operators import layers, motion
 from celstack.plans import inputs as I
 from celstack.plans import load
@@ -53,6 +54,31 @@ def test_layer_textures(spark):
         assert not beside or c[:3] in beside
 
 
+def test_reveal_across_words(spark):
+    """Lines wider than 64 pixels against a plain loop; a pixel beside the margin is never made a row of its own."""
+    rng, width, height, margins = random.Random(3), 150, 9, {"eye.left": 10, "mouth": 12}
+    order = {"eye.left": 999, "mouth": 5, "face.base": 2000}
+    masks = [(0, s, x, y, 255, order[s]) for s in margins for x, y in {(rng.choice([0, 1, 62, 63, 64, 65, 126, 127, 128, 149]), rng.randrange(height)) for _ in range(6)}]
+    masks += [(0, "face.base", x, y, 255, 2000) for x in range(width) for y in range(height) if rng.random() < 0.5] + [(0, "mouth", 150, 2, 255, 5), (1, "mouth", 1, 1, 255, 5)]
+    subject = {(x, y): rng.choice([0, 40, 255, 300]) for x in range(width) for y in range(height)}
+    got = layers.reveal_target(
+        spark.createDataFrame(masks, "image_id bigint, slot_id string, x int, y int, v int, draw_order int"),
+        spark.createDataFrame([(0, x, y, v) for (x, y), v in subject.items()], "image_id bigint, x int, y int, v int"),
+        spark.createDataFrame([(0, width, height)], "image_id bigint, width int, height int"))
+    wanted, known = set(), set(masks)
+    for slot in order:
+        seen = {(x, y) for image, s, x, y, *_ in masks if s == slot and x < width and image == 0}
+        wanted |= {(0, slot, x, y, 1, 0) for x, y in seen}
+        for x, y in subject:
+            near = any(abs(x - a) <= fixed.REVEAL_MARGINS[slot] and abs(y - b) <= fixed.REVEAL_MARGINS[slot] for a, b in seen)
+            covered = any((0, s, x, y, 255, order[s]) in known for s in order if order[s] > fixed.DRAW_ORDER[slot])
+            if near and covered and (x, y) not in seen and subject[x, y] > 0:
+                wanted.add((0, slot, x, y, 0, min(255, subject[x, y])))
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == wanted
+    assert any(r[5] == 40 for r in wanted) and "Window" not in got._jdf.queryExecution().toString()
+
+
 def test_unreached_target_keeps_the_source_alpha(spark):
     """A target cell that no fill reaches: source alpha 255 under coverage 200 is 200, not 0."""
     source = spark.createDataFrame([(0, 5, 5, 10, 20, 30, 255)], "image_id bigint, x int, y int, r int, g int, b int, a int")

@@ -1,4 +1,4 @@
-"""Connected components, reachability, nearest fill and cycle checks as loops of joins and combinable aggregates.
+"""Connected components, reachability, nearest fill and cycle checks as loops of joins, combinable aggregates and bounded tiles.
 
 Pixel graphs are contracted before the loop: horizontal runs become the nodes, and an edge joins two runs that touch
 vertically, found by an equi-join on the shared pixel coordinate. Loops write a table in the shared checkpoint folder
@@ -7,6 +7,8 @@ every round and stop by the data; an explicit round limit fails loudly instead o
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,42 +142,104 @@ def fill_holes(pixels: DataFrame, threshold: int = 15, opaque: int = 240, reach:
 
 
 DIRECTIONS = ((1, 0), (-1, 0), (0, 1), (0, -1))
+TILE = 64
+UNREACHED = 2**31 - 1
 
 
-def nearest_fill(known: DataFrame, target: DataFrame, keys: list[str], max_levels: int = 20000) -> DataFrame:
-    """Colour of the breadth-first nearest known cell for every reachable target cell.
+def _filled_tiles(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Settle every 64 x 64 tile of ``cells`` by itself: its open cells as they are now, and offers to the cells beside the tile.
 
-    A cell is claimed by the first cell of the previous level's queue that touches it. Queue order is the lexicographic
-    order of (seed cell, directions taken), so carrying that path replaces any global ranking: a level is one join with the
-    target, anti-joins with the two levels before it, and one combinable minimum. ``known``: (keys, x, y, r, g, b); ``target``: (keys, x, y, v).
+    ``cells``: (keys, x, y, v, level, seed, colour, kind) with kind 0 for open cells, 1 for known cells and 2 for offers of a level.
+    """
+    fields = ["x", "y", "v", "level", "seed", "colour", "kind"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+    tiled = cells.select(*keys, F.expr("shiftright(x, 6)").alias("tx"), F.expr("shiftright(y, 6)").alias("ty"), *fields)
+    across = TILE + 2
+
+    def settle(level: np.ndarray, seed: np.ndarray, colour: np.ndarray, free: np.ndarray, changed: np.ndarray) -> None:
+        """Lower (level, seed) of the ``free`` cells of one flat tile with a rim, in place, from its ``changed`` cells on, level by level."""
+        if not changed.any():
+            return
+        at = int(level[changed].min())
+        while True:
+            front = np.flatnonzero(changed & (level == at))
+            for dx, dy in DIRECTIONS:
+                to = front + dx + dy * across
+                better = free[to] & ((level[to] > at + 1) | ((level[to] == at + 1) & ((seed[to] > seed[front]) | ((seed[to] == seed[front]) & (colour[to] > colour[front])))))
+                to, by = to[better], front[better]
+                level[to], seed[to], colour[to], changed[to] = at + 1, seed[by], colour[by], True
+            later = level[changed & (level > at)]
+            if not len(later):
+                return
+            at = int(later.min())
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        x, y, v, given, seeds, colours, kind = (table.column(c).to_numpy() for c in fields)
+        left, top = key[-2].as_py() * TILE - 1, key[-1].as_py() * TILE - 1
+        place = (y - top) * across + (x - left)
+        value, known, free = np.zeros(across * across, np.int64), np.zeros(across * across, bool), np.zeros(across * across, bool)
+        level, seed, colour = np.full(across * across, UNREACHED, np.int32), np.zeros(across * across, np.int64), np.zeros(across * across, np.int64)
+        known[place[kind == 1]] = True
+        free[place[kind == 0]] = True
+        free &= ~known
+        np.maximum.at(value, place[kind == 0], v[kind == 0])
+        changed = known.copy()
+        for asked in (0, 1, 2):  # the least of what is there, of the colours of a known cell, of the offers to a cell
+            rows = np.flatnonzero((kind == asked) & (given < UNREACHED) & (known if asked == 1 else free)[place])
+            rows = rows[np.lexsort((colours[rows], seeds[rows], given[rows], place[rows]))]
+            rows = rows[np.append(True, np.diff(place[rows]) != 0)] if len(rows) else rows
+            to = place[rows]
+            better = (level[to] > given[rows]) | ((level[to] == given[rows]) & ((seed[to] > seeds[rows]) | ((seed[to] == seeds[rows]) & (colour[to] > colours[rows]))))
+            rows, to = rows[better], to[better]
+            level[to], seed[to], colour[to] = given[rows], seeds[rows], colours[rows]
+            if asked == 2:
+                changed[to] = True
+        settle(level, seed, colour, free, changed)
+        own = np.flatnonzero(free)
+        parts = [(own % across + left, own // across + top, value[own], level[own], seed[own], colour[own], 0)]
+        told = np.flatnonzero(changed)
+        tx, ty = told % across, told // across
+        for dx, dy in DIRECTIONS:
+            out = (tx + dx == 0) | (tx + dx == TILE + 1) | (ty + dy == 0) | (ty + dy == TILE + 1)
+            by = told[out]
+            parts.append((tx[out] + dx + left, ty[out] + dy + top, np.zeros(len(by), np.int64), level[by] + 1, seed[by], colour[by], 2))
+        size = sum(len(part[0]) for part in parts)
+        columns = [np.concatenate([part[i] for part in parts]) for i in range(6)] + [np.concatenate([np.full(len(part[0]), part[6]) for part in parts])]
+        return pa.Table.from_arrays([pa.repeat(k, size) for k in key[:-2]] + [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[*keys, *fields])
+
+    return tiled.groupBy(*keys, "tx", "ty").applyInArrow(run, cells.select(*keys, *fields).schema)
+
+
+def nearest_fill(known: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
+    """Colour of the breadth-first nearest known cell for every reachable target cell; of several the first in row-major order.
+
+    Tiles of 64 x 64 cells are settled by themselves; what a tile offers to cells of the tiles beside it settles those again where it is
+    nearer or comes first, until no offer is. ``known``: (keys, x, y, r, g, b); ``target``: (keys, x, y, v).
     """
     at = [*keys, "x", "y"]
-    open_cells = cut(target.where("v > 0").select(*at, "v").join(known.select(*at), at, "left_anti"))
-    index = F.col("y").cast("bigint") * 4294967296 + F.col("x")
-    frontier = known.select(*at, F.struct(index.alias("seed"), F.lit("").alias("path"), "r", "g", "b").alias("origin"))
-    moves = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(str(i)).alias("d")) for i, (dx, dy) in enumerate(DIRECTIONS)])
-    levels: list[DataFrame] = []
-    for level in range(max_levels):
-        step = frontier.select(*at, "origin", F.explode(moves).alias("m")).select(
-            *keys, (F.col("x") + F.col("m.dx")).alias("x"), (F.col("y") + F.col("m.dy")).alias("y"),
-            F.struct("origin.seed", F.concat("origin.path", "m.d").alias("path"), "origin.r", "origin.g", "origin.b").alias("origin"))
-        reached = step.join(open_cells, at)
-        # levels of neighbouring cells differ by at most one, so only the last two can be touched again
-        for earlier in levels[-2:]:
-            reached = reached.join(earlier.select(*at), at, "left_anti")
-        claimed = cut(reached.groupBy(*at).agg(F.min("origin").alias("origin"), F.max("v").alias("v")))
-        if claimed.isEmpty():
+    present = " and ".join(f"{c} is not null" for c in at)
+    place = [*keys, F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y")]
+    start = known.where(present).select(*place, F.lit(0).cast("bigint").alias("v"), F.lit(0).alias("level"), F.expr("cast(y as bigint) * 4294967296 + x").alias("seed"),
+                                        F.expr("shiftleft(cast(r as bigint), 32) + shiftleft(cast(g as bigint), 16) + b").alias("colour"), F.lit(1).alias("kind"))
+    zero = F.lit(0).cast("bigint")
+    wanted = target.where(f"v > 0 and {present}").select(*place, F.col("v").cast("bigint").alias("v"), F.lit(UNREACHED).alias("level"), zero.alias("seed"), zero.alias("colour"), F.lit(0).alias("kind"))
+    settled = cut(_filled_tiles(start.unionByName(wanted), keys))
+    while True:
+        cells, offers = settled.where("kind = 0"), settled.where("kind = 2")
+        now = cells.select(*at, F.struct("level", "seed", "colour").alias("now"))
+        nearer = cut(offers.join(now, at).where("struct(level, seed, colour) < now").drop("now"))
+        if nearer.isEmpty():
             break
-        levels.append(claimed.withColumn("level", F.lit(level + 1)))
-        frontier = claimed.select(*at, "origin")
-    else:
-        raise RuntimeError("nearest fill did not finish within the level limit")
-    if not levels:
-        return known.limit(0).select(*at, "r", "g", "b", F.lit(0).alias("a"), F.lit(0).alias("level"))
-    out = levels[0]
-    for more in levels[1:]:
-        out = out.unionByName(more)
-    return out.select(*at, "origin.r", "origin.g", "origin.b", F.col("v").alias("a"), "level")
+        tile = [*keys, F.expr("shiftright(x, 6)").alias("tx"), F.expr("shiftright(y, 6)").alias("ty")]
+        tiles = cut(nearer.select(*tile).distinct())
+        placed = cells.select("*", *tile[len(keys):])
+        again = placed.join(tiles, [*keys, "tx", "ty"], "left_semi").select(*settled.columns)
+        rest = placed.join(tiles, [*keys, "tx", "ty"], "left_anti").select(*settled.columns)
+        settled = cut(_filled_tiles(again.unionByName(nearer), keys).unionByName(rest))
+    kinds = dict(known.dtypes)
+    colours = [F.expr(f"cast(shiftright(colour, {shift}) & 65535 as {kinds[c]})").alias(c) for c, shift in (("r", 32), ("g", 16), ("b", 0))]
+    return settled.where(f"kind = 0 and level < {UNREACHED}").select(
+        *keys, F.col("x").cast(kinds["x"]).alias("x"), F.col("y").cast(kinds["y"]).alias("y"), *colours, F.col("v").cast(dict(target.dtypes)["v"]).alias("a"), "level")
 
 
 def cyclic_graphs(edges: DataFrame, keys: list[str]) -> DataFrame:

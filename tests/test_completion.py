@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 from celstack.functions import fixed
-from celstack.operators import layers, motion
+from celstack.operators import graph, layers, motion
 from celstack.plans import inputs as I
 from celstack.plans import load
 from celstack.plans.layers import layer_textures
@@ -104,3 +104,28 @@ def test_nearest_fill_reaches_every_column(spark):
     wanted = pixels.where("a <= 200").join(known, "image_id", "left_semi").groupBy("x").count().collect()
     got = load()["nearest_fill"].run(spark, folder).join(known, "image_id", "left_semi").groupBy("x").count().collect()
     assert sorted(got) == sorted(wanted) and min(r["x"] for r in got) == 0 and max(r["x"] for r in got) > 60
+
+
+def test_nearest_fill_along_a_corridor(spark):
+    """A winding way through several tiles against a plain search, in fewer jobs than it has levels."""
+    way = [(x, y) for y in range(0, 12, 2) for x in (range(150) if y % 4 == 0 else range(149, -1, -1))]
+    way = [at for i, at in enumerate(way) for at in ([at, (at[0], at[1] + 1)] if (i + 1) % 150 == 0 else [at])]
+    known = {way[0]: 7, way[400]: 9}
+    k = spark.createDataFrame([(0, x, y, r, 2, 3) for (x, y), r in known.items()], "image_id bigint, x int, y int, r int, g int, b int")
+    t = spark.createDataFrame([(0, x, y, 200) for x, y in way], "image_id bigint, x int, y int, v int")
+    level, colour, front = dict.fromkeys(known, 0), dict(known), sorted(known, key=lambda at: (at[1], at[0]))
+    while front:
+        reached = {}
+        for x, y in front:
+            for to in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)):
+                if to in set(way) and to not in level and to not in reached:
+                    reached[to] = (x, y)
+        for to, by in reached.items():
+            level[to], colour[to] = level[by] + 1, colour[by]
+        front = list(reached)
+    spark.sparkContext.setJobGroup("corridor", "corridor")
+    got = {(r["x"], r["y"]): (r["r"], r["level"]) for r in graph.nearest_fill(k, t, ["image_id"]).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("corridor"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {at: (colour[at], level[at]) for at in level if at not in known}
+    assert max(level.values()) > 400 and jobs < 300

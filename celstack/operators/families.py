@@ -6,8 +6,8 @@ These links join most of a group of copies. What is left to try are pairs of dif
 bucket's largest family against the others, so a group of thousands of copies is never expanded into its pairs.
 
 Buckets in which more than ``HOT`` nodes would ask (a passage that many texts share) are split by a second band, and again by a third:
-texts that are similar enough agree on about two fifths of all bands, texts with only a passage in common do not. Pairs whose signatures
-agree on fewer than half of their minima are not verified; verification compares the sets of shingles themselves.
+texts that are similar enough agree on about two fifths of all bands, texts with only a passage in common do not. Pairs whose sets
+differ too much in size, or whose signatures agree on fewer than half of their minima, are not verified; verification compares the sets of shingles themselves.
 
 At a similarity of 0.8 a pair misses all bands, or is refused by its signatures, with a probability under 1e-6; every reported link is exact.
 
@@ -147,8 +147,11 @@ def across_families(met: DataFrame, keyed: DataFrame, families: DataFrame, divid
     return out.distinct()
 
 
-def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures agree on at least half of their minima."""
+def _agreeing(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of sets large enough for each other whose signatures agree on at least half of their minima.
+
+    An intersection is at most the smaller set and a union at least the larger one, so no link is lost by the sizes.
+    """
     names = ["a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,8 +160,9 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, SIGNATURE) for c in ("sig_a", "sig_b"))
                 yield pa.RecordBatch.from_struct_array(pa.StructArray.from_arrays([batch.column(c) for c in names], names).filter(pa.array((left == right).sum(axis=1) >= AGREEING)))
 
-    with_a = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
-    both = with_a.join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
+    with_a = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a")), "a")
+    both = with_a.join(nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")), "b").where(
+        F.lit(den) * F.least("n_a", "n_b") >= F.lit(num) * F.greatest("n_a", "n_b"))
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
@@ -169,9 +173,11 @@ def _linked(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("text_a", "text_b"))
-            keep = []
-            for a, b in zip(left, right, strict=True):
-                x, y = shingles(a, size), shingles(b, size)
+            ids = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)
+            keep, last = [], {}
+            for (i, j), a, b in zip(ids, left, right, strict=True):
+                x, y = (last.get(k) or shingles(text, size) for k, text in ((i, a), (j, b)))
+                last = {i: x, j: y}  # rows with one document are often side by side
                 both = len(x & y)
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_struct_array(pa.StructArray.from_arrays([batch.column(c) for c in names], names).filter(pa.array(keep, pa.bool_())))
@@ -215,9 +221,9 @@ def near_duplicate_families(texts: DataFrame, size: int = 5, num: int = 80, den:
         texts = cut(texts.join(side, "item_id", "left_anti").unionByName(smallest))
     marked = cut(signatures(texts, size))
     classes = marked.groupBy("digest").agg(F.min("item_id").alias("node"))
-    nodes = cut(marked.join(classes, F.col("node") == F.col("item_id")).select("node", "sig"))
+    nodes = cut(marked.join(classes, F.col("node") == F.col("item_id")).select("node", "n", "sig"))
     keyed = cut(band_keys(nodes))
-    families = grow(nodes, buckets(keyed), keyed, lambda pairs: _linked(_agreeing(pairs, nodes), texts, size, num, den), split_by_next_band, SPLITS)
+    families = grow(nodes, buckets(keyed), keyed, lambda pairs: _linked(_agreeing(pairs, nodes, num, den), texts, size, num, den), split_by_next_band, SPLITS)
     member = marked.join(classes, "digest").join(families, "node").select("item_id", F.col("n").alias("n_shingles"), "family")
     placed = texts.select("item_id").join(member, "item_id", "left").select(
         "item_id", F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"), F.coalesce("family", "item_id").alias("family"))

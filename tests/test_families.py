@@ -113,3 +113,10 @@ def test_words_within_the_radius_meet(spark, monkeypatch):
     pairs = {(r["a"], r["b"]) for r in families.across_families(met, keyed, alone, families.split_by_other_word, 1).collect()}
     near = {(i, j) for i, x in rows for j, y in rows if i < j and sum((a ^ b).bit_count() for a, b in zip(x, y, strict=True)) <= 3}
     assert near <= pairs and len(near) > 100
+
+
+def test_sets_of_different_sizes_are_not_verified(spark):
+    """Equal signatures, but at 0.8 a set of 8 may meet one of 10 and not one of 11; the other way round likewise."""
+    nodes = spark.createDataFrame([(1, 8, bytes(512)), (2, 10, bytes(512)), (3, 11, bytes(512))], "node long, n long, sig binary")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
+    assert sorted(map(tuple, families._agreeing(pairs, nodes, 80, 100).collect())) == [(1, 2), (2, 3)]

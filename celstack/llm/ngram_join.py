@@ -5,8 +5,8 @@
    a signature; documents that share none cannot be linked. Sizes fall into intervals so that linked sets lie in the same or the
    next one, and every set emits the parts of both. Signatures travel packed (7 bytes each) and are sorted in the reducers,
    which emit a star of edges for each shared one, never all pairs.
-2. Blocks. The documents of a star are compared by counts of their hashes in ranges (one for four to eight elements): sets whose counts differ by more than
-   linked sets can differ are no candidates, which removes documents that merely share a passage. Components of the
+2. Blocks. The documents of a star are compared by the parity of their hashes' counts in ranges (one or two for each element): sets where more ranges differ than
+   linked sets can differ in elements are no candidates, which removes documents that merely share a passage. Components of the
    remaining edges hold every link. Sets of a block meet in one task; a block of more than ``block`` sets is cut into chunks.
 3. T-occurrence. In a chunk an inverted index maps a shingle to its documents. A query merges its short lists with a heap and
    probes its long lists by binary search (DivideSkip); documents reaching the overlap that the threshold asks for are linked.
@@ -77,15 +77,40 @@ class Shingler:
 
 
 def spread_bits(count: int) -> int:
-    """Ranges of hashes by which sets of this size are compared, as a power of two: four to eight elements a range."""
-    return max(4, count.bit_length() - 3)
+    """Ranges of hashes by which sets of this size are compared, as a power of two: half an element to one element a range."""
+    return max(7, count.bit_length())
 
 
 def spread_of(shingles: np.ndarray) -> bytes:
-    """How the set spreads over its ranges; two sets differ at least by the sum of the differences of these counts."""
+    """Which ranges of hashes hold an odd number of the set's elements, a bit each; two sets differ in an element at least wherever these differ."""
     bits = spread_bits(len(shingles))
     counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def fold(odd: np.ndarray, width: int) -> np.ndarray:
+    """Rows of ``spread_of`` over as many ranges as fit into ``width`` bytes: what is odd in two neighbouring ranges is even in both together."""
+    while odd.shape[1] > width:
+        both = np.unpackbits(odd, axis=1)
+        odd = np.packbits(both[:, ::2] ^ both[:, 1::2], axis=1)
+    return odd
+
+
+def possible_links(sizes: list[int], spreads: list[bytes], num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Pairs of positions that neither their sizes nor their spreads keep from being linked."""
+    order = sorted(range(len(sizes)), key=lambda k: len(spreads[k]))
+    widths, count = [len(spreads[k]) for k in order], np.array([sizes[k] for k in order], np.int64)
+    for width in dict.fromkeys(widths):
+        start, end = bisect_left(widths, width), bisect_left(widths, width + 1)
+        wider = [widths.index(w) for w in dict.fromkeys(widths[start:])] + [len(widths)]
+        odd = np.concatenate([fold(np.frombuffer(b"".join(spreads[k] for k in order[a:b]), np.uint8).reshape(b - a, -1), width) for a, b in zip(wider, wider[1:], strict=False)])
+        words = odd.view(np.uint64)
+        for k in range(start, end):
+            n, other = count[k], count[k + 1 :]
+            near = (np.minimum(n, other) * den >= np.maximum(n, other) * num).nonzero()[0]
+            differ = np.bitwise_count(words[k - start + 1 + near] ^ words[k - start]).sum(1, dtype=np.int64)
+            for j in near[differ <= (other[near] + n) * (den - num) // (den + num)].tolist():
+                yield order[k], order[k + 1 + j]
 
 
 def set_digest(shingles: np.ndarray) -> int:
@@ -382,13 +407,9 @@ def candidate_edges(edges: DataFrame, rows: DataFrame, num: int, den: int, block
         def compare() -> None:
             if not held:
                 return
-            ranges = min(len(h[2]) for h in held)
-            counts = np.stack([np.frombuffer(h[2], np.uint8).reshape(ranges, -1).sum(1, dtype=np.int32) for h in held])
-            sizes, classes = np.array([h[1] for h in held]), Classes(len(held))
-            for k in range(len(held) - 1):
-                differ = np.abs(counts[k + 1 :] - counts[k]).sum(1)
-                for other in np.flatnonzero(differ <= (sizes[k + 1 :] + sizes[k]) * (den - num) // (den + num)).tolist():
-                    classes.join(k, k + 1 + other)
+            classes = Classes(len(held))
+            for k, other in possible_links([h[1] for h in held], [h[2] for h in held], num, den):
+                classes.join(k, other)
             out.extend((held[classes.find(k)][0], held[k][0]) for k in range(len(held)) if classes.find(k) != k)
 
         for batch in batches:

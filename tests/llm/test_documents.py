@@ -198,3 +198,31 @@ def test_decoding_in_steps():
     decoder = bpe.StreamDecoder(bytes_of)
     assert decoder.feed([0xF0, 0x9F]) == "" and decoder.close() == "�"
     assert bpe.StreamDecoder(bytes_of).feed([0xC0, 0x41]) == "�A"
+
+
+def shared_sets(shared, own, count, seed=8):
+    """Sets of hashes that have ``shared`` elements in common and ``own`` elements each that no other set has."""
+    rng = np.random.default_rng(seed)
+    common = rng.integers(0, 2**64 - 1, shared, dtype=np.uint64)
+    return [np.unique(np.concatenate([common, rng.integers(0, 2**64 - 1, own, dtype=np.uint64)])) for _ in range(count)]
+
+
+def test_possible_links_leave_out_no_link():
+    rng = np.random.default_rng(6)
+    base, sets = rng.integers(0, 2**64 - 1, 600, dtype=np.uint64), []
+    for n in (1, 3, 10, 60, 127, 128, 130, 255, 258, 500, 515, 600):
+        sets += [np.unique(np.concatenate([base[:n][rng.random(n) > 0.05], base[:1], rng.integers(0, 2**64 - 1, int(rng.integers(0, 2 + n // 12)), dtype=np.uint64)])) for _ in range(9)]
+    for num, den in ((80, 100), (90, 100)):
+        got = {tuple(sorted(pair)) for pair in ngram_join.possible_links([len(s) for s in sets], [ngram_join.spread_of(s) for s in sets], num, den)}
+        both = {(i, j): len(np.intersect1d(sets[i], sets[j])) for j in range(len(sets)) for i in range(j)}
+        linked = {(i, j) for (i, j), n in both.items() if den * n >= num * (len(sets[i]) + len(sets[j]) - n)}
+        assert len(linked) > 40 and linked <= got and len(got) < len(both) / 2
+
+
+def test_documents_that_share_a_passage_form_no_block(spark):
+    """Two thirds in common, so a similarity below 0.7: through such pairs unrelated documents became one block of many chunks."""
+    sets = shared_sets(240, 60, 60) + shared_sets(285, 15, 3, seed=9)
+    rows = spark.createDataFrame([(k, len(s), bytearray(ngram_join.spread_of(s))) for k, s in enumerate(sets)], "ref long, n long, spread binary")
+    edges = spark.createDataFrame([(0, 0, k) for k in range(1, 60)] + [(60, 0, 61), (60, 0, 62)], "a long, star long, b long")
+    found = {tuple(r) for r in ngram_join.candidate_edges(edges, rows, 80, 100, 512).collect()}
+    assert found == {(60, 61), (60, 62)}

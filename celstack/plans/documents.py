@@ -105,7 +105,13 @@ FAULTS = {
 }
 
 
-def _project_documents(spark, d) -> DataFrame:
+def _project_documents(spark, d, *keep: str) -> DataFrame:
+    """The ingested documents; ``keep`` names what of them will be read."""
+    texts = _project_texts(spark, d)
+    return V.ingest_projects(texts, "value", FORMAT, keep) if keep else V.ingest_projects(texts, "value", FORMAT)
+
+
+def _project_texts(spark, d) -> DataFrame:
     def value(kind: str, expr: str) -> str:
         expr = re.sub(r"HASH\(([^()]*)\)", r"sha2(\1, 256)", expr)
         return {
@@ -120,8 +126,7 @@ def _project_documents(spark, d) -> DataFrame:
       'canvas', named_struct('width', 1024 + o_custkey % 10, 'height', 1024, 'image_origin', 'top-left', 'color_space', 'srgb', 'alpha_mode', 'straight'), 'ontology_registry_version', '0.1.0',
       'reason_code_registry', {registry('reasons')}, 'parameter_registry', {registry('parameters')}, {arrays}, 'extensions', map()))""")
     fault = "case o_orderkey % 20 " + " ".join(f"when {k} then {text}" for k, (text, _) in FAULTS.items()) + " else body end"
-    texts = I.spread(I.table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").withColumn("body", body).select("o_orderkey", F.expr(fault).alias("value"))
-    return V.ingest_projects(texts, "value", FORMAT)
+    return I.spread(I.table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").withColumn("body", body).select("o_orderkey", F.expr(fault).alias("value"))
 
 
 SOUND = f"o_orderkey % 20 NOT IN ({', '.join(map(str, FAULTS))})"
@@ -157,7 +162,7 @@ def _part_query(part: str) -> None:
 
     @query(f"project_{part}", " ".join(columns), text)
     def _(spark, d):
-        return V.part(_project_documents(spark, d), part, "0.2.0").selectExpr("project_id", "revision_id", "position", *picked)
+        return V.part(_project_documents(spark, d, part), part, "0.2.0").selectExpr("project_id", "revision_id", "position", *picked)
 
 
 for _name in PARTS:
@@ -168,14 +173,14 @@ for _name in PARTS:
 SELECT 'project.' || o_orderkey AS project_id, 'rev.' || (o_custkey % 9) AS revision_id, '2026-01-01T00:00:00Z' AS created_at, 1024 + o_custkey % 10 AS width, 'top-left' AS image_origin,
   'parameters@1.0.0' AS parameter_registry FROM orders WHERE {SOUND}""")
 def _(spark, d):
-    return V.heads(_project_documents(spark, d), "0.2.0").select(
+    return V.heads(_project_documents(spark, d, "head"), "0.2.0").select(
         "project_id", "revision_id", "created_at", "canvas.width", "canvas.image_origin", F.concat_ws("@", "parameter_registry.id", "parameter_registry.version").alias("parameter_registry"))
 
 
 @query("rejected_documents", "order_id:l format_version:s reason_code:s", "SELECT o_orderkey AS order_id, CASE o_orderkey % 20 WHEN 0 THEN '0.3.0' WHEN 1 THEN NULL WHEN 2 THEN '0.1.0' ELSE '0.2.0' END AS format_version, CASE o_orderkey % 20 "
        + " ".join(f"WHEN {k} THEN '{reason}'" for k, (_, reason) in FAULTS.items()) + f" END AS reason_code FROM orders WHERE NOT ({SOUND})")
 def _(spark, d):
-    return V.rejected(_project_documents(spark, d), ["o_orderkey"]).withColumnRenamed("o_orderkey", "order_id")
+    return V.rejected(_project_documents(spark, d, "reason"), ["o_orderkey"]).withColumnRenamed("o_orderkey", "order_id")
 
 
 MANIFEST = "run-manifest"

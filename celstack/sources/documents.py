@@ -70,6 +70,8 @@ MANIFEST_HEADS = {
 }
 #: Parts that may be absent, by format version; all others must be there, if only as an empty array.
 OPTIONAL = {"0.1.0": ("user_overrides",), "0.2.0": ()}
+#: Head fields that name a document in its child tables.
+KEYS = ("project_id", "revision_id", "run_id")
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -93,46 +95,60 @@ def _struct(ddl: str) -> str:
     return "struct<" + ", ".join(f"`{name}`: {kind}" for name, kind in _fields(ddl)) + ">"
 
 
-def ingest(texts: DataFrame, column: str, format_name: str, heads: dict[str, str], parts: dict[str, dict[str, str]]) -> DataFrame:
+def _checked(kind: str) -> str | None:
+    """The least type that a value of ``kind`` must be cast to so as to know that it fits; None for texts, which every value can be read as.
+
+    A list fits if it is an array and a struct if it is an object, whatever is in them.
+    """
+    if kind == "string":
+        return None
+    if kind.startswith("array<"):
+        return "array<variant>"
+    return f"struct<`{_fields(kind[7:-1].replace(':', ' '))[0][0]}`: variant>" if kind.startswith("struct<") else kind
+
+
+def ingest(texts: DataFrame, column: str, format_name: str, heads: dict[str, str], parts: dict[str, dict[str, str]], keep: tuple[str, ...] | None = None) -> DataFrame:
     """``texts`` with ``format_version``, ``reason_code`` and, for accepted documents, ``head`` and ``part`` structs by version.
 
     ``reason_code`` is null where the document is accepted, else DOCUMENT_UNREADABLE, FORMAT_UNKNOWN, VERSION_UNKNOWN, HEAD_MALFORMED, or
     PART_MALFORMED:<name> for the first part, in the order of its projection, that is missing, is no array, holds a value that does not
-    fit its type, or an element without its id. An array is typed once, and compared with its untyped values only where it holds a null.
-    The typed columns are written once as a nested table, of which every child table then reads its own columns only.
+    fit its type, or an element without its id. Every part is checked in full, but of a checked part only the ids and the values that
+    might not fit are looked at. ``keep`` names the parts that will be read (``head``: all fields of the head), by default all; only these
+    are typed. The typed columns are written once as a nested table, of which every child table then reads its own columns only.
     """
     doc = texts.withColumn("__doc", F.try_parse_json(F.col(column)))
     at = lambda path, kind: f"try_variant_get(__doc, '$.{path}', '{kind}')"
     doc = doc.withColumns({"__format": F.expr(at("format", "string")), "format_version": F.expr(at("format_version", "string"))})
-    columns, unfits, reasons = {}, {}, []
+    columns, checks, reasons = {}, {}, []
     for version, named in parts.items():
         mine, tag = f"format_version = '{version}'", version.replace(".", "_")
-        columns[f"head_{tag}"] = F.expr(f"if({mine}, named_struct(" + ", ".join(f"'{n}', {at(n, k)}" for n, k in _fields(heads[version])) + "), null)")
+        read = [(n, k) for n, k in _fields(heads[version]) if keep is None or "head" in keep or n in KEYS]
+        columns[f"head_{tag}"] = F.expr(f"if({mine}, named_struct(" + ", ".join(f"'{n}', {at(n, k)}" for n, k in read) + "), null)")
         first = _fields(heads[version])[0][0] if version != "0.2.0" or "scope" not in heads[version] else "run_id"
         reasons.append(f"when {mine} and head_{tag}.{first} is null then 'HEAD_MALFORMED'")
         for name, ddl in named.items():
-            part, key = f"{name}_{tag}", _fields(ddl)[0][0]
-            raw = at(name, "array<struct<" + ", ".join(f"`{n}`: variant" for n, _ in _fields(ddl)) + ">>")
-            unfit = " or ".join(f"(e.`{n}` is null and r.`{n}` is not null and not is_variant_null(r.`{n}`))" for n, _ in _fields(ddl))
-            gap = " or ".join(f"e.`{n}` is null" for n, _ in _fields(ddl))
-            columns[part] = F.expr(f"if({mine}, {at(name, 'array<' + _struct(ddl) + '>')}, null)")
-            unfits[f"unfit_{part}"] = F.expr(f"if({mine}, exists({part}, e -> e is null or {gap}) and exists(zip_with({part}, {raw}, (e, r) -> e is null or e.{key} is null or {unfit}), x -> x), null)")
+            key, fit = _fields(ddl)[0][0], {n: _checked(k) for n, k in _fields(ddl) if _checked(k)}
+            raw = at(name, "array<struct<" + ", ".join(f"`{n}`: variant" for n in (key, *fit)) + ">>")
+            unfit = "".join(f" or (r.`{n}` is not null and not is_variant_null(r.`{n}`) and try_variant_get(r.`{n}`, '$', '{k}') is null)" for n, k in fit.items())
+            checks[f"unfit_{name}_{tag}"] = F.expr(f"if({mine}, coalesce(exists({raw}, r -> r is null or r.{key} is null or is_variant_null(r.{key}){unfit}), true), null)")
             absent = f"{at(name, 'variant')} is null" if name in OPTIONAL[version] else "false"
-            reasons.append(f"when {mine} and not ({absent}) and ({part} is null or unfit_{part}) then 'PART_MALFORMED:{name}'")
+            reasons.append(f"when {mine} and not ({absent}) and unfit_{name}_{tag} then 'PART_MALFORMED:{name}'")
+            if keep is None or name in keep:
+                columns[f"{name}_{tag}"] = F.expr(f"if({mine}, {at(name, 'array<' + _struct(ddl) + '>')}, null)")
     known = ", ".join(f"'{v}'" for v in parts)
     reason = F.expr(
         f"case when __doc is null then 'DOCUMENT_UNREADABLE' when __format is null or __format <> '{format_name}' then 'FORMAT_UNKNOWN'"
         f" when format_version is null or format_version not in ({known}) then 'VERSION_UNKNOWN' {' '.join(reasons)} end")
-    typed = doc.withColumns(columns).withColumns(unfits).withColumn("reason_code", reason)
-    return cut(typed.drop("__doc", "__format", column, *unfits))
+    typed = doc.withColumns(columns | checks).withColumn("reason_code", reason)
+    return cut(typed.drop("__doc", "__format", column, *checks))
 
 
-def ingest_projects(texts: DataFrame, column: str, format_name: str) -> DataFrame:
-    return ingest(texts, column, format_name, PROJECT_HEADS, PROJECT_PARTS)
+def ingest_projects(texts: DataFrame, column: str, format_name: str, keep: tuple[str, ...] | None = None) -> DataFrame:
+    return ingest(texts, column, format_name, PROJECT_HEADS, PROJECT_PARTS, keep)
 
 
-def ingest_manifests(texts: DataFrame, column: str, format_name: str) -> DataFrame:
-    return ingest(texts, column, format_name, MANIFEST_HEADS, MANIFEST_PARTS)
+def ingest_manifests(texts: DataFrame, column: str, format_name: str, keep: tuple[str, ...] | None = None) -> DataFrame:
+    return ingest(texts, column, format_name, MANIFEST_HEADS, MANIFEST_PARTS, keep)
 
 
 def rejected(ingested: DataFrame, keys: list[str]) -> DataFrame:
@@ -153,7 +169,7 @@ def part(ingested: DataFrame, name: str, version: str) -> DataFrame:
     """
     tag = version.replace(".", "_")
     good = ingested.where(f"reason_code is null and format_version = '{version}'")
-    keys = [c for c in ("project_id", "revision_id", "run_id") if c in good.schema[f"head_{tag}"].dataType.names]
+    keys = [c for c in KEYS if c in good.schema[f"head_{tag}"].dataType.names]
     rows = good.select(*[F.col(f"head_{tag}.{k}").alias(k) for k in keys], F.posexplode(f"{name}_{tag}").alias("position", "row"))
     rows = rows.select(*keys, "position", "row.*")
     if name == "confidence_facts":

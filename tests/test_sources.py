@@ -169,3 +169,30 @@ def test_documents_are_made_in_more_than_one_task(spark, monkeypatch):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert P._project_documents(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == n
     assert P._manifests(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == n
+
+
+def test_only_what_is_read_is_typed(spark, monkeypatch):
+    """A query types and writes its own part only."""
+    from celstack.plans import load
+
+    registry, written = load(), []
+    monkeypatch.setattr(documents, "cut", lambda df: written.append(df) or df)
+    for name, wanted in (("rejected_documents", set()), ("project_heads", set()), ("project_meshes", {"meshes_0_1_0", "meshes_0_2_0"})):
+        registry[name].run(spark, "/root/testdata/sf0.001")
+        assert {c for c in written[-1].columns if not c.startswith("head_")} == {"o_orderkey", "format_version", "reason_code"} | wanted
+
+
+def test_values_that_do_not_fit_are_found_in_parts_that_are_not_read(spark):
+    sound = {"format": "p", "format_version": "0.2.0", "project_id": "a", "revision_id": "r"} | {name: [] for name in documents.PROJECT_PARTS["0.2.0"]}
+    cases = {
+        "text as number": ({"meshes": [{"id": "m", "vertex_count": "many"}]}, "meshes"), "number in text": ({"meshes": [{"id": "m", "vertex_count": "12"}]}, None),
+        "too large": ({"meshes": [{"id": "m"}, {"id": "n", "vertex_count": 3_000_000_000}]}, "meshes"), "null": ({"meshes": [{"id": "m", "vertex_count": None}]}, None),
+        "no id": ({"meshes": [{"vertex_count": 1}]}, "meshes"), "null id": ({"artifacts": [{"id": None}]}, "artifacts"), "number as text": ({"artifacts": [{"id": 7, "uri": {"x": [1]}}]}, None),
+        "no list": ({"provenance": [{"id": "p", "input_sha256": "abc"}]}, "provenance"), "any list": ({"provenance": [{"id": "p", "input_sha256": [1, None, {}]}]}, None),
+        "no object": ({"layers": [{"id": "l", "bounds": [1]}]}, "layers"), "any object": ({"layers": [{"id": "l", "bounds": {"x": "left"}}]}, None), "no flag": ({"layers": [{"id": "l", "visible": "maybe"}]}, "layers"),
+        "no element": ({"bindings": ["b"]}, "bindings"), "no array": ({"bindings": None}, "bindings")}
+    texts = spark.createDataFrame([(k, json.dumps(sound | change)) for k, (change, _) in cases.items()], "k string, text string")
+    for keep in (None, ("reason",), ("meshes",)):
+        read = documents.ingest_projects(texts, "text", "p", keep)
+        assert {r["k"]: r["reason_code"] for r in documents.rejected(read, ["k"]).collect()} == {k: f"PART_MALFORMED:{part}" for k, (_, part) in cases.items() if part}
+    assert documents.part(documents.ingest_projects(texts, "text", "p", ("meshes",)), "meshes", "0.2.0").count() == 2

@@ -149,3 +149,24 @@ def test_every_member_of_a_class_is_tried(spark, monkeypatch):
     rows = spark.createDataFrame([(k + 1, 1, 1, p.tobytes()) for k, p in enumerate((first, second, third))], "media_id long, width int, height int, pixels binary")
     for star in (1, 16):
         assert {r["media_id"]: r["group_id"] for r in media.copy_groups(rows, star=star).collect()} == {1: 1, 2: 1, 3: 1}
+
+
+def test_blocks_meet_in_rounds(spark, monkeypatch):
+    """Every two blocks meet once, an image is shuffled four times a round at most, and no shuffle files pile up over the rounds."""
+    for blocks in (8, 9, 21):
+        met = [tuple(sorted((k, (k + apart) % blocks))) for some in media.rounds(blocks) for apart in some for k in range(blocks)]
+        assert set(met) == {(i, j) for j in range(blocks) for i in range(j + 1)}
+        assert all(len({(k + way * apart) % blocks for apart in some for way in (1, -1)}) <= 4 for some in media.rounds(blocks) for k in range(blocks))
+    rng, written = np.random.default_rng(5), []
+    rows = []
+    for k in range(40):
+        points = np.zeros(12, media.POINT)
+        points["x"], points["y"], points["scale"] = *rng.uniform(0, 90, (2, 12)), 1
+        points["bits"] = rng.integers(0, 256, (12, media.TESTS // 8))
+        rows += [(2 * k, 2 * k, 12, bytearray(points.tobytes())), (2 * k + 1, 2 * k + 1, 12, bytearray(points.tobytes()))]
+    described = spark.createDataFrame(rows, "media long, class long, n_keypoints long, points binary")
+    monkeypatch.setattr(media, "cut", lambda df, clear=False, cut=media.cut: written.append(clear) or cut(df, clear))
+    found = {tuple(sorted(r)) for r in media.block_pairs(described, 3, 8, 0.15, 80).collect()}
+    assert found == {(2 * k, 2 * k + 1) for k in range(40)}
+    assert written == [True] * (1 + len(media.rounds(12)))
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
